@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Over all cores where the scan has fewer splits than cores; large inputs stay where they are.
+
+    The driver's tables are single small files, of which one task would do all the text work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def quoted(text: str) -> str:
     """``text`` as an SQL expression without a backslash or a quote inside a literal."""
     parts, run = [], ""
@@ -142,11 +151,13 @@ def _select(columns: dict[str, str]) -> list[str]:
 
 
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*_select(FORMULA_COLUMNS))
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return orders.selectExpr(*_select(FORMULA_COLUMNS))
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*_select(MARKUP_COLUMNS))
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return orders.selectExpr(*_select(MARKUP_COLUMNS))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
