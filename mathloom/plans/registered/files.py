@@ -1,2 +1,240 @@
-QUERIES = {}
-ORACLES = {}
+"""Readers and writers: tables written by Spark to the shared folder and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import curate
+from ...operators import text_metrics as m
+from ...session import new_folder
+from ...sources import readers, schemas, writers
+from ...streaming.incremental import curate_incremental
+from ..derived import formulas, predictions, spread, table, with_tables
+from . import curation
+from . import sqltext as q
+
+SPLIT_ROWS = ["id", "latex_formula", "split"]
+
+
+def _written_splits(spark, sf):
+    path = new_folder(spark, "splits")
+    writers.write_splits(curation.split(spark, sf).select(*SPLIT_ROWS), path)
+    return path
+
+
+def read_split(spark, sf):
+    return readers.read_split(spark, _written_splits(spark, sf), "validation", ["id", "latex_formula"])
+
+
+def write_splits(spark, sf):
+    return readers.read_split(spark, _written_splits(spark, sf), columns=SPLIT_ROWS)
+
+
+def _lines(spark, sf, *columns):
+    """Formula lines of which those of low priority are cut in half."""
+    rows = formulas(spark, sf)
+    record = F.to_json(F.struct("id", F.col("latex_formula").alias("latex"), *columns))
+    half = F.left(record, (F.length(record) / 2).cast("int"))
+    return rows.select(F.when(F.col("priority") == curation.LOW, half).otherwise(record).alias("value"))
+
+
+def _written_lines(spark, sf):
+    path = new_folder(spark, "lines")
+    _lines(spark, sf).write.text(path)
+    return path
+
+
+def read_jsonl(spark, sf):
+    return readers.read_jsonl(spark, _written_lines(spark, sf), schemas.GT_EXTRACT)
+
+
+def row_errors(spark, sf):
+    rows = readers.read_jsonl(spark, _written_lines(spark, sf), schemas.GT_EXTRACT, corrupt=True)
+    return curate.row_errors(rows)
+
+
+def read_results(spark, sf):
+    path = new_folder(spark, "results-jsonl")
+    writers.write_jsonl(predictions(spark, sf).select(F.col("key").alias("id"), "gt", "pred"), path)
+    return readers.read_results(spark, path)
+
+
+def _in_order(df, key):
+    """Files whose names sort in the order of the key."""
+    ranges = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartitionByRange(ranges, key).sortWithinPartitions(key)
+
+
+def read_line_labels(spark, sf):
+    path = new_folder(spark, "labels")
+    _in_order(curation._labels(spark, sf), "line_no").select("value").write.text(path)
+    return readers.read_line_labels(spark, path).select("line_no", "value")
+
+
+def read_keyed_captions(spark, sf):
+    path = new_folder(spark, "captions")
+    line = F.concat(F.lit(" "), F.concat_ws("  ", "user_id", "event_type", "props"))
+    rows = table(spark, sf, "events").select("event_id", line.alias("value"))
+    _in_order(rows, "event_id").select("value").write.text(path)
+    return readers.read_keyed_captions(spark, path).select("line_no", "key", "caption")
+
+
+def list_files(spark, sf):
+    """One folder per part type; the listing names them."""
+    path = new_folder(spark, "parts")
+    table(spark, sf, "part").select("p_type", "p_name").write.partitionBy("p_type").text(path)
+    files = readers.list_files(spark, path, glob="part-*").filter(F.col("length") > 0)
+    return files.select(F.regexp_extract("path", "p_type=([^/]+)", 1).alias("p_type")).distinct()
+
+
+def read_subset_document(spark, sf):
+    path = new_folder(spark, "subsets")
+    name = F.format_string("Set %s(%s)", "priority", "status")
+    row = F.struct(F.format_string("%s/%s.png", "status", "id").alias("image"), "latex_formula")
+    document = F.to_json(F.create_map(name, F.array(row)))
+    formulas(spark, sf).select(document.alias("value")).write.text(path)
+    return readers.read_subset_document(spark, path, whole_file=False)
+
+
+def _registry(spark, sf):
+    entry = F.struct(
+        F.concat_ws("/", F.lit("hub"), "source").alias("hf_hub_url"),
+        F.when(F.col("lang") == "en", F.lit("sharegpt")).alias("formatting"),
+        F.col("lang").alias("subset"),
+        (F.col("n_chars") > 1000).alias("ranking"),
+        F.create_map(F.lit("prompt"), F.col("source")).alias("columns"),
+    )
+    name = F.concat(F.lit("set_"), F.col("doc_id").cast("string"))
+    path = new_folder(spark, "registry")
+    document = F.to_json(F.create_map(name, entry))
+    table(spark, sf, "documents").select(document.alias("value")).write.text(path)
+    return path
+
+
+def read_registry(spark, sf):
+    rows = readers.read_registry(spark, _registry(spark, sf), whole_file=False)
+    return rows.select(
+        "name", "hf_hub_url", "formatting", "subset", F.col("ranking").cast("int").alias("ranking"),
+        F.col("columns")["prompt"].alias("prompt_column"),
+    )
+
+
+def write_jsonl(spark, sf):
+    path = new_folder(spark, "documents")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("latex"))
+    writers.write_jsonl(rows, path)
+    return readers.read_jsonl(spark, path, schemas.GT_EXTRACT, strict=True)
+
+
+def append_quarantine(spark, sf):
+    """Two runs, the second one repeated: it replaces itself."""
+    path = new_folder(spark, "quarantine")
+    rows = formulas(spark, sf).withColumn("reason", curate.gate_reason(F.col("latex_formula"), F.col("rendered")))
+    bad = rows.filter("reason is not null")
+    writers.append_quarantine(bad, path, "run-1")
+    for _ in range(2):
+        writers.append_quarantine(bad.filter("reason = 'render'"), path, "run-2", reason="again")
+    return spark.read.schema("id string, reason string, run_id string").parquet(path)
+
+
+def write_metrics(spark, sf):
+    path = new_folder(spark, "metrics")
+    scores = m.exact_rate(predictions(spark, sf), ["model", "dataset", "subset"])
+    for name in ("base", "tuned"):
+        writers.write_metrics(scores.filter(F.col("model") == name), path)
+    return spark.read.schema("subset string, exp double, model string, dataset string").json(path)
+
+
+def write_records_json(spark, sf):
+    path = new_folder(spark, "records")
+    writers.write_records_json(curation.flag_existing(spark, sf), path)
+    return spark.read.schema("line_no long, renderable int").json(path)
+
+
+def curate_stream(spark, sf):
+    """An incremental run over formula lines, then a second run that finds nothing new."""
+    source, good, refused, state = (new_folder(spark, n) for n in ("source", "good", "refused", "state"))
+    spread(_lines(spark, sf, "rendered"), "value").write.text(source)
+    for _ in range(2):
+        curate_incremental(spark, source, good, refused, state, rendered="rendered", files_per_batch=3).awaitTermination()
+    kept = spark.read.schema("id string, latex string, run_id string").parquet(good)
+    bad = spark.read.schema("id string, reason string, run_id string").parquet(refused)
+    return kept.select("id", "latex", F.lit("kept").alias("outcome")).unionByName(
+        bad.select("id", F.lit(None).cast("string").alias("latex"), F.col("reason").alias("outcome"))
+    )
+
+
+QUERIES = {
+    "s01_read_split": read_split,
+    "s02_read_jsonl": read_jsonl,
+    "s03_read_results": read_results,
+    "s04_read_line_labels": read_line_labels,
+    "s05_read_keyed_captions": read_keyed_captions,
+    "s06_list_files": list_files,
+    "s07_read_subset_document": read_subset_document,
+    "s08_read_registry": read_registry,
+    "k01_write_splits": write_splits,
+    "k02_write_jsonl": write_jsonl,
+    "k03_append_quarantine": append_quarantine,
+    "k04_write_metrics": write_metrics,
+    "k05_write_records_json": write_records_json,
+    "f06_row_errors": row_errors,
+    "x01_curate_incremental": curate_stream,
+}
+
+_SPLIT = curation.ORACLES["l05_split"]
+
+
+def _sql(body: str) -> str:
+    return with_tables(["formulas"], body)
+
+
+def _stream_sql() -> str:
+    from .latex import _canonical_env, _operator_names, _precondition, _rm
+
+    prepared = _rm(_precondition(_canonical_env("latex"), True, True))
+    reason = curation._gate_sql("latex")
+    return _sql(
+        f"WITH readable AS (SELECT id, rendered, {q.strip('latex_formula')} AS t FROM formulas WHERE priority <> '{curation.LOW}'), "
+        f"wrapped AS (SELECT id, rendered, {curation._JUDGED_TEXT} AS latex FROM readable), "
+        f"judged AS (SELECT id, {_operator_names(q.tokenized(prepared))} AS latex, {reason} AS reason FROM wrapped) "
+        "SELECT id, CASE WHEN reason IS NULL THEN latex END AS latex, coalesce(reason, 'kept') AS outcome FROM judged "
+        f"UNION ALL SELECT id, NULL, 'error' FROM formulas WHERE priority = '{curation.LOW}'"
+    )
+
+
+ORACLES = {
+    "s01_read_split": f"SELECT id, latex_formula FROM ({_SPLIT}) WHERE split = 'validation'",
+    "s02_read_jsonl": _sql(f"SELECT id, latex_formula AS latex FROM formulas WHERE priority <> '{curation.LOW}'"),
+    "s03_read_results": with_tables(["predictions"], "SELECT id, gt, pred FROM predictions"),
+    "s04_read_line_labels": (
+        "SELECT p_partkey AS line_no, p_name || ' ' || p_brand AS value FROM part WHERE p_type <> 'ECONOMY'"
+    ),
+    "s05_read_keyed_captions": (
+        "SELECT event_id AS line_no, user_id::varchar AS key, event_type || ' ' || "
+        "regexp_replace(props, '\\s+', ' ', 'g') AS caption FROM events"
+    ),
+    "s06_list_files": "SELECT DISTINCT p_type FROM part",
+    "s07_read_subset_document": _sql(
+        "SELECT 'Set ' || priority || '(' || status || ')' AS subset_name, status AS subset, "
+        "status || '/' || id || '.png' AS image, latex_formula FROM formulas"
+    ),
+    "s08_read_registry": (
+        "SELECT 'set_' || doc_id AS name, 'hub/' || source AS hf_hub_url, CASE WHEN lang = 'en' THEN 'sharegpt' END AS formatting, "
+        "lang AS subset, (n_chars > 1000)::int AS ranking, source AS prompt_column FROM documents"
+    ),
+    "k01_write_splits": _SPLIT,
+    "k02_write_jsonl": "SELECT doc_id::varchar AS id, text AS latex FROM documents",
+    "k03_append_quarantine": _sql(
+        f"WITH bad AS (SELECT id, {curation._gate_sql('latex_formula')} AS reason FROM formulas) "
+        "SELECT id, reason, 'run-1' AS run_id FROM bad WHERE reason IS NOT NULL "
+        "UNION ALL SELECT id, 'again', 'run-2' FROM bad WHERE reason = 'render'"
+    ),
+    "k04_write_metrics": with_tables(
+        ["predictions"],
+        "SELECT model, dataset, subset, round(avg((gt = pred)::int), 6) AS exp FROM predictions GROUP BY ALL",
+    ),
+    "k05_write_records_json": curation.ORACLES["j06_flag_existing"],
+    "f06_row_errors": _sql(f"SELECT id, 'error' AS reason FROM formulas WHERE priority = '{curation.LOW}'"),
+    "x01_curate_incremental": _stream_sql(),
+}
