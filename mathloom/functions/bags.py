@@ -36,14 +36,17 @@ def _numbered(items: Column) -> Column:
                 b,
                 last,
                 lambda lo, hi: F.transform(
-                    F.sequence(lo, hi - 1), lambda k: F.concat_ws("\x01", F.get(s, k), (k - lo).cast("string"))
+                    F.sequence(lo, hi - 1),
+                    lambda k: F.when(k == lo, F.get(s, k)).otherwise(
+                        F.concat(F.get(s, k), F.lit("\x01"), (k - lo).cast("string"))
+                    ),
                 ),
             )
             return F.flatten(runs)
 
         return F.when(n > 0, let(first, spell)).otherwise(F.array().cast("array<string>"))
 
-    return let(F.array_sort(items), from_sorted)
+    return let(F.sort_array(items), from_sorted)
 
 
 def overlap(left: Column, right: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_SPACE, SPACE, rewrite, strip, without_spaces
+from .text import SPACE, rewrite, strip, without_spaces
 
 # Character classes of the whitespace rule. A "letter" is ASCII only; a "mark" is whatever is
 # neither a letter of any script nor a non-decimal number; "other" is what is left (such as é).
@@ -23,7 +23,7 @@ FONT_GROUP_SPACE = (
 ENVIRONMENT_NAME = r"\\(begin|end)[\s\x1c-\x1f\x85\p{Z}]*\{[\s\x1c-\x1f\x85\p{Z}]*([^}]*)\}"
 LEXER = (
     r"(?d)\\[a-zA-Z]+|[0-9]*\.?[0-9]+|[a-zA-Z]|[\^_{}()\[\]]|[+\-*/=<>,]|\\."
-    r"|[\s\x1c-\x1f\x85\p{Z}]+|."
+    r"|[^\s\x1c-\x1f\x85\p{Z}]"
 )
 
 
@@ -82,7 +82,7 @@ def clean_env(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """The lexer's tokens as an array: commands, numbers, letters, syntax, operators, the rest."""
-    return F.filter(F.regexp_extract_all(c, F.lit(LEXER), F.lit(0)), lambda t: t.rlike(NOT_SPACE))
+    return F.regexp_extract_all(c, F.lit(LEXER), F.lit(0))
 
 
 def tokenize(c: Column) -> Column:

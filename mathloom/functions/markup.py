@@ -285,11 +285,15 @@ def brace_single_args(c: Column) -> Column:
 def normalize_token(c: Column) -> Column:
     """One spelling for tokens that look alike."""
     same = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    c = F.coalesce(F.element_at(same, c), c)
+    command = F.coalesce(F.element_at(same, c), c)
     # a token that begins with \\left or \\right loses every one of them
-    c = F.regexp_replace(c, r"(?s)\A\\(?:left|right)|(?<!\A)\G(.*?)\\(?:left|right)", "$1")
+    command = F.regexp_replace(command, r"(?s)\A\\(?:left|right)|(?<!\A)\G(.*?)\\(?:left|right)", "$1")
     # a sized delimiter is named by its last command, or else by its last character
-    c = F.regexp_replace(c, r"(?s)\A\\[bB]ig.*(\\[^\\]*)\z|\A\\[bB]i(?=g)[^\\]*([^\\])\z", "$1$2")
+    command = F.regexp_replace(
+        command, r"(?s)\A\\[bB]ig.*(\\[^\\]*)\z|\A\\[bB]i(?=g)[^\\]*([^\\])\z", "$1$2"
+    )
+    # only commands take the slow way
+    c = F.when(c.startswith("\\"), command).otherwise(c)
     return (
         F.when(c.isin("\\leq", "\\geq"), F.left(c, F.lit(3)))
         .when(c.isin("\\lVert", "\\rVert", "\\Vert"), F.lit("\\|"))

@@ -227,11 +227,8 @@ def sample_n(
     df: DataFrame, n: int, seed: int = 42, by: list[str] | None = None, id_col: str = "id", strict: bool = True
 ) -> DataFrame:
     """Exactly ``n`` rows per group without replacement; a smaller group is an error if ``strict``."""
-    groups = by or ["_all"]
-    keyed = df if by else df.withColumn("_all", F.lit(0))
-    keyed = keyed.withColumn("_key", shuffle_key(F.col(id_col), seed))
-    picked = smallest_by_key(keyed, "_key", n, groups, [id_col], strict)
-    return picked.drop("_key", "_all")
+    keyed = df.withColumn("_key", shuffle_key(F.col(id_col), seed))
+    return smallest_by_key(keyed, "_key", n, by or [], [id_col], strict).drop("_key")
 
 
 def take_shuffled(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:

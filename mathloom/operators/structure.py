@@ -13,6 +13,8 @@ test is the largest possible, the sum over tokens of the smaller count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +51,30 @@ def stack_sides(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return gt.withColumn("side", F.lit("gt")).unionByName(pred.withColumn("side", F.lit("pred")))
 
 
+def _fine_first(keys: list[str]) -> list[str]:
+    """Keys are given from coarse to fine; sorting by the finest first compares least."""
+    return keys[::-1]
+
+
 def token_order(boxes: DataFrame, keys: list[str] = KEYS, bits: int | None = None) -> DataFrame:
     """Add ``order``: place among the visible tokens of the sample and side, over their number.
 
     Expects visible boxes only.
     """
-    group = [*keys, "side"]
+    group = [*_fine_first(keys), "side"]
     placed = numbered(boxes, group, "seq", "_place", total="_count", bits=bits)
     return placed.withColumn("order", F.col("_place") / F.col("_count")).drop("_place", "_count")
 
 
 def occurrence_rank(boxes: DataFrame, keys: list[str] = KEYS, bits: int | None = None) -> DataFrame:
     """Add ``norm_token`` and ``k``: which occurrence of the token in its sample and side this is."""
-    named = boxes.withColumn("norm_token", normalize_token(F.col("token")))
-    group = [*keys, "side"]
-    return numbered(named, [*group, "norm_token"], "seq", "k", sample=group, bits=bits)
+    group = [*_fine_first(keys), "side"]
+    return numbered(_named(boxes), [*group, "norm_token"], "seq", "k", sample=group, bits=bits)
+
+
+def _named(boxes: DataFrame) -> DataFrame:
+    """With ``norm_token``; never null, so that no join computes it again to test for nulls."""
+    return boxes.withColumn("norm_token", F.coalesce(normalize_token(F.col("token")), F.lit("")))
 
 
 def token_vocab(boxes: DataFrame) -> DataFrame:
@@ -87,7 +98,7 @@ def pair_samples(boxes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def _sides(ranked: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    shared = [*keys, "norm_token", "k"]
+    shared = [*_fine_first(keys), "norm_token", "k"]
     own = [c for c in ranked.columns if c not in {*shared, "side"}]
     pick = lambda side: ranked.filter(F.col("side") == side).select(
         *shared, *[F.col(c).alias(f"{side}_{c}") for c in own]
@@ -95,6 +106,11 @@ def _sides(ranked: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return pick("gt"), pick("pred")
 
 
+def _join_sides(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """Both sides are about as long as the box table, so they are merged and never broadcast."""
+    return gt.join(pred.hint("merge"), [*_fine_first(keys), "norm_token", "k"])
+
+
 def pair_candidates(
     boxes: DataFrame, keys: list[str] = KEYS, reach: int = 1, bits: int | None = None
 ) -> DataFrame:
@@ -106,9 +122,9 @@ def pair_candidates(
     """
     gt, pred = _sides(occurrence_rank(boxes, keys, bits), keys)
     steps = F.sequence(F.lit(-reach), F.lit(reach)) if reach else F.array(F.lit(0))
-    near = F.transform(steps, lambda step: F.col("gt_k") + step)
+    near = F.filter(F.transform(steps, lambda step: F.col("gt_k") + step), lambda k: k >= 0)
     spread = gt.withColumnRenamed("k", "gt_k").withColumn("k", F.explode(near))
-    pairs = spread.join(pred, [*keys, "norm_token", "k"]).withColumnRenamed("k", "pred_k")
+    pairs = _join_sides(spread, pred, keys).withColumnRenamed("k", "pred_k")
     cost = F.when(F.col("gt_token") == F.col("pred_token"), F.lit(0.0)).otherwise(F.lit(0.05))
     return pairs.withColumn("token_cost", cost)
 
@@ -132,13 +148,19 @@ def pair_cost(pairs: DataFrame) -> DataFrame:
     )
 
 
+# What a match carries beside its keys: places and centres, no arrays.
+_MATCH = ["norm_token", "gt_seq", "pred_seq", "gt_x_c", "gt_y_c", "pred_x_c", "pred_y_c"]
+
+
 def align_by_occurrence(boxes: DataFrame, keys: list[str] = KEYS, bits: int | None = None) -> DataFrame:
     """One-to-one matches: the k-th occurrence of a token on one side with the k-th on the other.
 
-    Linear in the number of boxes, and its join key is unique per side, so no key is hot.
+    Linear in the number of boxes, and its join key is unique per side, so no key is hot. A match
+    has the place and the box centre of both its tokens.
     """
-    gt, pred = _sides(occurrence_rank(boxes, keys, bits), keys)
-    return gt.join(pred, [*keys, "norm_token", "k"]).drop("k")
+    narrow = box_center(boxes).select(*keys, "side", "seq", "token", "x_c", "y_c")
+    gt, pred = _sides(occurrence_rank(narrow, keys, bits).drop("token"), keys)
+    return _join_sides(gt, pred, keys).select(*keys, *_MATCH)
 
 
 def align_mutual_best(
@@ -149,46 +171,38 @@ def align_mutual_best(
     What is still free after the rounds is matched by occurrence among the free tokens, so the
     number of matches is the same as by occurrence alone. Expects visible boxes.
     """
-    ordered = cut_lineage(token_order(boxes, keys, bits))
-    pairs = pair_cost(pair_candidates(ordered, keys, reach, bits))
-    by_gt, by_pred = [*keys, "gt_seq"], [*keys, "pred_seq"]
-    gt_window, pred_window = Window.partitionBy(*by_gt), Window.partitionBy(*by_pred)
-    pairs = pairs.withColumn("_round", F.lit(0))
-    for number in range(1, rounds + 1):
-        free = F.col("_round") == 0
-        best_gt = F.row_number().over(gt_window.orderBy(~free, "cost", "pred_seq")) == 1
-        best_pred = F.row_number().over(pred_window.orderBy(~free, "cost", "gt_seq")) == 1
-        pairs = (
-            pairs.withColumn("_best_gt", best_gt)
-            .withColumn("_best_pred", best_pred)
-            .withColumn("_round", F.when(free & F.col("_best_gt") & F.col("_best_pred"), number).otherwise(F.col("_round")))
-            .withColumn("_pred_taken", F.max("_round").over(pred_window))
-            .withColumn("_gt_taken", F.max("_round").over(gt_window))
-            .filter((F.col("_round") > 0) | ((F.col("_pred_taken") == 0) & (F.col("_gt_taken") == 0)))
-            .drop("_best_gt", "_best_pred", "_pred_taken", "_gt_taken")
+    ordered = cut_lineage(box_center(token_order(boxes, keys, bits)))
+    costed = pair_cost(pair_candidates(ordered, keys, reach, bits))
+    still, matched = costed.select(*keys, *_MATCH, "cost"), []
+    by_gt = Window.partitionBy(*_fine_first(keys), "gt_seq")
+    by_pred = Window.partitionBy(*_fine_first(keys), "pred_seq")
+    for _ in range(rounds):
+        # both windows see the few candidates of one token; only pairs of free tokens go on
+        judged = cut_lineage(
+            still.withColumn("_first", F.row_number().over(by_gt.orderBy("cost", "pred_seq")) == 1)
+            .withColumn("_won", F.col("_first") & (F.row_number().over(by_pred.orderBy("cost", "gt_seq")) == 1))
+            .withColumn("_pred_taken", F.max("_won").over(by_pred))
+            .withColumn("_gt_taken", F.max("_won").over(by_gt))
         )
-    matched = pairs.filter(F.col("_round") > 0)
-    columns = [*keys, "norm_token", *[c for c in matched.columns if c.startswith(("gt_", "pred_"))]]
-    matched = cut_lineage(matched.select(*columns).drop("gt_k", "pred_k"))
-    taken = matched.select(*keys, F.lit("gt").alias("side"), F.col("gt_seq").alias("seq")).union(
-        matched.select(*keys, F.lit("pred").alias("side"), F.col("pred_seq").alias("seq"))
-    )
-    rest = ordered.join(taken, [*keys, "side", "seq"], "left_anti")
-    return matched.unionByName(_align_rest(rest, keys).select(*matched.columns))
-
-
-def _align_rest(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Occurrence matches among leftovers, whose places are no longer dense."""
-    side = [*keys, "side"]
-    dense = numbered(boxes.withColumn("_seq", F.col("seq")), side, "_seq", "_dense", sample=side)
-    gt, pred = _sides(
-        numbered(
-            dense.withColumn("norm_token", normalize_token(F.col("token"))),
-            [*side, "norm_token"], "_dense", "k", sample=side,
-        ).drop("_dense", "_seq"),
-        keys,
+        matched.append(judged.filter("_won").select(*keys, *_MATCH))
+        still = judged.filter("not _pred_taken and not _gt_taken").select(*still.columns)
+    won = reduce(DataFrame.unionByName, matched)
+    taken = reduce(
+        DataFrame.union,
+        [won.select(*keys, F.lit(s).alias("side"), F.col(f"{s}_seq").alias("seq")) for s in ("gt", "pred")],
     )
-    return gt.join(pred, [*keys, "norm_token", "k"]).drop("k")
+    rest = cut_lineage(ordered.join(taken.hint("merge"), [*_fine_first(keys), "side", "seq"], "left_anti"))
+    return won.unionByName(_align_rest(rest, keys, bits))
+
+
+def _align_rest(boxes: DataFrame, keys: list[str], bits: int | None) -> DataFrame:
+    """Occurrence matches among leftovers. Their places have gaps, so they are numbered first."""
+    side = [*_fine_first(keys), "side"]
+    named = _named(boxes).select(*keys, "side", "seq", "norm_token", "x_c", "y_c")
+    dense = numbered(named, side, "seq", "_place", bits=bits)
+    ranked = numbered(dense, [*side, "norm_token"], "_place", "k", sample=side, bits=bits).drop("_place")
+    gt, pred = _sides(ranked, keys)
+    return _join_sides(gt, pred, keys).select(*keys, *_MATCH)
 
 
 # ---- Residual test ---------------------------------------------------------------------------
@@ -203,64 +217,78 @@ def residual_inliers(
 ) -> DataFrame:
     """Add ``inlier``: the match fits a shift and scale of its sample within ``max_residual`` pixels.
 
-    Each round fits what is still outside: the shift is the median difference of the centres, the
-    scale the ratio of their interquartile ranges. Samples with at most three matches keep all;
-    a round with at most three left, or one that gains nothing, ends the sample. The fit is
-    deterministic and takes the place of random consensus.
+    The first round fits all matches by means, and a match that fits is settled. Each later round
+    fits what is still outside, by medians and quartiles, which a few strays do not move. Samples
+    with at most three matches keep all; with at most three left outside the sample is done. The
+    fit is deterministic and takes the place of random consensus.
     """
-    gx, gy = center(F.col("gt_bbox"))
-    px, py = center(F.col("pred_bbox"))
-    narrow = matches.select(
-        *matches.columns, gx.alias("_gx"), gy.alias("_gy"), px.alias("_px"), py.alias("_py"),
-        block_of(F.col("gt_seq"), bits).alias(BLOCK),
-    )
-    still, settled = cut_lineage(narrow), []
+    columns = [*matches.columns]
+    still = cut_lineage(matches.withColumn(BLOCK, block_of(F.col("gt_seq"), bits)))
+    settled = []
     for number in range(rounds):
-        fitted = _fit(still, keys, bits)
-        joined = null_safe_join(still, fitted, [*keys, BLOCK])
+        stats = _fit_by_means(still, keys) if number == 0 else _fit_by_quartiles(still, keys)
+        fitted = per_block(stats, "_last_seq", bits)
+        joined = still.join(fitted.hint("merge"), [*_fine_first(keys), BLOCK])
         few = F.col("_matches") <= MIN_FIT
-        x = F.col("_scale") * (F.col("_gx") - F.col("_mx")) + F.col("_mx") + F.col("_dx")
-        y = F.col("_scale") * (F.col("_gy") - F.col("_my")) + F.col("_my") + F.col("_dy")
-        distance = F.round(F.sqrt(F.pow(x - F.col("_px"), 2) + F.pow(y - F.col("_py"), 2)), DIGITS + 3)
-        fits = F.when(few, F.lit(number == 0)).otherwise(distance < max_residual)
-        judged = joined.withColumn("inlier", fits)
-        if number < rounds - 1:
-            judged = cut_lineage(judged)
-        ended = few & ~F.col("inlier") if number else F.lit(False)
+        misses = []
+        for axis in ("x", "y"):
+            gt, mid, shift = F.col(f"gt_{axis}_c"), F.col(f"_mid_{axis}"), F.col(f"_shift_{axis}")
+            misses.append(F.col("_scale") * (gt - mid) + mid + shift - F.col(f"pred_{axis}_c"))
+        distance = F.round(F.sqrt(misses[0] * misses[0] + misses[1] * misses[1]), 6)
+        judged = joined.withColumn("inlier", F.when(few, F.lit(number == 0)).otherwise(distance < max_residual))
         last = number == rounds - 1
-        settled.append(judged.filter(F.lit(last) | F.col("inlier") | ended).select(*matches.columns, "inlier"))
-        still = judged.filter(~F.col("inlier") & ~ended).select(*still.columns)
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    return out
+        if not last:
+            judged = cut_lineage(judged.select(*still.columns, few.alias("_few"), "inlier"))
+            done = F.col("inlier") | F.col("_few")
+            settled.append(judged.filter(done).select(*columns, "inlier"))
+            still = judged.filter(~done).select(*still.columns)
+        else:
+            settled.append(judged.select(*columns, "inlier"))
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _scale(pred_spread: Column, gt_spread: Column) -> Column:
+    return F.when((gt_spread > 0) & (pred_spread > 0), pred_spread / gt_spread).otherwise(F.lit(1.0))
+
+
+def _fit_by_means(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Shift: difference of the mean centres. Scale: ratio of the standard distances."""
+    stats = points.groupBy(*_fine_first(keys)).agg(
+        F.count(F.lit(1)).alias("_matches"),
+        F.max("gt_seq").alias("_last_seq"),
+        *[F.avg(f"{s}_{a}_c").alias(f"_{s}_{a}") for s in ("gt", "pred") for a in ("x", "y")],
+        *[F.var_pop(f"{s}_{a}_c").alias(f"_{s}_v{a}") for s in ("gt", "pred") for a in ("x", "y")],
+    )
+    gt_spread, pred_spread = [F.sqrt(F.col(f"_{s}_vx") + F.col(f"_{s}_vy")) for s in ("gt", "pred")]
+    return stats.select(
+        *keys, "_matches", "_last_seq", _scale(pred_spread, gt_spread).alias("_scale"),
+        *[F.col(f"_gt_{a}").alias(f"_mid_{a}") for a in ("x", "y")],
+        *[(F.col(f"_pred_{a}") - F.col(f"_gt_{a}")).alias(f"_shift_{a}") for a in ("x", "y")],
+    )
 
 
-def _fit(points: DataFrame, keys: list[str], bits: int | None) -> DataFrame:
-    """Shift and scale per sample, one copy per block of the sample.
+def _fit_by_quartiles(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Shift: median difference. Scale: ratio of the interquartile ranges.
 
     Percentiles are merged counts of distinct coordinates, so a hot sample is reduced before the
     shuffle.
     """
     quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    stats = points.groupBy(*keys).agg(
+    stats = points.groupBy(*_fine_first(keys)).agg(
         F.count(F.lit(1)).alias("_matches"),
         F.max("gt_seq").alias("_last_seq"),
-        F.percentile("_gx", quarters).alias("_qgx"),
-        F.percentile("_gy", quarters).alias("_qgy"),
-        F.percentile("_px", quarters).alias("_qpx"),
-        F.percentile("_py", quarters).alias("_qpy"),
-        F.percentile(F.col("_px") - F.col("_gx"), F.lit(0.5)).alias("_dx"),
-        F.percentile(F.col("_py") - F.col("_gy"), F.lit(0.5)).alias("_dy"),
+        *[F.percentile(f"{s}_{a}_c", quarters).alias(f"_{s}_{a}") for s in ("gt", "pred") for a in ("x", "y")],
+        *[
+            F.percentile(F.col(f"pred_{a}_c") - F.col(f"gt_{a}_c"), F.lit(0.5)).alias(f"_shift_{a}")
+            for a in ("x", "y")
+        ],
     )
-    spread = lambda c: F.get(c, 2) - F.get(c, 0)
-    gt_spread, pred_spread = spread("_qgx") + spread("_qgy"), spread("_qpx") + spread("_qpy")
-    scale = F.when((gt_spread > 0) & (pred_spread > 0), pred_spread / gt_spread).otherwise(F.lit(1.0))
-    fit = stats.select(
-        *keys, "_matches", "_last_seq", "_dx", "_dy", scale.alias("_scale"),
-        F.get("_qgx", 1).alias("_mx"), F.get("_qgy", 1).alias("_my"),
+    spread = lambda s: sum(F.get(f"_{s}_{a}", 2) - F.get(f"_{s}_{a}", 0) for a in ("x", "y"))
+    return stats.select(
+        *keys, "_matches", "_last_seq", _scale(spread("pred"), spread("gt")).alias("_scale"),
+        *[F.get(f"_gt_{a}", 1).alias(f"_mid_{a}") for a in ("x", "y")],
+        "_shift_x", "_shift_y",
     )
-    return per_block(fit, "_last_seq", bits)
 
 
 # ---- Scores ----------------------------------------------------------------------------------
@@ -291,10 +319,10 @@ def score_samples(matches: DataFrame, counts: DataFrame, keys: list[str] = KEYS)
 
 def token_bag_f1(boxes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Scores per sample from token counts alone, without boxes' places: an upper bound."""
-    named = visible_boxes(boxes).withColumn("norm_token", normalize_token(F.col("token")))
+    named = _named(visible_boxes(boxes))
     on_side = lambda side: F.sum((F.col("side") == side).cast("bigint"))
-    bag = named.groupBy(*keys, "norm_token").agg(on_side("gt").alias("g"), on_side("pred").alias("p"))
-    sums = bag.groupBy(*keys).agg(
+    bag = named.groupBy(*_fine_first(keys), "norm_token").agg(on_side("gt").alias("g"), on_side("pred").alias("p"))
+    sums = bag.groupBy(*_fine_first(keys)).agg(
         F.sum("g").alias("n_gt"), F.sum("p").alias("n_pred"), F.sum(F.least("g", "p")).alias("n_match")
     )
     return _rates(sums.filter(F.col("n_gt") > 0)).select(*keys, "recall", "precision", "f1", "exact")

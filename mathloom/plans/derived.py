@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -168,7 +170,20 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 HIDDEN = ("{", "}", "^", "_", "&", "")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box table, stored by side as renderers leave it; written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = new_folder(spark, "boxes")
+        _rendered(spark, sf_dir).write.partitionBy("side").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens with their places on a page of one line, both sides of every prediction."""
     sides = F.array(
         F.struct(F.lit("gt").alias("side"), F.col("gt").alias("text")),

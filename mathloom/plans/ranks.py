@@ -34,9 +34,10 @@ def numbered(
     """Add the 0-based ``rank`` of each row by ``position`` within ``keys`` and the group's ``total``.
 
     ``position`` must be unique within ``keys`` and dense within ``sample`` (a subset of ``keys``,
-    all of them by default).
+    all of them by default). Put the most telling key first: rows are sorted by the keys in order.
     """
     sample = sample or keys
+    size = 1 << (BLOCK_BITS if bits is None else bits)
     blocked = df.withColumn(BLOCK, block_of(F.col(position), bits))
     in_block = Window.partitionBy(*keys, BLOCK)
     out = blocked.withColumn(rank, F.row_number().over(in_block.orderBy(position)) - 1)
@@ -44,8 +45,9 @@ def numbered(
         out = out.withColumn(total, F.count(F.lit(1)).over(in_block))
 
     # Samples longer than one block. Positions are dense, so each such sample has over 2**20 rows:
-    # 10**12 rows hold at most 10**6 of them, which bounds the broadcast.
-    long_samples = blocked.filter(F.col(BLOCK) > 0).select(*sample).distinct()
+    # 10**12 rows hold at most 10**6 of them, which bounds the broadcast. The test on the bare
+    # position reaches the scan.
+    long_samples = df.filter(F.col(position) >= size).select(*sample).distinct()
     long_blocks = (
         blocked.select(*keys, BLOCK)
         .join(F.broadcast(long_samples), sample, "left_semi")
@@ -105,9 +107,16 @@ def smallest_by_key(
         .agg(F.max("_prefix").alias("_last"), F.max("_size").alias("_size"))
     )
     if strict:
-        short = F.raise_error(F.concat_ws(" ", F.lit("not enough rows in"), *[F.col(c).cast("string") for c in by]))
+        names = [F.col(c).cast("string") for c in by] or [F.lit("the table")]
+        short = F.raise_error(F.concat_ws(" ", F.lit("not enough rows in"), *names))
         cut = cut.withColumn("_last", F.when(F.col("_size") >= n, F.col("_last")).otherwise(short))
-    near = null_safe_join(df, broadcast_if_small(cut.drop("_size")), by).filter(prefix <= F.col("_last"))
+    cut = cut.drop("_size")
+    if not by:
+        # the whole table is one group, so the cut is one value
+        row = cut.first()
+        near = df.filter(prefix <= row["_last"]) if row else df
+        return near.orderBy(key, *tie).limit(n)
+    near = null_safe_join(df, broadcast_if_small(cut), by).filter(prefix <= F.col("_last"))
     rank = F.row_number().over(group.orderBy(key, *tie))
     return near.withColumn("_rank", rank).filter(F.col("_rank") <= n).select(*df.columns)
 

@@ -64,7 +64,8 @@ def residual_inliers(spark, sf):
     return s.residual_inliers(matches, KEYS).select(*_PAIR, F.col("inlier").cast("int").alias("inlier"))
 
 
-_SCORES = [*KEYS, "recall", "precision", "f1", F.col("exact").cast("int").alias("exact")]
+def _scores(samples):
+    return samples.select(*KEYS, "recall", "precision", "f1", F.col("exact").cast("int").alias("exact"))
 
 
 def _samples(spark, sf):
@@ -73,7 +74,7 @@ def _samples(spark, sf):
 
 
 def score_samples(spark, sf):
-    return _samples(spark, sf).select(*_SCORES)
+    return _scores(_samples(spark, sf))
 
 
 def score_corpus(spark, sf):
@@ -85,7 +86,7 @@ def token_vocab(spark, sf):
 
 
 def token_bag_f1(spark, sf):
-    return s.token_bag_f1(boxes(spark, sf), KEYS).select(*_SCORES)
+    return _scores(s.token_bag_f1(boxes(spark, sf), KEYS))
 
 
 def structure_score(spark, sf):
@@ -174,30 +175,31 @@ _CORPUS = (
 
 
 def _residual_rounds(rounds: int = 3) -> str:
-    """The fit written out: quartiles of the open matches, then the distance to the fitted place."""
+    """The fits written out: first means, then quartiles of the open matches."""
     parts, open_rows = [], "matched"
     for r in range(rounds):
         last = r == rounds - 1
-        parts.append(
-            f"fit{r} AS MATERIALIZED (SELECT {_K}, count(*) AS n, quantile_cont(gx, [0.25, 0.5, 0.75]) AS qgx, "
-            "quantile_cont(gy, [0.25, 0.5, 0.75]) AS qgy, quantile_cont(px, [0.25, 0.5, 0.75]) AS qpx, "
-            "quantile_cont(py, [0.25, 0.5, 0.75]) AS qpy, quantile_cont(px - gx, 0.5) AS dx, "
-            f"quantile_cont(py - gy, 0.5) AS dy FROM {open_rows} GROUP BY ALL)"
-        )
-        parts.append(
-            f"scale{r} AS (SELECT *, qgx[3] - qgx[1] + qgy[3] - qgy[1] AS gs, qpx[3] - qpx[1] + qpy[3] - qpy[1] AS ps FROM fit{r})"
-        )
-        parts.append(
-            f"at{r} AS (SELECT m.*, n, CASE WHEN gs > 0 AND ps > 0 THEN ps / gs ELSE 1.0 END AS sc, qgx[2] AS mx, qgy[2] AS my, dx, dy "
-            f"FROM {open_rows} m JOIN scale{r} USING ({_K}))"
-        )
+        if r == 0:
+            stats = (
+                "avg(gx) AS mx, avg(gy) AS my, avg(px) - avg(gx) AS dx, avg(py) - avg(gy) AS dy, "
+                "sqrt(var_pop(gx) + var_pop(gy)) AS gs, sqrt(var_pop(px) + var_pop(py)) AS ps"
+            )
+        else:
+            quarter = lambda c: f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"
+            stats = (
+                "quantile_cont(gx, 0.5) AS mx, quantile_cont(gy, 0.5) AS my, quantile_cont(px - gx, 0.5) AS dx, "
+                f"quantile_cont(py - gy, 0.5) AS dy, {quarter('gx')} + {quarter('gy')} AS gs, {quarter('px')} + {quarter('py')} AS ps"
+            )
+        parts.append(f"fit{r} AS MATERIALIZED (SELECT {_K}, count(*) AS n, {stats} FROM {open_rows} GROUP BY ALL)")
+        scale = "CASE WHEN gs > 0 AND ps > 0 THEN ps / gs ELSE 1.0 END"
+        parts.append(f"at{r} AS (SELECT m.*, n, {scale} AS sc, mx, my, dx, dy FROM {open_rows} m JOIN fit{r} USING ({_K}))")
         distance = "round(sqrt((sc * (gx - mx) + mx + dx - px) ** 2 + (sc * (gy - my) + my + dy - py) ** 2), 6)"
         first = "true" if r == 0 else "false"
         parts.append(
             f"judged{r} AS MATERIALIZED (SELECT *, CASE WHEN n <= 3 THEN {first} ELSE {distance} < 25 END AS fits FROM at{r})"
         )
         columns = f"{_K}, norm_token, gt_seq, pred_seq, gx, gy, px, py"
-        closed = "true" if last else ("fits" if r == 0 else "(fits OR n <= 3)")
+        closed = "true" if last else "(fits OR n <= 3)"
         parts.append(f"done{r} AS (SELECT {columns}, fits FROM judged{r} WHERE {closed})")
         parts.append(f"open{r} AS (SELECT {columns} FROM judged{r} WHERE NOT {closed})")
         open_rows = f"open{r}"
