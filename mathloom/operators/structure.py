@@ -67,9 +67,9 @@ def token_order(boxes: DataFrame, keys: list[str] = KEYS, bits: int | None = Non
 
 
 def occurrence_rank(boxes: DataFrame, keys: list[str] = KEYS, bits: int | None = None) -> DataFrame:
-    """Add ``norm_token`` and ``k``: which occurrence of the token in its sample and side this is."""
+    """Add ``norm_token``, ``k``: which occurrence of it in its sample and side this is, and ``n_same``: of how many."""
     group = [*_fine_first(keys), "side"]
-    return numbered(_named(boxes), [*group, "norm_token"], "seq", "k", sample=group, bits=bits)
+    return numbered(_named(boxes), [*group, "norm_token"], "seq", "k", total="n_same", sample=group, bits=bits)
 
 
 def _named(boxes: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def align_by_occurrence(boxes: DataFrame, keys: list[str] = KEYS, bits: int | No
     has the place and the box centre of both its tokens.
     """
     narrow = box_center(boxes).select(*keys, "side", "seq", "token", "x_c", "y_c")
-    gt, pred = _sides(occurrence_rank(narrow, keys, bits).drop("token"), keys)
+    gt, pred = _sides(occurrence_rank(narrow, keys, bits).drop("token", "n_same"), keys)
     return _join_sides(gt, pred, keys).select(*keys, *_MATCH)
 
 
@@ -173,7 +173,11 @@ def align_mutual_best(
     """
     ordered = cut_lineage(box_center(token_order(boxes, keys, bits)))
     costed = pair_cost(pair_candidates(ordered, keys, reach, bits))
-    still, matched = costed.select(*keys, *_MATCH, "cost"), []
+    alone = (F.col("gt_n_same") == 1) & (F.col("pred_n_same") == 1)
+    costed = cut_lineage(costed.select(*keys, *_MATCH, "cost", alone.alias("_alone")))
+    # a token that occurs once on either side has one pair and no choice
+    matched = [costed.filter("_alone").select(*keys, *_MATCH)]
+    still = costed.filter("not _alone").drop("_alone")
     by_gt = Window.partitionBy(*_fine_first(keys), "gt_seq")
     by_pred = Window.partitionBy(*_fine_first(keys), "pred_seq")
     for _ in range(rounds):
