@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, rewrite, strip, without_spaces
+from .text import SPACE, pad, rewrite, strip, swap_all, without_spaces
 
 # Character classes of the whitespace rule. A "letter" is ASCII only; a "mark" is whatever is
 # neither a letter of any script nor a non-decimal number; "other" is what is left (such as é).
@@ -27,6 +27,18 @@ LEXER = (
 )
 
 
+# mteval-v13a: text replaced first, then patterns set apart by spaces
+TEXT_13A = {
+    "<skipped>": "", "-\n": "", "\n": " ", "&quot;": '"', "&amp;": "&", "&lt;": "<", "&gt;": ">",
+}
+SPACED_13A = {
+    r"([\{-~\[-` -&\(-\+:-@/])": " $1 ",
+    r"([^0-9])([.,])": "$1 $2 ",
+    r"([.,])([^0-9])": " $1 $2",
+    r"([0-9])(-)": "$1 $2 ",
+}
+
+
 def strip_env(c: Column) -> Column:
     """Drop every ``\\begin{..}`` and ``\\end{..}``, with the space before an end, and trim."""
     return strip(F.regexp_replace(c, rf"(?d)\\begin\{{.*?\}}|{SPACE}*\\end\{{.*?\}}", ""))
@@ -92,18 +104,8 @@ def tokenize(c: Column) -> Column:
 
 def tokens_13a(c: Column) -> Column:
     """Tokens by the published mteval-v13a rules, the usual choice for reported corpus BLEU."""
-    for old, new in (
-        ("<skipped>", ""), ("-\n", ""), ("\n", " "),
-        ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
-    ):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    c = F.concat(F.lit(" "), c, F.lit(" "))
-    for pattern, spaced in (
-        (r"([\{-~\[-` -&\(-\+:-@/])", " $1 "),
-        (r"([^0-9])([.,])", "$1 $2 "),
-        (r"([.,])([^0-9])", " $1 $2"),
-        (r"([0-9])(-)", "$1 $2 "),
-    ):
+    c = pad(swap_all(c, TEXT_13A))
+    for pattern, spaced in SPACED_13A.items():
         c = F.regexp_replace(c, pattern, spaced)
     return F.filter(F.split(c, rf"{SPACE}+"), lambda t: t != "")
 

@@ -54,6 +54,24 @@ TRAILING_SPACE = (
     r"|~|\.)*+\z"
 )
 
+# constructs that count as one token
+SPACE_COMMAND = r"\\[hv]space \{ [.0-9a-z ]+ \}"
+TABLE_EDGE = r"\\(begin|end) \{(tabular|array)\}"
+NESTED_GROUP = r"\{(?:[^{}]|\{[^{}]*\})*\}"
+TABLE_HEAD = r"\\begin\{tabular\} " + NESTED_GROUP
+TABLE_RULE = r"\\(?:cmidrule|cline)(?: \([^()]*\))? " + NESTED_GROUP
+ARRAY_HEAD = r"\\begin\{array\} \{ [lrc ]+ \}"
+NOT_SIGN = r"\\not [<>+=\-]"
+SIZED_DELIMITER = r"\\[Bb]igg?[glrm]? [(){}|\[\]] "
+SIZED_COMMAND = r"(?s)\\[Bb]igg?[glrm]? \\.*? "
+ACCENT = r"\\' [^{] "
+TABLE_LENGTH = r"\[ [\-.0-9 ]+[exptcm ]+ \]"
+PARBOX = r"\\parbox \{[^{]+\}"
+RAISEBOX = r"\\raisebox \{[^{]+\} [\[\]0-9 exptcm]+\{"
+CHARACTER = r"\{ \\char[0-9' ]+\}"
+NOT_COMMAND = r"\\not [\\=<>][^ ]+ "
+SPECIAL_RULE = r"\\specialrule" + r" \{[ .0-9a-z]+\}" * 3
+
 # ---- Before the parser -----------------------------------------------------------------------
 
 
@@ -126,8 +144,6 @@ def expand_functions(c: Column) -> Column:
     return unpad(swap_all(pad(c), pairs))
 
 
-_NESTED_GROUP = r"\{(?:[^{}]|\{[^{}]*\})*\}"
-
 
 def glue_tokens(c: Column) -> Column:
     """Spaces out of the constructs that count as one token.
@@ -135,38 +151,22 @@ def glue_tokens(c: Column) -> Column:
     Table heads and ``\\cmidrule`` are glued with up to one inner level of braces.
     """
     table = c.contains("tabular")
-    c = pad(c)
-    c = rewrite(c, r"\\[hv]space \{ [.0-9a-z ]+ \}", lambda m: F.when(table, F.lit("")).otherwise(without_spaces(m)))
-    named = F.regexp_replace(c, r"\\(begin|end) \{(tabular|array)\}", r"\\$1{$2}")
-    heads = rewrite(named, rf"\\begin\{{tabular\}} {_NESTED_GROUP}", without_spaces)
-    rules = rewrite(heads, rf"\\(?:cmidrule|cline)(?: \([^()]*\))? {_NESTED_GROUP}", without_spaces)
-    c = F.when(table, rules).otherwise(c)
-    c = rewrite(
-        c,
-        r"\\begin\{array\} \{ [lrc ]+ \}",
-        lambda m: F.concat(F.lit("\\begin{array} "), without_spaces(F.substring(m, F.lit(15), F.length(m)))),
-    )
-    c = rewrite(c, r"\\not [<>+=\-]", without_spaces)
     one_space_after = lambda m: F.concat(without_spaces(m), F.lit(" "))
-    c = rewrite(c, r"\\[Bb]igg?[glrm]? [(){}|\[\]] ", one_space_after)
-    c = rewrite(c, r"(?s)\\[Bb]igg?[glrm]? \\.*? ", one_space_after)
-    c = rewrite(c, r"\\' [^{] ", one_space_after)
-    c = F.when(table, rewrite(c, r"\[ [\-.0-9 ]+[exptcm ]+ \]", without_spaces)).otherwise(c)
-    c = rewrite(c, r"\\parbox \{[^{]+\}", without_spaces)
-    c = rewrite(
-        c,
-        r"\\raisebox \{[^{]+\} [\[\]0-9 exptcm]+\{",
-        lambda m: F.concat(F.rtrim(without_spaces(m), F.lit("{")), F.lit(" {")),
-    )
-    c = rewrite(
-        c,
-        r"\{ \\char[0-9' ]+\}",
-        lambda m: F.concat(F.lit("{ "), F.translate(m, "{} ", ""), F.lit(" }")),
-    )
-    c = rewrite(c, r"\\not [\\=<>][^ ]+ ", one_space_after)
-    size = r" \{[ .0-9a-z]+\}"
-    c = rewrite(c, rf"\\specialrule{size}{size}{size}", without_spaces)
-    return unpad(c)
+    c = rewrite(pad(c), SPACE_COMMAND, lambda m: F.when(table, F.lit("")).otherwise(without_spaces(m)))
+    heads = rewrite(F.regexp_replace(c, TABLE_EDGE, r"\\$1{$2}"), TABLE_HEAD, without_spaces)
+    c = F.when(table, rewrite(heads, TABLE_RULE, without_spaces)).otherwise(c)
+    head = "\\begin{array} "
+    columns = lambda m: without_spaces(F.substring(m, F.lit(len(head)), F.length(m)))
+    c = rewrite(c, ARRAY_HEAD, lambda m: F.concat(F.lit(head), columns(m)))
+    c = rewrite(c, NOT_SIGN, without_spaces)
+    for pattern in (SIZED_DELIMITER, SIZED_COMMAND, ACCENT):
+        c = rewrite(c, pattern, one_space_after)
+    c = F.when(table, rewrite(c, TABLE_LENGTH, without_spaces)).otherwise(c)
+    c = rewrite(c, PARBOX, without_spaces)
+    c = rewrite(c, RAISEBOX, lambda m: F.concat(F.rtrim(without_spaces(m), F.lit("{")), F.lit(" {")))
+    c = rewrite(c, CHARACTER, lambda m: F.concat(F.lit("{ "), F.translate(m, "{} ", ""), F.lit(" }")))
+    c = rewrite(c, NOT_COMMAND, one_space_after)
+    return unpad(rewrite(c, SPECIAL_RULE, without_spaces))
 
 
 def drop_color(c: Column) -> Column:
@@ -275,11 +275,11 @@ def brace_single_args(c: Column) -> Column:
         depth = F.length(heads) - F.length(without_spaces(heads))
         return F.concat(F.replace(heads, F.lit(" "), F.lit(" { ")), inner, F.repeat(F.lit(" }"), depth))
 
-    c = rewrite(c, rf"{edge}(?:{one} )+(?:(?!{one}(?![^ ])){word}|{_NESTED_GROUP})(?![^ ])", close_chain)
+    c = rewrite(c, rf"{edge}(?:{one} )+(?:(?!{one}(?![^ ])){word}|{NESTED_GROUP})(?![^ ])", close_chain)
     c = F.regexp_replace(c, rf"{edge}({optional}) (?!\[ )({word})", "$1 { $2 }")
     c = F.regexp_replace(c, rf"{edge}({optional} \[ [^\[\]]*\]) ({word})", "$1 { $2 }")
     c = F.regexp_replace(c, rf"{edge}({two}) ({word})", "$1 { $2 }")
-    return F.regexp_replace(c, rf"{edge}({two} {_NESTED_GROUP}) ({word})", "$1 { $2 }")
+    return F.regexp_replace(c, rf"{edge}({two} {NESTED_GROUP}) ({word})", "$1 { $2 }")
 
 
 def normalize_token(c: Column) -> Column:
