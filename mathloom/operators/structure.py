@@ -172,7 +172,12 @@ def align_mutual_best(
     number of matches is the same as by occurrence alone. Expects visible boxes.
     """
     ordered = cut_lineage(box_center(token_order(boxes, keys, bits)))
-    costed = pair_cost(pair_candidates(ordered, keys, reach, bits))
+    needed = ordered.select(*keys, "side", "seq", "token", "bbox", "page_w", "page_h", "order")
+    costed = pair_cost(pair_candidates(needed, keys, reach, bits))
+    for side in ("gt", "pred"):
+        # centres follow from the boxes, so they are not shuffled with them
+        x, y = center(F.col(f"{side}_bbox"))
+        costed = costed.withColumn(f"{side}_x_c", x).withColumn(f"{side}_y_c", y)
     alone = (F.col("gt_n_same") == 1) & (F.col("pred_n_same") == 1)
     costed = cut_lineage(costed.select(*keys, *_MATCH, "cost", alone.alias("_alone")))
     # a token that occurs once on either side has one pair and no choice
