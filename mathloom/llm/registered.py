@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_score
+from . import bpe, lm_score, ngram_join, secret_scan, toxicity
 from .common import table
 
 
@@ -17,6 +17,27 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents").withColumn("_held", held), "_held")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose four-word shingles overlap by 85 in 100, as components."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, as spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secret_scan.joined("spans", secret_scan.KINDS[:3])
+
+    def counted(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(counted(k) for k in secret_scan.KINDS[:3]),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined("spans").alias("spans"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and back, as digests."""
     import public_tokenizers
@@ -25,9 +46,26 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), path))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, learnt from the labels of two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.folded())
+    scored = toxicity.annotate(docs, toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        toxicity.folded().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("clauses").cast("long").alias("n_clauses"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
+    "op5_ngram_join": op5_ngram_join,
+    "op7_secret_scan": op7_secret_scan,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
