@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, lm_score, ngram_join, secret_scan, toxicity
+from . import bpe, chat, embedding_dedup, lm_score, ngram_join, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -27,6 +27,16 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and verdict for all documents; trusted text is what the labels call good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = quality.trusted_keys(table(spark, sf_dir, "labels"))
+    marked = docs.join(good, docs["doc_id"] == good["_key"], "left").withColumn("_good", F.col("_key").isNotNull())
+    judged = quality.judge(marked.drop("_key"), F.col("_good"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return judged.select("doc_id", *(F.col(f"_quality.{name}") for name in names))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, as spans."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -79,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_lm_score": op2_lm_score,
     "op5_ngram_join": op5_ngram_join,
+    "op6_quality": op6_quality,
     "op7_secret_scan": op7_secret_scan,
     "op8_chat_windows": op8_chat_windows,
     "op9_bpe": op9_bpe,
