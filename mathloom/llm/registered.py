@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, lm_score, ngram_join, quality, secret_scan, toxicity
+from . import bpe, chat, embedding_dedup, lm_score, ngram_join, packing, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents").withColumn("_held", held), "_held")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in length buckets and batches."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose four-word shingles overlap by 85 in 100, as components."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
@@ -88,6 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_lm_score": op2_lm_score,
+    "op3_packing": op3_packing,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_secret_scan": op7_secret_scan,
