@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, lm_score, ngram_join, packing, quality, secret_scan, toxicity
+from . import bpe, chat, embedding_dedup, html_text, lm_score, ngram_join, packing, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -27,6 +27,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose four-word shingles overlap by 85 in 100, as components."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
@@ -94,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_lm_score": op2_lm_score,
     "op3_packing": op3_packing,
+    "op4_html_text": op4_html_text,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_secret_scan": op7_secret_scan,
