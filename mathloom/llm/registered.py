@@ -43,7 +43,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and verdict for all documents; trusted text is what the labels call good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = quality.trusted_keys(table(spark, sf_dir, "labels"))
-    marked = docs.join(good, docs["doc_id"] == good["_key"], "left").withColumn("_good", F.col("_key").isNotNull())
+    # the labels grow with the documents: a merge join at every size
+    marked = docs.join(good.hint("merge"), docs["doc_id"] == good["_key"], "left").withColumn("_good", F.col("_key").isNotNull())
     judged = quality.judge(marked.drop("_key"), F.col("_good"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
     return judged.select("doc_id", *(F.col(f"_quality.{name}") for name in names))
