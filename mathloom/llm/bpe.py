@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Documents are split into words at ASCII white space and gathered into blocks that name each of
-their words once. The (block, place, word) rows are dealt by word, so that each distinct word is
+their words once, by hash buckets. The buckets are dealt out, so that each distinct word is
 encoded once, and its ids go back to the block and from there to the word's positions. The
 tokenizer's own normalising, splitting and special strings never reach across white space, so the
 ids of a text are those of its words in order. Decoding joins ids with the vocabulary's pieces.
@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
-from .common import coded_blocks, unpack_codes
+from .common import coded_blocks, pack_codes, parts, unpack_bytes, unpack_codes
 
 
 def _loaded(path: str):
@@ -52,24 +51,35 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     others, an empty table gives no rows, and other columns are not read.
     """
     key_type = docs.schema[key].dataType
-    coded = cut_lineage(coded_blocks(docs, key, text).drop("held", "counts"))
-    words = coded.select("block", F.posexplode("words").alias("place", "word"))
+    coded = coded_blocks(docs, key, text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _loaded(path)
+        bucket, known = None, {}
         for batch in batches:
-            runs = batch.column(2).dictionary_encode()
-            fresh = [w.decode("utf-8", "replace") for w in runs.dictionary.to_pylist()]
-            known = [e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)] if fresh else []
-            lists = pa.array(known, pa.list_(pa.int32()))
+            done = []
+            for block, b, places, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if b != bucket:
+                    bucket, known = b, {}
+                listed = unpack_bytes(words).split(b"\n")
+                fresh = [w for w in listed if w not in known]
+                for w, e in zip(fresh, tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)):
+                    known[w] = e.ids
+                ids = [known[w] for w in listed]
+                flat = np.fromiter((i for x in ids for i in x), np.uint32)
+                done.append((block, len(listed), len(flat), places, pack_codes(np.fromiter(map(len, ids), np.uint32, len(ids))), pack_codes(flat)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists.take(runs.indices)], names=["block", "place", "ids"]
+                [pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3))],
+                names=["of", "n", "n_ids", "places", "lengths", "ids"],
             )
 
+    # sorted by bucket, so that a task remembers the words of one bucket at a time
     encoded = (
-        words.repartition("word")
-        .sortWithinPartitions("word")
-        .mapInArrow(encode, "block long, place int, ids array<int>")
+        parts(coded)
+        .select("block", "bucket", "places", "words")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(encode, "of long, n int, n_ids long, places binary, lengths binary, ids binary")
     )
     out = T.StructType(
         [
@@ -81,13 +91,14 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def assemble(coded_rows: pa.Table, word_rows: pa.Table) -> pa.Table:
         pieces = pieces_of(path)
-        order = np.empty(word_rows.num_rows, np.int64)
-        order[word_rows["place"].to_numpy()] = np.arange(word_rows.num_rows)
-        lists = word_rows["ids"].combine_chunks()
-        lists = lists.take(pa.array(order)) if len(order) else lists
-        flat_ids, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-        offsets = offsets - (offsets[0] if len(offsets) else 0)
-        starts, lengths = offsets[:-1], np.diff(offsets)
+        total = sum(word_rows["n"].to_pylist())
+        starts, lengths, flat, at = np.zeros(total, np.int64), np.zeros(total, np.int64), [], 0
+        for n, n_ids, places, sizes, ids in zip(*(word_rows[c].to_pylist() for c in ("n", "n_ids", "places", "lengths", "ids"))):
+            places, sizes = unpack_codes(places, n), unpack_codes(sizes, n).astype(np.int64)
+            lengths[places], starts[places] = sizes, at + np.cumsum(sizes) - sizes
+            flat.append(unpack_codes(ids, n_ids))
+            at += n_ids
+        flat_ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
         shown = np.empty(len(lengths), object)
         for i, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist())):
             shown[i] = " ".join(pieces[flat_ids[a : a + n]])
@@ -110,7 +121,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     return (
         coded.select("block", "keys", "sizes", "codes")
         .groupBy("block")
-        .cogroup(encoded.groupBy("block"))
+        .cogroup(encoded.groupBy("of"))
         .applyInArrow(assemble, out)
     )
 

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
-from .common import coded_blocks, kept, unpack_codes
+from .common import buckets_of, coded_blocks, kept, list_of, pack_bytes, pack_codes, parts, unpack_bytes, unpack_codes, word_bucket
 
 DEPTH = 32  # bytes of the longest anchored context
 END_WORD = 256  # the symbol after the last byte of a word
@@ -131,10 +130,13 @@ def _transitions(codes: np.ndarray, sizes: np.ndarray, joint: np.ndarray) -> np.
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each symbol begins a word after each two bytes, in training documents."""
     for batch in batches:
-        for held, sizes, words, codes in zip(*(batch.column(i) for i in range(4))):
+        for held, sizes, listed, codes in zip(*(batch.column(i) for i in range(4))):
             sizes = sizes.values.to_numpy().astype(np.int64)
             flat = unpack_codes(codes.as_py(), int(sizes.sum()))
-            joint = np.array([_joint(w) for w in words.as_py()], np.int64)
+            listed = listed.as_py()
+            joint = np.zeros(sum(p["n"] for p in listed), np.int64)
+            for p in listed:
+                joint[unpack_codes(p["places"], p["n"])] = [_joint(w) for w in unpack_bytes(p["words"]).split(b"\n")]
             learn = np.repeat(~held.values.to_numpy(zero_copy_only=False), sizes)
             keys, n = np.unique(_transitions(flat, sizes, joint)[learn], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
@@ -210,11 +212,30 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds += [("pair", bytes([k >> 17, (k >> 9) & 255]), k & 511, c) for k, c in pairs.items()]
     kinds += [("novel", b"", int(i), int(novel[i])) for i in np.flatnonzero(novel)]
     kinds += [("event", b"", int(i), int(events[i])) for i in np.flatnonzero(events)]
-    kind, context, symbol, count = zip(*kinds) if kinds else ((), (), (), ())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.string()), pa.array(context, pa.binary()), pa.array(symbol, pa.int32()), pa.array(count, pa.int64())],
-        names=["kind", "context", "symbol", "count"],
-    )
+    together = defaultdict(list)
+    for kind, context, symbol, count in kinds:
+        together[(kind, context[-1] if context else 0)].append((context, symbol, count))
+    for (kind, part), rows in together.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([kind]), pa.array([part], pa.int32()), *(list_of(pa.array(c, t)) for c, t in zip(zip(*rows), _ROW))],
+            names=["kind", "part", "contexts", "symbols", "counts"],
+        )
+
+
+_ROW = (pa.binary(), pa.int32(), pa.int64())
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Sums of the rows that several stretches have of one kind and last byte."""
+    sums, times = Counter(), Counter()
+    for contexts, symbols, counts in zip(*(table[c].to_pylist() for c in ("contexts", "symbols", "counts"))):
+        for key in zip(contexts, symbols, counts):
+            sums[key[:2]] += key[2]
+            times[key[:2]] += 1
+    keys = list(sums)
+    columns = [[table["kind"][0].as_py()] * len(keys), [k[0] for k in keys], [k[1] for k in keys], [sums[k] for k in keys], [times[k] for k in keys]]
+    types = (pa.string(), *_ROW, pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "context", "symbol", "count", "parts"])
 
 
 def _escape_events(novel, events, total, distinct, single, use) -> None:
@@ -317,23 +338,51 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
     no rows; columns that are not named are not read. Without training rows every symbol is
     equally likely.
     """
-    coded = cut_lineage(coded_blocks(docs, key, text, held, lower=True, end=END_TEXT))
-    entries = coded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(
-        "block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n")
+    coded = coded_blocks(docs, key, text, held, lower=True, end=END_TEXT)
+    entries = parts(coded).select("bucket", "block", "n", "words", "places", "counts")
+    buckets = buckets_of(docs.sparkSession)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, counts = None, Counter()
+
+        def rows(done: Counter) -> Iterator[pa.RecordBatch]:
+            words = list(done)
+            for a in range(0, len(words), 50_000):
+                own = words[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.binary()), pa.array([done[w] for w in own], pa.int64())], names=["word", "c"]
+                )
+
+        for batch in batches:
+            for b, n, words, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if b != bucket:
+                    yield from rows(counts)
+                    bucket, counts = b, Counter()
+                for w, c in zip(unpack_bytes(words).split(b"\n"), unpack_codes(found, n).tolist()):
+                    counts[w] += c
+        yield from rows(counts)
+
+    # sorted by bucket, so that a task counts the words of one bucket at a time
+    counted = (
+        entries.select("bucket", "n", "words", "counts")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(total, "word binary, c long")
     )
-    counted = entries.groupBy("word").agg(F.sum("n").alias("c"))
     vocabulary = kept(counted.repartitionByRange("word").sortWithinPartitions("word"))
     sums = vocabulary.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
 
     rows = (
-        vocabulary.mapInArrow(_statistics, "kind string, context binary, symbol int, count long")
-        .groupBy("kind", "context", "symbol")
-        .agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("parts"))
+        vocabulary.mapInArrow(
+            _statistics, "kind string, part int, contexts array<binary>, symbols array<int>, counts array<long>"
+        )
+        .groupBy("kind", "part")
+        .applyInArrow(_merged, "kind string, context binary, symbol int, count long, parts long")
         .collect()
     )
     starts = (
-        coded.select("held", "sizes", "words", "codes")
+        coded.select("held", "sizes", "parts", "codes")
         .mapInArrow(_starts, "key long, n long")
         .groupBy("key")
         .agg(F.sum("n").alias("n"))
@@ -349,16 +398,32 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
         found = _scored(words, counts, _Model(model.value))
         for a in range(0, len(words), 50_000):
             b = a + 50_000
-            joint = pa.array([_joint(w) for w in words[a:b]], pa.int64())
+            bucket = pa.array([word_bucket(w, buckets) for w in words[a:b]], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words[a:b], pa.binary()), pa.array(counts[a:b].astype(np.int64)), pa.array(found[a:b]), joint],
-                names=["word", "c", "lp", "joint"],
+                [bucket, pa.array(words[a:b], pa.binary()), pa.array(counts[a:b].astype(np.int64)), pa.array(found[a:b])],
+                names=["in_bucket", "word", "c", "lp"],
             )
 
-    words = vocabulary.mapInArrow(score_words, "word binary, c long, lp double, joint long")
-    # a block has each word once, so no key is more frequent than there are blocks
-    placed = entries.select("block", "place", "word").join(words, "word").select(
-        F.expr("block + 0").alias("of"), "place", "c", "lp", "joint"
+    scored = vocabulary.mapInArrow(score_words, "in_bucket int, word binary, c long, lp double")
+
+    def place(rows: pa.Table, found: pa.Table) -> pa.Table:
+        words = found["word"].to_pylist()
+        at = {w: i for i, w in enumerate(words)}
+        c, lp = found["c"].to_numpy(), found["lp"].to_numpy()
+        joint = np.array([_joint(w) for w in words], np.int64)
+        done = []
+        for block, n, listed, places in zip(*(rows[x].to_pylist() for x in ("block", "n", "words", "places"))):
+            own = np.array([at[w] for w in unpack_bytes(listed).split(b"\n")], np.int64)
+            done.append((block, n, places, pack_bytes(c[own].astype("<i8").tobytes()), lp[own].tobytes(), pack_codes(joint[own])))
+        types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+        columns = [pa.array(x, t) for x, t in zip(zip(*done), types)] if done else [pa.array([], t) for t in types]
+        return pa.table(columns, names=["of", "n", "places", "c", "lp", "joint"])
+
+    placed = (
+        entries.select("bucket", "block", "n", "words", "places")
+        .groupBy("bucket")
+        .cogroup(scored.groupBy("in_bucket"))
+        .applyInArrow(place, "of long, n int, places binary, c binary, lp binary, joint binary")
     )
     out = T.StructType(
         [
@@ -373,9 +438,13 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
     )
 
     def per_document(block: pa.Table, found: pa.Table) -> pa.Table:
-        place = found["place"].to_numpy()
-        c, lp, joint = np.zeros(len(place)), np.zeros(len(place)), np.zeros(len(place), np.int64)
-        c[place], lp[place], joint[place] = (found[x].to_numpy() for x in ("c", "lp", "joint"))
+        size = sum(found["n"].to_pylist())
+        c, lp, joint = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
+        for m, *packed in zip(*(found[x].to_pylist() for x in ("n", "places", "c", "lp", "joint"))):
+            places = unpack_codes(packed[0], m)
+            c[places] = np.frombuffer(unpack_bytes(packed[1]), "<i8")
+            joint[places] = unpack_codes(packed[3], m)
+            lp[places] = np.frombuffer(packed[2], np.float64)
         sizes = block["sizes"][0].values.to_numpy().astype(np.int64)
         codes = unpack_codes(block["codes"][0].as_py(), int(sizes.sum()))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])  # no document is without its end
