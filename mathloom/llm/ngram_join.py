@@ -9,8 +9,9 @@ by many sets and come last, and neighbourhoods make up for them. The smaller set
 its segments. What agrees is a candidate and is verified on the whole sets.
 
 Sets are named by a 64-bit digest, so equal texts are one node from the start. Within a group of
-equal signatures, members meet one hub and not each other; the links found so far merge them, and
-only groups that still hold several components go on, at last with all pairs across components.
+equal signatures, members first meet one hub and not each other, and the links found merge them.
+Only groups that still hold several components go on: with pairs across components where few sets
+are outside the largest one, else by comparing blocks of sets, which gives links but no pairs.
 N-grams are compared by 64-bit hashes.
 """
 
@@ -31,7 +32,8 @@ from .graph import components
 
 BAND_RATIO = 1.5
 SPARE = 0.04  # share of segments that also have one-deletion neighbourhoods
-HUB_ROUNDS = 3
+FEW = 32  # sets outside the largest component up to which a group forms pairs
+BLOCK = 500  # sets of a block
 INDEXED, PROBED = 1, 2
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -267,58 +269,30 @@ def jaccard_components(
     chosen = source.join(wanted, source["key"].eqNullSafe(wanted["key"])).select(source["key"], "text", "cls")
     stored = cut_lineage(chosen.mapInArrow(arrays, "cls long, grams binary").dropDuplicates(["cls"]))
 
-    links = None
-    component = None
-    tried = None
-    for hub_round in range(HUB_ROUNDS + 1):
-        rows = grouped.select("sig", "cls", F.expr("meta >> 2").alias("n"), F.expr("meta & 3").alias("role"))
-        if component is None:
-            rows = rows.withColumn("comp", F.col("cls"))
-        else:
-            named = component.select(F.col("node").alias("_c"), "component")
-            rows = rows.join(named, rows["cls"] == F.col("_c"), "left").withColumn("comp", F.coalesce("component", "cls"))
-            rows = rows.drop("_c", "component")
-            mixed = rows.groupBy("sig").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-            rows = cut_lineage(rows.join(mixed.filter("_low <> _high").select("sig"), "sig"))
-        if hub_round < HUB_ROUNDS:
-            order = F.xxhash64(F.col("cls"), F.lit(hub_round))
-            hub = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n", "comp"), order).alias("hub"))
-            met = rows.join(hub, "sig").filter(F.col("comp") != F.col("hub.comp"))
-            met = met.select(
-                F.col("hub.cls").alias("x"), F.col("cls").alias("y"), F.col("hub.n").alias("nx"), F.col("n").alias("ny")
-            )
-        else:
-            # what is left: in each group, all that is not of its largest component meets the others
-            sizes = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_k"))
-            most = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_most"))
-            few = rows.join(most, "sig").filter(F.col("comp") != F.col("_most"))
-            few = few.select("sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("role").alias("rx"))
-            met = few.join(rows, "sig").filter("cx <> comp and ((rx & 2) > 0 and (role & 1) > 0 or (role & 2) > 0 and (rx & 1) > 0)")
-            met = met.select("x", F.col("cls").alias("y"), "nx", F.col("n").alias("ny"))
-        met = met.filter(f"{den} * least(nx, ny) >= {num} * greatest(nx, ny)")
-        pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-            F.count(F.lit(1)).alias("shared"), F.first("x").alias("hub"), F.first("y").alias("far")
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if hub_round < HUB_ROUNDS:
-            # a set first meets the hub that it shares most with
-            best = pairs.groupBy("far").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p"))
-            pairs = best.select("p.a", "p.b").distinct()
-        pairs = cut_lineage(pairs.select("a", "b"))
-        if not pairs.head(1):
-            if component is None or hub_round == HUB_ROUNDS:
-                break
-            continue
-        found = cut_lineage(_verified(pairs, stored, num, den))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        component = cut_lineage(components(links))
+    rows = grouped.select("sig", "cls", F.expr("meta >> 2").alias("n"), F.expr("meta & 3").alias("role"))
+    # first, every set meets the hub that it shares most groups with
+    hub = rows.groupBy("sig").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("hub"))
+    met = rows.join(hub, "sig").filter(F.col("cls") != F.col("hub.cls")).filter(_sizes_fit("hub.n", "n", num, den))
+    best = (
+        met.groupBy(F.col("cls").alias("b"), F.col("hub.cls").alias("a"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .groupBy("b")
+        .agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    )
+    links = cut_lineage(_verified(best, stored, num, den))
+    named = components(links).select(F.col("node").alias("_c"), "component")
+    rows = rows.join(named, rows["cls"] == F.col("_c"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("_c", "component")
+    # of each group, all that is not of its largest component has yet to meet the others
+    sizes = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_k"))
+    most = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_most"), (F.sum("_k") - F.max("_k")).alias("_few"))
+    rows = cut_lineage(rows.join(most.filter("_few > 0"), "sig"))
+    links = links.unionByName(_in_pairs(rows.filter(F.col("_few") <= FEW), stored, num, den))
+    links = links.unionByName(_in_blocks(rows.filter(F.col("_few") > FEW), stored, num, den))
+    component = components(cut_lineage(links))
 
     named = member.select("cls", "key", "n")
-    if component is not None:
-        named = named.join(component.withColumnRenamed("node", "cls"), "cls", "left")
-        named = named.withColumn("cls", F.coalesce("component", "cls"))
+    named = named.join(component.withColumnRenamed("node", "cls"), "cls", "left")
+    named = named.withColumn("cls", F.coalesce("component", "cls"))
     # nothing links texts without n-grams; a set with n-grams is known by its class or component
     filled = named.filter("n > 0")
     least = filled.groupBy("cls").agg(F.min("key").alias("component_id"))
@@ -331,6 +305,78 @@ def _LONGS(*names: str) -> list[T.StructField]:
     return [T.StructField(name, T.LongType()) for name in names]
 
 
+def _sizes_fit(a: str, b: str, num: int, den: int):
+    return F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
+
+
+def _in_pairs(rows: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
+    """Links across components in groups with few sets outside the largest one: at most FEW pairs a row."""
+    few = rows.filter(F.col("comp") != F.col("_most"))
+    few = few.select("sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("role").alias("rx"))
+    met = few.join(rows, "sig").filter(
+        "cx <> comp and ((rx & 2) > 0 and (role & 1) > 0 or (role & 2) > 0 and (rx & 1) > 0)"
+    )
+    met = met.filter(_sizes_fit("nx", "n", num, den))
+    pairs = met.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+    return _verified(pairs, stored, num, den)
+
+
+def _in_blocks(rows: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
+    """Links across components in the other groups, without rows for pairs.
+
+    Sets that such groups connect are cut into blocks of about BLOCK; each pair of blocks is one
+    task that multiplies their incidence matrices and returns links that span what it finds.
+    """
+    hub = rows.groupBy("sig").agg(F.min("cls").alias("hub"))
+    cluster = components(rows.join(hub, "sig").select("cls", "hub").distinct(), "cls", "hub")
+    one = rows.groupBy("cls").agg(F.first("comp").alias("comp"))
+    placed = cluster.withColumnRenamed("node", "cls").withColumnRenamed("component", "cluster").join(one, "cls")
+    blocks = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = placed.join(stored, "cls").select("cluster", "cls", "comp", "grams", "block", other)
+    dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "cls", "comp", "grams")
+
+    def compare(part: pa.Table) -> pa.Table:
+        names, comps = part["cls"].to_pylist(), part["comp"].to_pylist()
+        sets = [np.frombuffer(g, np.uint64) for g in part["grams"].to_pylist()]
+        sizes = np.array([len(g) for g in sets], np.int64)
+        grams, place = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        # n-grams of one set alone are in no intersection
+        shared = np.flatnonzero(np.bincount(place, minlength=len(grams)) > 1)
+        column = np.full(len(grams), -1)
+        column[shared] = np.arange(len(shared))
+        column = column[place]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for a in range(0, len(shared), 4096):
+            i, j = np.searchsorted(column, [a, a + 4096])
+            held = np.zeros((len(sets), min(4096, len(shared) - a)), np.float32)
+            held[owner[i:j], column[i:j] - a] = 1
+            common += held @ held.T
+        x, y = np.nonzero(den * common >= num * (sizes[:, None] + sizes[None, :] - common))
+        parent: dict = {}
+
+        def root(c):
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for i, j in zip(x.tolist(), y.tolist()):
+            if i < j:
+                p, q = root(comps[i]), root(comps[j])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((names[i], names[j]))
+        columns = list(zip(*out)) if out else [[], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def _verified(pairs: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose whole sets pass the test. The far ends fetch their sets first, then the hubs."""
 
