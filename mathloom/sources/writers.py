@@ -37,8 +37,9 @@ def append_quarantine(df: DataFrame, path: str, run_id: str, reason: str | None
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    """Append metric rows, keyed by model and dataset, so that no run overwrites another."""
-    df.write.mode("append").partitionBy("model", "dataset").json(path)
+    """Write metric rows by model and dataset; a repeat replaces the rows of its own models and datasets only."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("model", "dataset").json(path)
 
 
 def write_records_json(df: DataFrame, path: str) -> None:

@@ -138,3 +138,11 @@ def test_a_long_conversation_is_kept_whole_in_parts(spark):
     parts = registry.gather_turns(turns, "conv", "turn", ["text"]).orderBy("part").collect()
     assert [len(p.turns) for p in parts] == [1024, 1024, 452]
     assert [t.turn for p in parts for t in p.turns] == list(range(2500))
+
+
+def test_a_repeated_run_of_metrics_replaces_its_own_rows(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    rows = spark.createDataFrame([("a", "x", 0.5), ("b", "x", 0.7)], "model string, dataset string, bleu double")
+    for only in ("a", "b", "a"):
+        writers.write_metrics(rows.filter(rows.model == only), path)
+    assert sorted((r.model, r.bleu) for r in spark.read.json(path).collect()) == [("a", 0.5), ("b", 0.7)]
