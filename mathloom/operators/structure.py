@@ -27,6 +27,9 @@ MAX_RESIDUAL = 25.0  # pixels
 MIN_FIT = 3  # a fit needs more matches than this
 FIT_ROUNDS = 3
 DIGITS = 3
+TOKEN_COSTS = (0.0, 0.05)  # same spelling, same normalised form
+POSITION_WEIGHT, ORDER_WEIGHT = 0.05, 0.15
+NO_COST = 100.0  # of a pair whose cost is no number
 
 # ---- Rows ------------------------------------------------------------------------------------
 
@@ -111,22 +114,32 @@ def _join_sides(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return gt.join(pred.hint("merge"), [*_fine_first(keys), "norm_token", "k"])
 
 
-def pair_candidates(
-    boxes: DataFrame, keys: list[str] = KEYS, reach: int = 1, bits: int | None = None
-) -> DataFrame:
-    """Pairs of equal normalised tokens whose occurrence numbers differ by at most ``reach``.
+def pair_candidates(boxes: DataFrame, keys: list[str] = KEYS, bits: int | None = None) -> DataFrame:
+    """One-to-one pairs of equal normalised tokens, equal spelling first.
 
-    That is at most ``2 * reach + 1`` pairs per token, however often the token repeats; with the
-    leftovers matched by :func:`align_mutual_best` no token loses its partner to the limit.
-    ``token_cost`` is 0 for the same spelling and 0.05 for the same normalised form.
+    The k-th gt occurrence of a token as spelled takes the k-th pred one. What is left over is paired
+    by the k-th occurrence of its normalised form. A token that repeats m times gives at most m pairs,
+    and every token has its partner, however far apart the two are: the number of pairs is the
+    largest possible. ``token_cost`` is 0 for the same spelling and 0.05 for the same form only.
     """
-    gt, pred = _sides(occurrence_rank(boxes, keys, bits), keys)
-    steps = F.sequence(F.lit(-reach), F.lit(reach)) if reach else F.array(F.lit(0))
-    near = F.filter(F.transform(steps, lambda step: F.col("gt_k") + step), lambda k: k >= 0)
-    spread = gt.withColumnRenamed("k", "gt_k").withColumn("k", F.explode(near))
-    pairs = _join_sides(spread, pred, keys).withColumnRenamed("k", "pred_k")
-    cost = F.when(F.col("gt_token") == F.col("pred_token"), F.lit(0.0)).otherwise(F.lit(0.05))
-    return pairs.withColumn("token_cost", cost)
+    fine = _fine_first(keys)
+    side = [*fine, "side"]
+    own = [c for c in boxes.columns if c not in {*keys, "side"}]
+    spelled = numbered(boxes.withColumn("_spelled", F.coalesce("token", F.lit(""))), [*side, "_spelled"], "seq", "_k", sample=side, bits=bits)
+    pick = lambda name: spelled.filter(F.col("side") == name).select(
+        *fine, "_spelled", "_k", F.struct(*own).alias(name)
+    )
+    met = cut_lineage(pick("gt").join(pick("pred").hint("merge"), [*fine, "_spelled", "_k"], "full"))
+    flat = lambda name: [F.col(f"{name}.{c}").alias(f"{name}_{c}") for c in own]
+    both = F.col("gt").isNotNull() & F.col("pred").isNotNull()
+    form = F.coalesce(normalize_token(F.col("_spelled")), F.lit("")).alias("norm_token")
+    exact = met.filter(both).select(*keys, form, *flat("gt"), *flat("pred"), F.lit(TOKEN_COSTS[0]).alias("token_cost"))
+    free = met.filter(~both).select(
+        *keys, F.when(F.col("gt").isNotNull(), "gt").otherwise("pred").alias("side"), F.coalesce("gt", "pred").alias("_own")
+    )
+    left, right = _sides(_ranked_rest(free.select(*keys, "side", "_own.*"), keys, bits), keys)
+    alike = _join_sides(left, right, keys).drop("k").withColumn("token_cost", F.lit(TOKEN_COSTS[1]))
+    return exact.unionByName(alike.select(*exact.columns))
 
 
 def pair_cost(pairs: DataFrame) -> DataFrame:
@@ -140,11 +153,11 @@ def pair_cost(pairs: DataFrame) -> DataFrame:
         edges.append(F.abs(scaled[0] - scaled[1]))
     position = (edges[0] + edges[1] + edges[2] + edges[3]) / 4
     order = F.abs(F.col("gt_order") - F.col("pred_order"))
-    total = F.col("token_cost") + 0.05 * F.col("position_cost") + 0.15 * F.col("order_cost")
+    total = F.col("token_cost") + POSITION_WEIGHT * F.col("position_cost") + ORDER_WEIGHT * F.col("order_cost")
     return (
         pairs.withColumn("position_cost", position)
         .withColumn("order_cost", order)
-        .withColumn("cost", F.coalesce(F.round(F.nanvl(total, F.lit(100.0)), 9), F.lit(100.0)))
+        .withColumn("cost", F.coalesce(F.round(F.nanvl(total, F.lit(NO_COST)), 9), F.lit(NO_COST)))
     )
 
 
@@ -163,55 +176,20 @@ def align_by_occurrence(boxes: DataFrame, keys: list[str] = KEYS, bits: int | No
     return _join_sides(gt, pred, keys).select(*keys, *_MATCH)
 
 
-def align_mutual_best(
-    boxes: DataFrame, keys: list[str] = KEYS, rounds: int = 3, reach: int = 1, bits: int | None = None
-) -> DataFrame:
-    """One-to-one matches by cost: pairs that are cheapest for both their tokens, round by round.
+def align_mutual_best(boxes: DataFrame, keys: list[str] = KEYS, bits: int | None = None) -> DataFrame:
+    """The matches of :func:`pair_candidates`: equal spelling first, then equal normalised form.
 
-    What is still free after the rounds is matched by occurrence among the free tokens, so the
-    number of matches is the same as by occurrence alone. Expects visible boxes.
+    As many as :func:`align_by_occurrence` finds, at the lowest token cost. Expects visible boxes.
     """
-    ordered = cut_lineage(box_center(token_order(boxes, keys, bits)))
-    needed = ordered.select(*keys, "side", "seq", "token", "bbox", "page_w", "page_h", "order")
-    costed = pair_cost(pair_candidates(needed, keys, reach, bits))
-    for side in ("gt", "pred"):
-        # centres follow from the boxes, so they are not shuffled with them
-        x, y = center(F.col(f"{side}_bbox"))
-        costed = costed.withColumn(f"{side}_x_c", x).withColumn(f"{side}_y_c", y)
-    alone = (F.col("gt_n_same") == 1) & (F.col("pred_n_same") == 1)
-    costed = cut_lineage(costed.select(*keys, *_MATCH, "cost", alone.alias("_alone")))
-    # a token that occurs once on either side has one pair and no choice
-    matched = [costed.filter("_alone").select(*keys, *_MATCH)]
-    still = costed.filter("not _alone").drop("_alone")
-    by_gt = Window.partitionBy(*_fine_first(keys), "gt_seq")
-    by_pred = Window.partitionBy(*_fine_first(keys), "pred_seq")
-    for _ in range(rounds):
-        # both windows see the few candidates of one token; only pairs of free tokens go on
-        judged = cut_lineage(
-            still.withColumn("_first", F.row_number().over(by_gt.orderBy("cost", "pred_seq")) == 1)
-            .withColumn("_won", F.col("_first") & (F.row_number().over(by_pred.orderBy("cost", "gt_seq")) == 1))
-            .withColumn("_pred_taken", F.max("_won").over(by_pred))
-            .withColumn("_gt_taken", F.max("_won").over(by_gt))
-        )
-        matched.append(judged.filter("_won").select(*keys, *_MATCH))
-        still = judged.filter("not _pred_taken and not _gt_taken").select(*still.columns)
-    won = reduce(DataFrame.unionByName, matched)
-    taken = reduce(
-        DataFrame.union,
-        [won.select(*keys, F.lit(s).alias("side"), F.col(f"{s}_seq").alias("seq")) for s in ("gt", "pred")],
-    )
-    rest = cut_lineage(ordered.join(taken.hint("merge"), [*_fine_first(keys), "side", "seq"], "left_anti"))
-    return won.unionByName(_align_rest(rest, keys, bits))
+    narrow = box_center(boxes).select(*keys, "side", "seq", "token", "x_c", "y_c")
+    return pair_candidates(narrow, keys, bits).select(*keys, *_MATCH)
 
 
-def _align_rest(boxes: DataFrame, keys: list[str], bits: int | None) -> DataFrame:
-    """Occurrence matches among leftovers. Their places have gaps, so they are numbered first."""
+def _ranked_rest(boxes: DataFrame, keys: list[str], bits: int | None) -> DataFrame:
+    """Leftovers with ``norm_token`` and ``k``. Their places have gaps, so they are numbered first."""
     side = [*_fine_first(keys), "side"]
-    named = _named(boxes).select(*keys, "side", "seq", "norm_token", "x_c", "y_c")
-    dense = numbered(named, side, "seq", "_place", bits=bits)
-    ranked = numbered(dense, [*side, "norm_token"], "_place", "k", sample=side, bits=bits).drop("_place")
-    gt, pred = _sides(ranked, keys)
-    return _join_sides(gt, pred, keys).select(*keys, *_MATCH)
+    dense = numbered(_named(boxes), side, "seq", "_place", bits=bits)
+    return numbered(dense, [*side, "norm_token"], "_place", "k", sample=side, bits=bits).drop("_place")
 
 
 # ---- Residual test ---------------------------------------------------------------------------

@@ -129,9 +129,10 @@ def _boxes_sql(body: str) -> str:
 
 
 _RANKED = (
-    f"named AS MATERIALIZED (SELECT *, {norm_token_sql('token')} AS norm_token, "
-    f"(row_number() OVER (PARTITION BY {_K}, side ORDER BY seq) - 1)::double / "
-    f"count(*) OVER (PARTITION BY {_K}, side) AS ord FROM all_boxes WHERE visible), "
+    "forms AS MATERIALIZED (SELECT token, "
+    f"{norm_token_sql('token')} AS norm_token FROM (SELECT DISTINCT token FROM all_boxes WHERE visible)), "
+    f"named AS MATERIALIZED (SELECT b.*, norm_token, (row_number() OVER (PARTITION BY {_K}, side ORDER BY seq) - 1)::double / "
+    f"count(*) OVER (PARTITION BY {_K}, side) AS ord FROM all_boxes b JOIN forms USING (token) WHERE visible), "
     f"ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {_K}, side, norm_token ORDER BY seq) - 1 AS k "
     "FROM named)"
 )
@@ -207,33 +208,21 @@ def _residual_rounds(rounds: int = 3) -> str:
     return ", ".join(parts) + f", settled AS ({union})"
 
 
-def _mutual_rounds(rounds: int = 3) -> str:
-    """Mutually cheapest pairs among the candidates, then the free tokens by occurrence."""
-    key = f"{_K}, gt_seq", f"{_K}, pred_seq"
-    parts = [f"open0 AS MATERIALIZED ({_pairs('abs(g.k - p.k) <= 1', f', {_COST} AS cost')})"]
-    for r in range(rounds):
-        parts.append(
-            f"won{r} AS MATERIALIZED (SELECT * FROM open{r} QUALIFY "
-            f"row_number() OVER (PARTITION BY {key[0]} ORDER BY cost, pred_seq) = 1 "
-            f"AND row_number() OVER (PARTITION BY {key[1]} ORDER BY cost, gt_seq) = 1)"
-        )
-        parts.append(
-            f"open{r + 1} AS MATERIALIZED (SELECT * FROM open{r} WHERE ({key[0]}) NOT IN (SELECT ({key[0]}) FROM won{r}) "
-            f"AND ({key[1]}) NOT IN (SELECT ({key[1]}) FROM won{r}))"
-        )
-    columns = f"{_K}, norm_token, gt_seq, pred_seq"
-    union = " UNION ALL ".join(f"SELECT {columns} FROM won{r}" for r in range(rounds))
-    parts.append(f"won AS MATERIALIZED ({union})")
-    parts.append(
-        f"left_over AS (SELECT *, row_number() OVER (PARTITION BY {_K}, side, norm_token ORDER BY seq) AS j FROM ranked "
-        f"WHERE CASE WHEN side = 'gt' THEN ({_K}, seq) NOT IN (SELECT ({key[0]}) FROM won) "
-        f"ELSE ({_K}, seq) NOT IN (SELECT ({key[1]}) FROM won) END)"
+def _two_tiers(columns: str = "") -> str:
+    """Of each spelling the shared number of tokens is paired in order; the surplus is paired by form."""
+    pairs = lambda rows, same: (
+        f"SELECT g.model, g.dataset, g.sample_id, g.norm_token, g.seq AS gt_seq, p.seq AS pred_seq{columns} FROM {rows} g "
+        f"JOIN {rows} p ON {_ON} AND {same} WHERE g.side = 'gt' AND p.side = 'pred'"
     )
-    rest = (
-        f"SELECT g.model, g.dataset, g.sample_id, g.norm_token, g.seq, p.seq FROM left_over g JOIN left_over p ON {_ON} "
-        "AND g.norm_token = p.norm_token AND g.j = p.j WHERE g.side = 'gt' AND p.side = 'pred'"
+    return (
+        f"spelled AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {_K}, side, token ORDER BY seq) AS nth FROM named), "
+        f"shared AS (SELECT {_K}, token, least(count(*) FILTER (side = 'gt'), count(*) FILTER (side = 'pred')) AS n_shared "
+        "FROM spelled GROUP BY ALL), "
+        f"surplus AS MATERIALIZED (SELECT s.*, row_number() OVER (PARTITION BY {_K}, side, norm_token ORDER BY seq) AS j "
+        f"FROM spelled s JOIN shared USING ({_K}, token) WHERE nth > n_shared), "
+        f"paired AS MATERIALIZED ({pairs('spelled', 'g.token = p.token AND g.nth = p.nth')} "
+        f"UNION ALL {pairs('surplus', 'g.norm_token = p.norm_token AND g.j = p.j')}) SELECT * FROM paired"
     )
-    return ", ".join(parts) + f" SELECT * FROM won UNION ALL {rest}"
 
 
 ORACLES = {
@@ -251,14 +240,13 @@ ORACLES = {
     "w03_occurrence_rank": _boxes_sql(f"WITH {_RANKED} SELECT {_K}, side, seq, norm_token, k FROM ranked"),
     "j07_pair_samples": _boxes_sql(f"WITH {_COUNTS} SELECT * FROM counts"),
     "j09_pair_candidates": _boxes_sql(
-        f"WITH {_RANKED} "
-        + _pairs("abs(g.k - p.k) <= 1", ", CASE WHEN g.token = p.token THEN 0.0::double ELSE 0.05::double END AS token_cost")
+        f"WITH {_RANKED}, " + _two_tiers(", CASE WHEN g.token = p.token THEN 0.0::double ELSE 0.05::double END AS token_cost")
     ),
-    "m01_pair_cost": _boxes_sql(
-        f"WITH {_RANKED} " + _pairs("abs(g.k - p.k) <= 1", f", round({_COST}, 6)::double AS cost")
+    "m01_pair_cost": _boxes_sql(f"WITH {_RANKED}, " + _two_tiers(f", round({_COST}, 6)::double AS cost")),
+    "m02a_align_by_occurrence": _boxes_sql(
+        f"WITH {_RANKED}, paired AS MATERIALIZED ({_pairs('g.k = p.k')}) SELECT * FROM paired"
     ),
-    "m02a_align_by_occurrence": _boxes_sql(f"WITH {_RANKED} " + _pairs("g.k = p.k")),
-    "m02b_align_mutual_best": _boxes_sql(f"WITH {_RANKED}, " + _mutual_rounds()),
+    "m02b_align_mutual_best": _boxes_sql(f"WITH {_RANKED}, " + _two_tiers()),
     "m03_residual_inliers": _boxes_sql(
         f"WITH {_RANKED}, {_MATCHED}, {_residual_rounds()} "
         f"SELECT {_K}, norm_token, gt_seq, pred_seq, fits::int AS inlier FROM settled"

@@ -60,15 +60,17 @@ def test_blocks_do_not_change_results(boxes):
         assert whole == cut
 
 
-def test_cheaper_pairs_win(spark):
-    """One gt token beside two pred tokens of the same kind takes the nearer one."""
-    rows = [_box("s", "gt", 0, "a", 200), _box("s", "pred", 0, "a", 0), _box("s", "pred", 1, "a", 200)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert s.align_by_occurrence(df).first().pred_seq == 0
-    # the order term still favours the first: 0.15 * 0.5 against 0.05 * 0.1
-    assert s.align_mutual_best(df).first().pred_seq == 0
-    far = spark.createDataFrame([r[:5] + (100, 100) for r in rows], SCHEMA)
-    assert s.align_mutual_best(far).first().pred_seq == 0
+def test_equal_spelling_comes_first_at_any_distance(spark):
+    """``\\leq`` and ``\\le`` are alike; each takes its own spelling, the surplus takes what is left."""
+    rows = [_box("s", "gt", 0, "\\le", 800)] + [_box("s", "pred", i, "\\leq", 10 * i) for i in range(5)]
+    rows += [_box("s", "pred", 5, "\\le", 800), _box("s", "gt", 1, "\\leq", 0), _box("s", "gt", 2, "\\le", 0)]
+    pairs = s.pair_candidates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.gt_seq, r.pred_seq, r.token_cost) for r in pairs} == {(0, 5, 0.0), (1, 0, 0.0), (2, 1, 0.05)}
+
+
+def test_a_repeated_token_gives_linear_pairs(spark):
+    rows = [_box("s", side, i, "a", i) for side in ("gt", "pred") for i in range(300)]
+    assert s.pair_candidates(spark.createDataFrame(rows, SCHEMA), bits=4).count() == 300
 
 
 def test_same_page_scores_one(spark):
