@@ -49,6 +49,15 @@ def chat_messages(column: Column, entry: Entry) -> Column:
     return F.transform(column, turn)
 
 
+def canonical_turns(df: DataFrame, entry: Entry) -> DataFrame:
+    """Chat stored one turn per row: each turn in the message model as ``message``.
+
+    No row is gathered, so a conversation may have any number of turns.
+    """
+    tags = {**TAGS, **(entry.get("tags") or {})}
+    return df.withColumn("message", message(_role(F.col(tags["role_tag"]), tags), F.col(tags["content_tag"])))
+
+
 def canonical_chat(df: DataFrame, entry: Entry) -> DataFrame:
     """Chat rows: the turn array becomes ``messages``."""
     name = _columns(entry).get("messages", "conversations")
@@ -146,19 +155,6 @@ def canonical(df: DataFrame, entry: Entry) -> DataFrame:
     return with_side_columns(out, entry)
 
 
-def gather_turns(
-    df: DataFrame, key: str, turn: str, columns: list[str], per_row: int = 1024
-) -> DataFrame:
-    """Turns stored one per row as ``(key, part, turns)``, in order.
-
-    ``turn`` is unique and dense per key. A row takes up to ``per_row`` turns, so a conversation
-    of any length is kept whole without one row that holds all of it; nearly all have part 0 only.
-    """
-    part = F.floor(F.col(turn) / per_row).cast("int").alias("part")
-    turns = F.sort_array(F.collect_list(F.struct(turn, *columns)))
-    return df.groupBy(key, part).agg(turns.alias("turns"))
-
-
 def previous_turns(df: DataFrame, key: str, turn: str, columns: list[str], back: int = 1) -> DataFrame:
     """Each turn beside the one ``back`` turns before it, by an equi-join on the turn number."""
     earlier = df.select(

@@ -47,11 +47,9 @@ def _flat_sql(*messages: str) -> str:
 
 
 def canonical_chat(spark, sf):
-    """Whole conversations, then one row per message to compare."""
-    gathered = r.gather_turns(_turns(spark, sf), "conv_id", "turn", ["role", "text"])
-    chat = r.canonical_chat(gathered, CHAT)
-    rows = chat.select("conv_id", "part", F.posexplode("messages").alias("i", "message"))
-    return rows.select("conv_id", "part", "i", "message.role", "message.content")
+    """Every turn of every conversation in the message model."""
+    turns = r.canonical_turns(_turns(spark, sf), CHAT)
+    return turns.select("conv_id", "turn", "message.role", "message.content")
 
 
 def canonical_chat_default_tags(spark, sf):
@@ -133,10 +131,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "r01_canonical_chat": (
-        "SELECT conv_id, turn // 1024 AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, "
-        "role, text AS content FROM conversations"
-    ),
+    "r01_canonical_chat": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "r01_canonical_chat_default_tags": (
         f"SELECT conv_id, turn, 2 AS n_messages, {_flat_sql(chr(39) + 'user' + chr(39), 'question', chr(39) + 'assistant' + chr(39), 'answer')} "
         f"FROM ({_PAIRS})"

@@ -133,11 +133,10 @@ def test_layouts(spark):
     ]
 
 
-def test_a_long_conversation_is_kept_whole_in_parts(spark):
-    turns = spark.range(2500).select(F.lit("c").alias("conv"), F.col("id").cast("int").alias("turn"), F.col("id").cast("string").alias("text"))
-    parts = registry.gather_turns(turns, "conv", "turn", ["text"]).orderBy("part").collect()
-    assert [len(p.turns) for p in parts] == [1024, 1024, 452]
-    assert [t.turn for p in parts for t in p.turns] == list(range(2500))
+def test_turns_of_a_long_conversation_stay_rows(spark):
+    turns = spark.range(2500).select(F.lit("c").alias("conv"), F.col("id").alias("turn"), F.lit("gpt").alias("from"), F.col("id").cast("string").alias("value"))
+    got = registry.canonical_turns(turns, {"formatting": "sharegpt"}).select("turn", "message.*").collect()
+    assert {(r.turn, r.role, r.content) for r in got} == {(i, "assistant", str(i)) for i in range(2500)}
 
 
 def test_a_repeated_run_of_metrics_replaces_its_own_rows(spark, tmp_path):
