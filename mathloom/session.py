@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ def build_session(app: str = "mathloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where none is set (tests, a laptop) a temporary folder is made and used.
+    Only where none is set it is a folder of the warehouse, which executors reach as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -36,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(folder)
         return folder
     if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mathloom-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(f"{warehouse.rstrip('/')}/_scratch")
         current = spark.sparkContext.getCheckpointDir()
     return current
 
