@@ -82,14 +82,18 @@ def squeeze(c: Column) -> Column:
     return F.when(has_long_run, long_runs).otherwise(F.regexp_replace(c, gone, ""))
 
 
-def clean_env(c: Column) -> Column:
-    """No spaces in environment names; ``$ $`` becomes ``$$``."""
-    named = rewrite(
+def named_env(c: Column) -> Column:
+    """No spaces in ``\\begin{..}`` and ``\\end{..}``, so that each is one token."""
+    return rewrite(
         c,
         ENVIRONMENT_NAME,
         lambda m: without_spaces(F.regexp_replace(m, ENVIRONMENT_NAME, r"\\$1{$2}")),
     )
-    return F.regexp_replace(named, rf"\${SPACE}+\$", r"\$\$")
+
+
+def clean_env(c: Column) -> Column:
+    """No spaces in environment names; ``$ $`` becomes ``$$``."""
+    return F.regexp_replace(named_env(c), rf"\${SPACE}+\$", r"\$\$")
 
 
 def tokens(c: Column) -> Column:

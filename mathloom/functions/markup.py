@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .latex import tokenize
+from .latex import named_env, tokenize
 from .text import SPACE, drop_all, let, pad, rewrite, strip, swap_all, unpad, without_spaces
 
 # ---- Fixed values: names and patterns that decide the result ---------------------------------
@@ -326,6 +326,12 @@ def size_bucket(n_visible: Column) -> Column:
 
 
 def tokenized_formula(c: Column) -> Column:
-    """Ground truth in its tokenised form: the text steps around the lexer, in order."""
-    prepared = rm_to_mathrm(precondition_formula(canonical_env(c)))
-    return operator_names(tokenize(prepared))
+    """Ground truth in its tokenised form: the text steps around the lexer, in order.
+
+    Text with a ``tabular`` is repaired and keeps its dollars and percent signs; all other text is
+    taken as a formula. Environment names stay whole.
+    """
+    formula = rm_to_mathrm(precondition_formula(canonical_env(c)))
+    table = rm_to_mathrm(precondition_table(repair_tabular(c)))
+    as_formula = operator_names(named_env(tokenize(formula)))
+    return F.when(c.contains("tabular"), named_env(tokenize(table))).otherwise(as_formula)

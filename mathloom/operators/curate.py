@@ -124,12 +124,17 @@ def gate(df: DataFrame, text: str = "latex", rendered: str | None = None) -> tup
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
 
+def shown_id(line: Column) -> Column:
+    """The id that an unreadable line still shows, or nothing."""
+    return F.regexp_extract(line, r'"id"\s*:\s*"?([^",}\s]*)', 1)
+
+
 def row_errors(df: DataFrame, corrupt: str = "_corrupt_record") -> DataFrame:
     """Rows that could not be read, once per id, as ``(id, reason)``.
 
     The id is taken from the raw line where the line still shows one.
     """
-    shown = F.regexp_extract(F.col(corrupt), r'"id"\s*:\s*"?([^",}\s]*)', 1)
+    shown = shown_id(F.col(corrupt))
     ids = df.filter(F.col(corrupt).isNotNull()).select(
         F.coalesce(F.col("id"), F.when(shown != "", shown)).alias("id")
     )

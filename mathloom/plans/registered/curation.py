@@ -104,9 +104,11 @@ def gate(spark, sf):
 
 
 def judge(spark, sf):
-    """The whole batch from formula to tokenised text or refusal."""
+    """The whole batch from formula, or table with a formula in it, to tokenised text or refusal."""
     rows = formulas(spark, sf).filter(F.col("latex_formula") != "")
-    extract = rows.select("id", latex.strip_env(F.col("latex_formula")).alias("latex"), "rendered")
+    in_table = F.concat(F.lit("\\begin{tabular}{l c} "), "latex_formula", F.lit(" & 5\\% \\\\ % note"))
+    text = F.when(F.col("key") % 7 == 0, in_table).otherwise(latex.strip_env(F.col("latex_formula")))
+    extract = rows.select("id", text.alias("latex"), "rendered")
     return curate.judge(extract, "rendered")
 
 
@@ -274,15 +276,16 @@ _JUDGED_TEXT = r"CASE WHEN contains(t, '\\') OR contains(t, '&') THEN '\begin{al
 
 
 def _judge_sql() -> str:
-    from .latex import _canonical_env, _operator_names, _precondition, _rm
+    from .latex import tokenized_formula_sql
 
-    prepared = _rm(_precondition(_canonical_env("latex"), True, True))
+    row = quoted("\\begin{tabular}{l c} "), quoted(" & 5\\% \\\\ % note")
     return with_tables(
         ["formulas"],
-        "WITH stripped AS (SELECT id, rendered, "
+        f"WITH stripped AS (SELECT id, rendered, CASE WHEN key % 7 = 0 THEN {row[0]} || latex_formula || {row[1]} ELSE "
         + q.strip(q.sub("latex_formula", r"\\begin\{.*?\}|\s*\\end\{.*?\}", ""))
-        + f" AS t FROM formulas WHERE latex_formula <> ''), wrapped AS (SELECT id, rendered, {_JUDGED_TEXT} AS latex FROM stripped) "
-        f"SELECT id, {_operator_names(q.tokenized(prepared))} AS latex, {_gate_sql('latex')} AS reason FROM wrapped",
+        + f" END AS t FROM formulas WHERE latex_formula <> ''), trimmed AS (SELECT id, rendered, {q.strip('t')} AS t FROM stripped), "
+        f"wrapped AS (SELECT id, rendered, {_JUDGED_TEXT} AS latex FROM trimmed) "
+        f"SELECT id, {tokenized_formula_sql('latex')} AS latex, {_gate_sql('latex')} AS reason FROM wrapped",
     )
 
 

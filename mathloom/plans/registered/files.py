@@ -190,14 +190,13 @@ def _sql(body: str) -> str:
 
 
 def _stream_sql() -> str:
-    from .latex import _canonical_env, _operator_names, _precondition, _rm
+    from .latex import tokenized_formula_sql
 
-    prepared = _rm(_precondition(_canonical_env("latex"), True, True))
     reason = curation._gate_sql("latex")
     return _sql(
         f"WITH readable AS (SELECT id, rendered, {q.strip('latex_formula')} AS t FROM formulas WHERE priority <> '{curation.LOW}'), "
         f"wrapped AS (SELECT id, rendered, {curation._JUDGED_TEXT} AS latex FROM readable), "
-        f"judged AS (SELECT id, {_operator_names(q.tokenized(prepared))} AS latex, {reason} AS reason FROM wrapped) "
+        f"judged AS (SELECT id, {tokenized_formula_sql('latex')} AS latex, {reason} AS reason FROM wrapped) "
         "SELECT id, CASE WHEN reason IS NULL THEN latex END AS latex, coalesce(reason, 'kept') AS outcome FROM judged "
         f"UNION ALL SELECT id, NULL, 'error' FROM formulas WHERE priority = '{curation.LOW}'"
     )

@@ -62,6 +62,14 @@ def _repair(text: str) -> str:
     return q.sub(q.swap(text, {"\r": " ", "\n": " "}), r"hskip(.*?)(cm|in|pt|mm|em)", r"hspace{\1\2}")
 
 
+def tokenized_formula_sql(text: str) -> str:
+    """Table text and formula text each by its own steps; ``text`` is a column name."""
+    whole = lambda t: q.rewrite(q.tokenized(t), r"\\(?:begin|end) \{[^}]*\}", q.no_spaces)
+    table = whole(_rm(_precondition(_repair(text), False, False)))
+    formula = _operator_names(whole(_rm(_precondition(_canonical_env(text), True, True))))
+    return f"CASE WHEN contains({text}, 'tabular') THEN {table} ELSE {formula} END"
+
+
 def _expand(text: str) -> str:
     text = f"(' ' || {text} || ' ')"
     for name in ("ldots", "cdots", "dots", "dotsb"):

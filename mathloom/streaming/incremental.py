@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import curate
+from ..session import cut_lineage
 from ..sources import schemas
 from ..sources.writers import replace_run
 
 STORED = "id string, latex string, run_id string"
-REFUSED = "id string, reason string, run_id string"
+REFUSED = "id string, reason string, line string, run_id string"
 
 
 def _other_runs(spark: SparkSession, path: str, schema: str, run_id: str) -> DataFrame:
@@ -27,8 +28,25 @@ def _other_runs(spark: SparkSession, path: str, schema: str, run_id: str) -> Dat
     return stored.filter(F.col("run_id") != run_id)
 
 
+def _without_id(rows: DataFrame) -> DataFrame:
+    """Lines that show no id, as ``(id, reason, line)`` with a null id."""
+    broken = F.col(schemas.CORRUPT)
+    whole = F.to_json(F.struct(*[c for c in rows.columns if c != schemas.CORRUPT]))
+    nameless = rows.filter(F.col("id").isNull() & (broken.isNull() | (curate.shown_id(broken) == "")))
+    lines = nameless.select(
+        F.lit(None).cast("string").alias("id"),
+        F.when(broken.isNull(), "no_id").otherwise("error").alias("reason"),
+        F.coalesce(broken, whole).alias("line"),
+    )
+    return lines.distinct()
+
+
 def curate_batch(batch: DataFrame, run_id: str, good_path: str, quarantine_path: str, rendered: str | None = None) -> None:
-    """Judge the batch's new ids; good rows and refused ids are written under ``run_id``."""
+    """Judge the batch's new ids; good rows and refused ids are written under ``run_id``.
+
+    A line that shows no id cannot be told from a repeat by its id, so it is refused with its text
+    (``no_id`` where it can be read, else ``error``); equal lines are refused once per batch.
+    """
     spark = batch.sparkSession
     rows = batch.persist()
     try:
@@ -38,14 +56,15 @@ def curate_batch(batch: DataFrame, run_id: str, good_path: str, quarantine_path:
         columns = ["id", "latex", *([rendered] if rendered else [])]
         # one row per id: a repeated id is judged once
         once = readable.groupBy("id").agg(F.min(F.struct(*columns[1:])).alias("row")).select("id", "row.*")
-        judged = curate.judge(curate.unprocessed(once, done, broken), rendered)
+        # both outputs read the judged rows, which are stored once
+        judged = cut_lineage(curate.judge(curate.unprocessed(once, done, broken), rendered))
         refused = judged.filter(F.col("reason").isNotNull()).select("id", "reason")
-        unreadable = curate.row_errors(rows).join(
-            readable.select("id").distinct(), "id", "left_anti"
-        )
+        errors = curate.row_errors(rows).filter(F.col("id").isNotNull())
+        unreadable = errors.join(readable.select("id").distinct(), "id", "left_anti")
         new_errors = unreadable.join(broken.select("id").distinct(), "id", "left_anti")
         good = judged.filter(F.col("reason").isNull()).select("id", "latex")
-        replace_run(refused.unionByName(new_errors), quarantine_path, run_id)
+        with_id = refused.unionByName(new_errors).withColumn("line", F.lit(None).cast("string"))
+        replace_run(with_id.unionByName(_without_id(rows)), quarantine_path, run_id)
         replace_run(good, good_path, run_id)
     finally:
         rows.unpersist()

@@ -161,3 +161,13 @@ def test_13a_tokens(apply):
 def test_size_bucket(spark):
     rows = spark.createDataFrame([(600,), (601,), (1300,), (1301,)], "n int").select(markup.size_bucket(F.col("n")).alias("b"))
     assert [r.b for r in rows.collect()] == [5, 4, 4, 3]
+
+
+def test_tokenized_text_keeps_environment_names_and_tables(apply):
+    got = apply(
+        markup.tokenized_formula,
+        [r"\begin{align*} x &= 1 \end{align*}", r"\begin{tabular}{l} a \% b $c$ % note", r"a \% b"],
+    )
+    assert got == [
+        r"\begin{aligned} x & = 1 \end{aligned}", r"\begin{tabular} { l } a \% b $ c $ \end{tabular}", "a \\"
+    ]

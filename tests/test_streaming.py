@@ -40,3 +40,14 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
         curate_batch(batch, "batch-0", good, bad)
     assert _state(spark, good, bad) == ({("1", "x")}, {("2", "blank")})
     assert spark.read.parquet(good).count() == 1
+
+
+def test_lines_without_an_id_are_refused_with_their_text(spark, tmp_path):
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    rows = [("1", "x", None), (None, "y", None), (None, "z", None), (None, "z", None), (None, None, "{oops"), (None, None, '{"id": "7", "la')]
+    batch = spark.createDataFrame(rows, "id string, latex string, _corrupt_record string")
+    curate_batch(batch, "batch-0", good, bad)
+    found = {(r.id, r.reason, r.line) for r in spark.read.parquet(bad).collect()}
+    assert found == {
+        (None, "no_id", '{"latex":"y"}'), (None, "no_id", '{"latex":"z"}'), (None, "error", "{oops"), ("7", "error", None)
+    }
