@@ -3,7 +3,8 @@
 Four small transducers read token classes: ``TARGET`` (someone is addressed or named), ``NEGATION``
 (within three tokens), ``REPORT`` (reported speech) and the insults and threats themselves. Their
 composition is one table ``(state, class) -> (state, factor)``. A clause scores the sum of its
-insults' and threats' weights, each times the factor of the state it is met in; a document's score
+insults' and threats' weights, each times the factor of the state it is met in. A word that is met
+without a target counts too, with factor 1; a target before it raises that. A document's score
 is a logistic function of its clause scores. The insult lexicon (words and word beginnings, with
 weights), and the logistic function, are learnt from labelled rows.
 """
@@ -87,10 +88,10 @@ def _weight(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
 
 
 class _Reader:
-    """Token to code, remembered per worker up to a bound; codes below 6 + 6 carry no weight."""
+    """Token to code, remembered per worker and label of its document up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.codes, self.weights = model, {}, []
+        self.model, self.codes = model, {None: {}, 0: {}, 1: {}}
 
     def term(self, word: str, own: int | None = None) -> float:
         """The weight of a word, without the document itself where its label is given."""
@@ -115,15 +116,12 @@ class _Reader:
 
     def matched(self, tokens: list[str], own: int | None = None) -> list[float]:
         """Scores of the clauses in which an insult or threat is met."""
-        if own is None:
-            if len(self.codes) > 500_000:
-                self.codes.clear()
-            known = self.codes
-            for t in set(tokens).difference(known):
-                known[t] = self.read(t)
-            read = [known[t] for t in tokens]
-        else:
-            read = [self.read(t, own) for t in tokens]
+        known = self.codes[own]
+        if len(known) > 500_000:
+            known.clear()
+        for t in set(tokens).difference(known):
+            known[t] = self.read(t, own)
+        read = [known[t] for t in tokens]
         if not any(weight for _, weight, _ in read):
             return []
         out, state, score = [], 0, 0.0
@@ -171,18 +169,19 @@ def fit(
 ) -> Model:
     """Learn from the rows of ``labels``, at most about ``max_rows`` of them, chosen by a hash of the key.
 
-    Of near copies (equal in the smallest hash of their words) one stands for all, so that a text
-    copied often does not make its words insults. Without rows of both classes the lexicon is empty.
+    Of copies (equal but for case and white space, by the digest of the whole text) one stands for
+    all, so that a text copied often does not make its words insults. Texts that differ in any word
+    all count. Without rows of both classes the lexicon is empty.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     total = known.count()
     if total > max_rows:
         known = known.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < int(max_rows * (1 << 20) / total))
-    words = F.split(F.lower(F.coalesce(docs[text], F.lit(""))), r"[\x20\x09-\x0D]+")
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(docs[text], F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     sample = (
         docs.join(F.broadcast(known), docs[key] == F.col("_key"))  # max_rows rows at most
-        .select("_label", docs[text].alias("_text"), F.array_min(F.transform(words, lambda w: F.xxhash64(w))).alias("_copy"))
+        .select("_label", docs[text].alias("_text"), F.sha2(plain.cast("binary"), 256).alias("_copy"))
         .dropDuplicates(["_copy", "_label"])
         .select("_label", "_text")
     )
