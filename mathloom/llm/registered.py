@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, html_text, lm_score, ngram_join, packing, quality, secret_scan, toxicity
-from .common import table
+from . import (
+    bpe,
+    chat,
+    embedding_dedup,
+    html_text,
+    lm_score,
+    ngram_join,
+    packing,
+    periodic_runs,
+    quality,
+    secret_scan,
+    sequence_packing,
+    token_align,
+    toxicity,
+)
+from .common import WORD, table
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +112,55 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, aligned by their byte ends."""
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_align.align(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return sequence_packing.pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of one hash class in ten, periodic from some word on: word ``i >= a`` is word ``a + (i - a) % p``."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    n = F.size(words)
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    repeats = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), repeats)), F.lit(1), n - a)
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(WORD), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, one in ten of them made periodic first."""
+    found = periodic_runs.find_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # runs are listed by start, then period: the first of the greatest length/period stays
+    best = F.reduce(
+        "runs",
+        F.lit(None).cast(periodic_runs.RUN),
+        lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in periodic_runs.RUN.names),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_lm_score": op2_lm_score,
@@ -109,6 +172,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_windows": op8_chat_windows,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_token_align": op11_token_align,
+    "op12_sequence_packing": op12_sequence_packing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP1_SQL = """
