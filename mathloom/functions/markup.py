@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .brackets import fill_arguments, glue_groups
 from .latex import named_env, tokenize
 from .text import SPACE, drop_all, let, pad, rewrite, strip, swap_all, unpad, without_spaces
 
@@ -57,9 +58,8 @@ TRAILING_SPACE = (
 # constructs that count as one token
 SPACE_COMMAND = r"\\[hv]space \{ [.0-9a-z ]+ \}"
 TABLE_EDGE = r"\\(begin|end) \{(tabular|array)\}"
-NESTED_GROUP = r"\{(?:[^{}]|\{[^{}]*\})*\}"
-TABLE_HEAD = r"\\begin\{tabular\} " + NESTED_GROUP
-TABLE_RULE = r"\\(?:cmidrule|cline)(?: \([^()]*\))? " + NESTED_GROUP
+TABLE_HEAD = "\\begin{tabular}"
+TABLE_RULES = ("\\cmidrule", "\\cline")
 ARRAY_HEAD = r"\\begin\{array\} \{ [lrc ]+ \}"
 NOT_SIGN = r"\\not [<>+=\-]"
 SIZED_DELIMITER = r"\\[Bb]igg?[glrm]? [(){}|\[\]] "
@@ -148,13 +148,13 @@ def expand_functions(c: Column) -> Column:
 def glue_tokens(c: Column) -> Column:
     """Spaces out of the constructs that count as one token.
 
-    Table heads and ``\\cmidrule`` are glued with up to one inner level of braces.
+    The first table head and all table rules are glued with their groups, whatever their depth.
     """
     table = c.contains("tabular")
     one_space_after = lambda m: F.concat(without_spaces(m), F.lit(" "))
     c = rewrite(pad(c), SPACE_COMMAND, lambda m: F.when(table, F.lit("")).otherwise(without_spaces(m)))
-    heads = rewrite(F.regexp_replace(c, TABLE_EDGE, r"\\$1{$2}"), TABLE_HEAD, without_spaces)
-    c = F.when(table, rewrite(heads, TABLE_RULE, without_spaces)).otherwise(c)
+    heads = F.regexp_replace(c, TABLE_EDGE, r"\\$1{$2}")
+    c = F.when(table, glue_groups(heads, TABLE_HEAD, TABLE_RULES)).otherwise(c)
     head = "\\begin{array} "
     columns = lambda m: without_spaces(F.substring(m, F.lit(len(head)), F.length(m)))
     c = rewrite(c, ARRAY_HEAD, lambda m: F.concat(F.lit(head), columns(m)))
@@ -256,30 +256,12 @@ def flatten_rows(c: Column) -> Column:
     return F.concat(F.lit("$ "), let(body(parts), scan), F.lit(" $"))
 
 
-def _names(*groups: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(r"\\" + name[1:] for group in groups for name in group) + ")"
-
-
 def brace_single_args(c: Column) -> Column:
     """Missing braces around one-token arguments: ``\\hat x`` as ``\\hat { x }``, ``\\frac a b`` too.
 
-    Arguments that are already a group may hold one inner level of braces; deeper ones are left.
+    Arguments that are groups may be of any depth.
     """
-    one, optional, two = _names(ONE_ARG, STYLE_ONLY), _names(OPTIONAL_ARG), _names(TWO_ARG, TWO_ARG_STYLE)
-    edge, word = r"(?<![^ ])", r"(?!\{ )[^ ]+"
-
-    def close_chain(m: Column) -> Column:
-        heads = F.regexp_extract(m, rf"\A((?:{one} )+)", 1)
-        tail = F.regexp_replace(m, rf"\A(?:{one} )+", "")
-        inner = F.regexp_replace(tail, r"\A\{ (.*) \}\z", "$1")
-        depth = F.length(heads) - F.length(without_spaces(heads))
-        return F.concat(F.replace(heads, F.lit(" "), F.lit(" { ")), inner, F.repeat(F.lit(" }"), depth))
-
-    c = rewrite(c, rf"{edge}(?:{one} )+(?:(?!{one}(?![^ ])){word}|{NESTED_GROUP})(?![^ ])", close_chain)
-    c = F.regexp_replace(c, rf"{edge}({optional}) (?!\[ )({word})", "$1 { $2 }")
-    c = F.regexp_replace(c, rf"{edge}({optional} \[ [^\[\]]*\]) ({word})", "$1 { $2 }")
-    c = F.regexp_replace(c, rf"{edge}({two}) ({word})", "$1 { $2 }")
-    return F.regexp_replace(c, rf"{edge}({two} {NESTED_GROUP}) ({word})", "$1 { $2 }")
+    return fill_arguments(c, ONE_ARG + STYLE_ONLY, TWO_ARG + TWO_ARG_STYLE, OPTIONAL_ARG)
 
 
 def normalize_token(c: Column) -> Column:

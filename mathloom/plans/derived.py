@@ -132,6 +132,10 @@ CONSTRUCTS = [
     r"\leq \geq \to \cdot \prime \ast \top \mid \Leftarrow",
     r"a  b   1   2    c",
     r"\vphantom { x } \displaystyle y \toprule \cline { 1 }",
+    r"\frac { \sqrt { x ^ { 2 } } } y + \hat \bar { a { b { c } } } \sqrt [ { 3 } ] z",
+    r"\overline { a _ { b _ { c _ { d _ { e _ { f } } } } } } \binom { { { { { { n } } } } } } k",
+    r"\begin {tabular} { l { 3 { p { 1 } } } r } \cmidrule ( l { 3 { p { t } } } ) { 1 - { 2 { 3 } } } "
+    r"\cline { { { { { { 1 } } } } } } u \begin {tabular} { c } v",
 ]
 SECOND = [r"+ 1", r"\\", r"", r"\quad", r"& x _ 2", r"- \alpha .", r"\textcolor{black} k"]
 

@@ -79,23 +79,16 @@ def _expand(text: str) -> str:
     return f"list_transform([{text}], lambda t: t[2:-2])[1]"
 
 
-_GROUP = r"\{(?:[^{}]|\{[^{}]*\})*\}"
-
-
-def _glue(text: str) -> str:
-    table_row = "contains(text, 'tabular')"
+def _glue() -> str:
+    """Table heads and rules by running depth over their tokens, the other constructs by pattern."""
     one_space = lambda m: f"replace({m}, ' ', '') || ' '"
-    steps = f"(' ' || {text} || ' ')"
-    steps = q.rewrite(
-        steps, r"\\[hv]space \{ [.0-9a-z ]+ \}",
-        lambda m: f"CASE WHEN {table_row} AND {m} IS NOT NULL THEN '' ELSE replace({m}, ' ', '') END",
+    lengths_out = q.rewrite(
+        "(' ' || text || ' ')", r"\\[hv]space \{ [.0-9a-z ]+ \}",
+        lambda m: f"CASE WHEN contains(text, 'tabular') AND {m} IS NOT NULL THEN '' ELSE replace({m}, ' ', '') END",
     )
-    heads = q.sub("s", r"\\(begin|end) \{(tabular|array)\}", r"\\\1{\2}")
-    heads = q.rewrite(heads, rf"\\begin\{{tabular\}} {_GROUP}", q.no_spaces)
-    heads = q.rewrite(heads, rf"\\(?:cmidrule|cline)(?: \([^()]*\))? {_GROUP}", q.no_spaces)
-    steps = f"list_transform([{steps}], lambda s: CASE WHEN {table_row} THEN {heads} ELSE s END)[1]"
+    edges = q.sub("s", r"\\(begin|end) \{(tabular|array)\}", r"\\\1{\2}")
     steps = q.rewrite(
-        steps, r"\\begin\{array\} \{ [lrc ]+ \}",
+        "s", r"\\begin\{array\} \{ [lrc ]+ \}",
         lambda m: f"{quoted(chr(92) + 'begin{array} ')} || replace(substr({m}, 15), ' ', '')",
     )
     steps = q.rewrite(steps, r"\\not [<>+=\-]", q.no_spaces)
@@ -103,7 +96,7 @@ def _glue(text: str) -> str:
     steps = q.rewrite(steps, r"(?s)\\[Bb]igg?[glrm]? \\.*? ", one_space)
     steps = q.rewrite(steps, r"\\' [^{] ", one_space)
     lengths = q.rewrite("s", r"\[ [\-.0-9 ]+[exptcm ]+ \]", q.no_spaces)
-    steps = f"list_transform([{steps}], lambda s: CASE WHEN {table_row} THEN {lengths} ELSE s END)[1]"
+    steps = f"list_transform([{steps}], lambda s: CASE WHEN contains(text, 'tabular') THEN {lengths} ELSE s END)[1]"
     steps = q.rewrite(steps, r"\\parbox \{[^{]+\}", q.no_spaces)
     steps = q.rewrite(
         steps, r"\\raisebox \{[^{]+\} [\[\]0-9 exptcm]+\{", lambda m: f"rtrim(replace({m}, ' ', ''), '{{') || ' {{'"
@@ -115,7 +108,27 @@ def _glue(text: str) -> str:
     steps = q.rewrite(steps, r"\\not [\\=<>][^ ]+ ", one_space)
     size = r" \{[ .0-9a-z]+\}"
     steps = q.rewrite(steps, rf"\\specialrule{size}{size}{size}", q.no_spaces)
-    return f"list_transform([{steps}], lambda t: t[2:-2])[1]"
+    return with_tables(
+        ["markup"],
+        rf"""WITH spaced AS (SELECT id, text, {lengths_out} AS s FROM markup),
+    edged AS (SELECT id, {edges} AS s FROM spaced WHERE contains(text, 'tabular')),
+    tok AS (SELECT id, unnest(string_split(s, ' ')) AS t, generate_subscripts(string_split(s, ' '), 1) AS i FROM edged),
+    deep AS (SELECT *, lead(t) OVER w AS following,
+        sum(CASE t WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS braces,
+        sum(CASE t WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS rounds,
+        row_number() OVER (PARTITION BY id, t ORDER BY i) AS nth
+        FROM tok WINDOW w AS (PARTITION BY id ORDER BY i)),
+    head AS (SELECT * FROM deep WHERE (t = '\begin{{tabular}}' AND nth = 1) OR t IN ('\cmidrule', '\cline')),
+    round_end AS (SELECT h.id, h.i, min(d.i) AS j FROM head h JOIN deep d ON d.id = h.id AND d.i > h.i
+        AND h.following = '(' AND h.t <> '\begin{{tabular}}' AND d.t = ')' AND d.rounds = h.rounds GROUP BY h.id, h.i),
+    begun AS (SELECT h.id, h.i, coalesce(r.j, h.i) AS j FROM head h LEFT JOIN round_end r ON r.id = h.id AND r.i = h.i),
+    ended AS (SELECT b.id, b.i, min(d.i) AS j FROM begun b JOIN deep f ON f.id = b.id AND f.i = b.j
+        JOIN deep d ON d.id = b.id AND d.i > b.j AND d.t = '}}' AND d.braces = f.braces GROUP BY b.id, b.i),
+    heads AS (SELECT id, string_agg(CASE WHEN i = 1 OR EXISTS (SELECT 1 FROM ended e WHERE e.id = deep.id
+        AND deep.i > e.i AND deep.i <= e.j) THEN '' ELSE ' ' END || t, '' ORDER BY i) AS s FROM deep GROUP BY id),
+    joined AS (SELECT spaced.id, text, coalesce(heads.s, spaced.s) AS s FROM spaced LEFT JOIN heads USING (id))
+    SELECT id, list_transform([{steps}], lambda t: t[2:-2])[1] AS out FROM joined""",
+    )
 
 
 def _layout(text: str) -> str:
@@ -152,33 +165,43 @@ _FLATTEN = with_tables(
 )
 
 
-def _braced(text: str) -> str:
-    names = lambda *groups: "(?:" + "|".join(r"\\" + n[1:] for g in groups for n in g) + ")"
-    optional = names(markup.OPTIONAL_ARG)
-    two = names(markup.TWO_ARG, markup.TWO_ARG_STYLE)
-    word = r"([^ {][^ ]*|\{[^ ]+)"
-    plain = r"([^ {\[][^ ]*|[{\[][^ ]+)"
-    one = [n[1:] for g in (markup.ONE_ARG, markup.STYLE_ONLY) for n in g]
-    one_re = r"\\(?:" + "|".join(one) + ")"
-    known = "[" + ", ".join(quoted("\\" + n) for n in one) + "]"
-    # chains: every head opens a brace, the argument closes them all
-    chain = rf"(?:^| )(?:{one_re} )+(?:[^ {{][^ ]*|\{{[^ ]+|{_GROUP})"
-
-    def close(m: str) -> str:
-        heads = f"list_filter(string_split(ltrim(h), ' '), lambda t: list_contains({known}, t))"
-        lead = "CASE WHEN starts_with(h, ' ') THEN ' ' ELSE '' END"
-        rest = f"regexp_replace(ltrim(h), {q.pattern(rf'^(?:{one_re} )+')}, '')"
-        inner = f"regexp_replace({rest}, {q.pattern(r'^\{ (.*) \}$')}, {q.pattern(chr(92) + '1')})"
-        return (
-            f"list_transform([{m}], lambda h: {lead} || list_reduce(list_transform({heads}, lambda t: t || ' {{ '), "
-            f"lambda a, b: a || b) || {inner} || repeat(' }}', len({heads})))[1]"
-        )
-
-    text = q.rewrite(text, chain, close)
-    text = q.sub(text, rf"(^| )({optional}) {plain}", r"\1\2 { \3 }")
-    text = q.sub(text, rf"(^| )({optional} \[ [^\[\]]*\]) {word}", r"\1\2 { \3 }")
-    text = q.sub(text, rf"(^| )({two}) {word}", r"\1\2 { \3 }")
-    return q.sub(text, rf"(^| )({two} {_GROUP}) {word}", r"\1\2 { \3 }")
+def _braced() -> str:
+    """Braces to add before and after each token, from the running depth of the groups around it."""
+    names = lambda *groups: ", ".join(quoted(n) for g in groups for n in g)
+    return with_tables(
+        ["markup"],
+        f"""WITH tok AS (SELECT id, unnest(string_split(text, ' ')) AS t,
+        generate_subscripts(string_split(text, ' '), 1) AS i FROM markup),
+    deep AS (SELECT *, CASE WHEN t IN ({names(markup.ONE_ARG, markup.STYLE_ONLY)}) THEN 'one'
+        WHEN t IN ({names(markup.TWO_ARG, markup.TWO_ARG_STYLE)}) THEN 'two'
+        WHEN t IN ({names(markup.OPTIONAL_ARG)}) THEN 'optional' ELSE '' END AS kind,
+        sum(CASE t WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w + (t = '}}')::INT AS brace,
+        sum(CASE t WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END) OVER w + (t = ']')::INT AS bracket
+        FROM tok WINDOW w AS (PARTITION BY id ORDER BY i)),
+    pair AS (SELECT id, i, lead(i) OVER (PARTITION BY id, brace ORDER BY i) AS j, t FROM deep WHERE t IN ('{{', '}}')
+        UNION ALL
+        SELECT id, i, lead(i) OVER (PARTITION BY id, bracket ORDER BY i), t FROM deep WHERE t IN ('[', ']')),
+    -- each token with the end of what begins there: its group, or itself
+    unit AS (SELECT d.*, coalesce(p.j, d.i) AS j FROM deep d LEFT JOIN pair p ON p.id = d.id AND p.i = d.i AND p.t IN ('{{', '[')),
+    -- the first place after a chain of heads
+    chained AS (SELECT *, min(CASE WHEN kind <> 'one' THEN i END) OVER
+        (PARTITION BY id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS last FROM unit),
+    one AS (SELECT c.id, c.i + 1 AS a, e.j AS b FROM chained c JOIN unit e ON e.id = c.id AND e.i = c.last
+        JOIN unit n ON n.id = c.id AND n.i = c.i + 1 WHERE c.kind = 'one' AND n.t <> '{{'),
+    option AS (SELECT h.id, CASE WHEN n.t = '[' THEN n.j ELSE h.i END AS before FROM unit h
+        JOIN unit n ON n.id = h.id AND n.i = h.i + 1 WHERE h.kind = 'optional'),
+    first AS (SELECT id, i AS before FROM unit WHERE kind = 'two'),
+    second AS (SELECT f.id, n.j AS before FROM first f JOIN unit n ON n.id = f.id AND n.i = f.before + 1),
+    single AS (SELECT w.id, n.i AS a, n.i AS b FROM
+        (SELECT * FROM option UNION ALL SELECT * FROM first UNION ALL SELECT * FROM second) w
+        JOIN unit n ON n.id = w.id AND n.i = w.before + 1 WHERE n.t <> '{{'),
+    wrap AS (SELECT * FROM one UNION ALL SELECT * FROM single),
+    opened AS (SELECT id, a AS i, count(*) AS n FROM wrap GROUP BY id, a),
+    closed AS (SELECT id, b AS i, count(*) AS n FROM wrap GROUP BY id, b)
+    SELECT d.id, string_agg(repeat('{{ ', coalesce(o.n, 0)) || t || repeat(' }}', coalesce(c.n, 0)), ' ' ORDER BY d.i) AS out
+    FROM deep d LEFT JOIN opened o ON o.id = d.id AND o.i = d.i LEFT JOIN closed c ON c.id = d.id AND c.i = d.i
+    GROUP BY d.id""",
+    )
 
 
 def norm_token_sql(token: str) -> str:
@@ -313,14 +336,14 @@ ORACLES = {
     "t12_rm_to_mathrm": _oracle(_rm(_T)),
     "t13_repair_tabular": _oracle(_repair(_T)),
     "t14_expand_functions": _oracle(_expand(_T)),
-    "t15_glue_tokens": _oracle(_glue(_T)),
+    "t15_glue_tokens": _glue(),
     "t16_drop_color": _oracle(q.sub(_T, _COLOR, "")),
     "t17_drop_layout": _oracle(_layout(_T)),
     "t18_braces_balanced": _oracle(f"{q.balanced(_T)}::int"),
     "t19_trim_trailing_space": _oracle(q.sub(_T, _TRAIL, "", every=False)),
     "t20_compact": _oracle(_compact(_T)),
     "t21_flatten_rows": _FLATTEN,
-    "t22_brace_single_args": _oracle(_braced(_T)),
+    "t22_brace_single_args": _braced(),
     "t23_normalize_token": _each_token_sql(norm_token_sql("token")),
     "t24_token_class": _each_token_sql(_class_sql()),
     "t25_size_bucket": (

@@ -94,6 +94,14 @@ CASES = {
             r"\begin {tabular} { l { 3 } r } \cmidrule ( l { 3 p t } ) { 1 - 1 } [ -1.5 ex ] \hspace { 1 cm } y",
             r"\begin{tabular}{l{3}r} \cmidrule(l{3pt}){1-1} [-1.5ex]  y",
         ),
+        (
+            r"\begin {tabular} [ t ] { l { 3 { p { 1 } } } r } a \cline { { { { { { 1 } } } } } } \begin {tabular} { c } b",
+            r"\begin{tabular}[t]{l{3{p{1}}}r} a \cline{{{{{{1}}}}}} \begin{tabular} { c } b",
+        ),
+        (
+            r"\begin {tabular} { c } \cmidrule ( l { 3 ( p ( t ) ) } ) { 1 - { 2 } } x \cline { 1",
+            r"\begin{tabular}{c} \cmidrule(l{3(p(t))}){1-{2}} x \cline { 1",
+        ),
     ],
     markup.drop_color: [(r"\color [ r g b ] { 0 , 1 } x \textcolor { red } y", "x y")],
     markup.drop_layout: [
@@ -116,6 +124,15 @@ CASES = {
         (r"\frac a b", r"\frac { a } { b }"),
         (r"\binom { \hat { n } } k", r"\binom { \hat { n } } { k }"),
         (r"\frac { a } { b }", r"\frac { a } { b }"),
+        (r"\frac { \sqrt { x ^ { 2 } } } y", r"\frac { \sqrt { x ^ { 2 } } } { y }"),
+        (r"\hat \bar { a { b { c { d { e { f } } } } } } g", r"\hat { \bar { a { b { c { d { e { f } } } } } } } g"),
+        (r"\binom { { { { { { n } } } } } } \alpha z", r"\binom { { { { { { n } } } } } } { \alpha } z"),
+        (r"\sqrt [ { a [ b ] } ] x y", r"\sqrt [ { a [ b ] } ] { x } y"),
+        (r"\frac { \hat a } \sqrt b", r"\frac { \hat { a } } { \sqrt { } } b"),
+        (r"\frac \frac a b c", r"\frac { \frac { } { } } { a } b c"),
+        (r"{ \hat } { \frac a } { \sqrt }", r"{ \hat { } } { \frac { a } { } } { \sqrt { } }"),
+        (r"\hat \bar", r"\hat { \bar }"),
+        (r"a } \hat { b", r"a } \hat { b"),
     ],
     markup.normalize_token: [
         (r"\cdot", "."), (r"\left<", r"\langle"), (r"\left(", "("), (r"\right\}", r"\}"), (r"\bigl(", "("),
@@ -171,3 +188,70 @@ def test_tokenized_text_keeps_environment_names_and_tables(apply):
     assert got == [
         r"\begin{aligned} x & = 1 \end{aligned}", r"\begin{tabular} { l } a \% b $ c $ \end{tabular}", "a \\"
     ]
+
+
+def _filled(tokens):
+    """Arguments in braces by recursive descent over a partner table; texts are balanced."""
+    one, two = set(markup.ONE_ARG + markup.STYLE_ONLY), set(markup.TWO_ARG + markup.TWO_ARG_STYLE)
+    optional = set(markup.OPTIONAL_ARG)
+    partner, stack = {}, []
+    for i, t in enumerate(tokens):
+        if t in "{[":
+            stack.append(i)
+        elif t in "}]":
+            partner[stack.pop()] = i
+
+    def alone(t):
+        return [t] + ["{", "}"] * (2 if t in two else 1 if t in one or t in optional else 0)
+
+    def argument(i, stop, nests=False):
+        if i >= stop:
+            return ["{", "}"], i
+        if tokens[i] == "{":
+            return ["{", *body(i + 1, partner[i]), "}"], partner[i] + 1
+        if nests and tokens[i] in one:
+            inner, end = argument(i + 1, stop, True)
+            return ["{", tokens[i], *inner, "}"], end
+        return ["{", *alone(tokens[i]), "}"], i + 1
+
+    def body(i, stop):
+        out = []
+        while i < stop:
+            t = tokens[i]
+            out.append(t)
+            i += 1
+            if t in optional and i < stop and tokens[i] == "[":
+                out += ["[", *body(i + 1, partner[i]), "]"]
+                i = partner[i] + 1
+            elif t == "{":
+                out += [*body(i, partner[i - 1]), "}"]
+                i = partner[i - 1] + 1
+            for _ in range(2 if t in two else 1 if t in one or t in optional else 0):
+                arg, i = argument(i, stop, t in one)
+                out += arg
+        return out
+
+    return body(0, len(tokens))
+
+
+def test_arguments_against_recursive_descent(apply):
+    import random
+
+    random.seed(2)
+    heads = [r"\hat", r"\bar", r"\mathrm", r"\frac", r"\overset", r"\sqrt", r"\xrightarrow", "x", "y", "+", "2"]
+
+    def group(depth):
+        out = []
+        for _ in range(random.randint(0, 5)):
+            t = random.choice(heads)
+            out.append(t)
+            if t in markup.OPTIONAL_ARG and random.random() < 0.5:
+                # a head right before a closing bracket is not defined
+                out += ["[", *[random.choice("abc") for _ in range(random.randint(1, 3))], "]"]
+            if depth and random.random() < 0.6:
+                out += ["{", *group(depth - 1), "}"]
+        return out
+
+    texts = [[*group(7), "z", "z", "z"] for _ in range(400)]
+    found = apply(markup.brace_single_args, [" ".join(t) for t in texts])
+    assert found == [" ".join(_filled(t)) for t in texts]
