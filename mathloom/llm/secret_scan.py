@@ -1,10 +1,10 @@
 """Secrets: fixed patterns, and random-looking strings found by a sliding entropy window.
 
-Candidate strings are runs of base64 letters. A window of ``window`` characters slides over a
-candidate; its Shannon entropy is kept from counts that change by one character in and one out.
-Each character class (digits, hex, letters and digits, base64) has its own threshold. Windows
-above it are joined to spans. Allow-listed strings (UUIDs, dates, plain words, paths, repeated or
-counting characters, known placeholders) are suppressed before windows are read.
+Candidate strings are runs of base64 letters, cut at UUIDs and known placeholders. A window of
+``window`` characters slides over a candidate; its Shannon entropy and its character class (digits,
+hex, letters and digits, base64) are kept from counts that change by one character out and one in.
+Each class has its own threshold. Windows above it are joined to spans, and a span that is on the
+allow list (dates, words, paths, numbered names) is suppressed.
 """
 
 from __future__ import annotations
@@ -32,62 +32,67 @@ LEAST_ASSIGNED, LEAST_ACCESS = 8, 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 # Bits a character that a window of random characters of the class exceeds nearly always.
-THRESHOLDS = {"digits": 2.9, "hex": 3.1, "alnum": 3.6, "base64": 3.8}
-# Strings that look random but are not secrets.
+THRESHOLDS = {"digits": 2.6, "hex": 3.1, "alnum": 3.6, "base64": 3.8}
+# Strings that are no secrets, wherever they stand: what is beside them is read without them.
+CUT = re.compile(
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"  # UUID
+    r"|(?i:example|placeholder|changeme|xxxxx|0123456789|abcdefgh)"
+)
+# Spans that look random but are not secrets.
 ALLOWED = [
     re.compile(p)
     for p in (
-        r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
         r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}([T_-][0-9-]*)?",  # dates
-        r"[A-Za-z]+([_/=+-]+[A-Za-z]*)*",  # words, paths and names without a digit
-        r"([a-z]+[0-9]{0,4}[_/-])+[a-z]*[0-9]{0,4}",  # numbered names
-        r"(?i).*(example|placeholder|changeme|xxxxx|0123456789|abcdefgh).*",
+        r"[A-Za-z_/=+-]+",  # words, paths and names without a digit
+        r"[_/-]?([a-z]+[0-9]{0,4}[_/-])+[a-z]*[0-9]{0,4}",  # numbered names
     )
 ]
+_SORTS = {c: i for i, chars in enumerate(("0123456789", "abcdefABCDEF", "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ")) for c in chars}
 
 
-def character_class(s: str) -> str:
-    kinds = {"d" if c.isdigit() else "h" if c in "abcdef" else "l" if c.isalpha() else "o" for c in s}
-    if kinds <= {"d"}:
-        return "digits"
-    if kinds <= {"d", "h"}:
-        return "hex"
-    return "base64" if "o" in kinds else "alnum"
-
-
-def entropy_windows(s: str, window: int = WINDOW) -> Iterator[tuple[int, float]]:
-    """Start and entropy of each window; counts change by one character in and one out."""
+def windows(s: str, window: int = WINDOW) -> Iterator[tuple[int, float, str]]:
+    """Start, entropy and character class of each window; counts change by one character out and one in."""
     plogp = [0.0, *(k / window * log2(k / window) for k in range(1, window + 1))]
     counts: dict[str, int] = {}
+    sorts = [0, 0, 0, 0]  # digits, letters of hex, other letters, other characters
     total = 0.0
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        total += plogp[n + 1] - plogp[n]
-        counts[c] = n + 1
         if i >= window:
             old = s[i - window]
             n = counts[old]
             total += plogp[n - 1] - plogp[n]
             counts[old] = n - 1
+            sorts[_SORTS.get(old, 3)] -= 1
+        n = counts.get(c, 0)
+        total += plogp[n + 1] - plogp[n]
+        counts[c] = n + 1
+        sorts[_SORTS.get(c, 3)] += 1
         if i >= window - 1:
-            yield i - window + 1, -total
+            yield i - window + 1, -total, "base64" if sorts[3] else "alnum" if sorts[2] else "hex" if sorts[1] else "digits"
+
+
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Candidates between what the text holds of ``CUT``."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for known in CUT.finditer(text, m.start(), m.end()):
+            yield at, known.start()
+            at = known.end()
+        yield at, m.end()
 
 
 def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(p.fullmatch(s) for p in ALLOWED):
-            continue
-        # each window has the class of the whole candidate, so its threshold is fixed
-        least = THRESHOLDS[character_class(s)]
-        for start, bits in entropy_windows(s, window):
-            if bits >= least:
-                a, b = m.start() + start, m.start() + start + window
-                if spans and a <= spans[-1][1] and spans[-1][0] >= m.start():
-                    spans[-1] = (spans[-1][0], b)
+    for begin, end in _stretches(text):
+        own: list[tuple[int, int]] = []
+        for start, bits, kind in windows(text[begin:end], window):
+            if bits >= THRESHOLDS[kind]:
+                a, b = begin + start, begin + start + window
+                if own and a <= own[-1][1]:
+                    own[-1] = (own[-1][0], b)
                 else:
-                    spans.append((a, b))
+                    own.append((a, b))
+        spans += [(a, b) for a, b in own if not any(p.fullmatch(text, a, b) for p in ALLOWED)]
     return spans
 
 

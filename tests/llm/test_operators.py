@@ -3,7 +3,9 @@
 import hashlib
 import math
 import os
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -269,9 +271,102 @@ def test_secrets():
     assert [text[a:b] for a, b, k, _ in spans if k == "hex"] == [key]
     assert key not in secret_scan.redacted(text, spans, "[SECRET]")
     assert secret_scan.entropy_spans("id 123e4567-e89b-12d3-a456-426614174000 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa") == []
-    for start, bits in secret_scan.entropy_windows(key + "zz"):
-        part = Counter((key + "zz")[start : start + 20])
-        assert math.isclose(bits, -sum(c / 20 * math.log2(c / 20) for c in part.values()), abs_tol=1e-9)
+    for start, bits, kind in secret_scan.windows(key + "zz"):
+        part = (key + "zz")[start : start + 20]
+        assert math.isclose(bits, -sum(c / 20 * math.log2(c / 20) for c in Counter(part).values()), abs_tol=1e-9)
+        assert kind == ("alnum" if "z" in part else "hex")
+
+
+@pytest.mark.parametrize("n", [20, 21, 22, 1000])
+def test_equal_characters(n):
+    for text in ("A" * n, f"key {'A' * n}9 end", f"{'-' * n}1", f"9{'z' * n}"):
+        assert secret_scan.entropy_spans(text) == []
+    key = "9f8a7c6e5d4b3a2f1e0d9c8b7a6f5e4d"
+    found = secret_scan.entropy_spans("A" * n + key)
+    assert len(found) == 1 and found[0][0] < n + 2 and found[0][1] == n + len(key)
+
+
+def test_long_lines_take_no_time():
+    start = time.perf_counter()
+    for text in ("Name" + "_" * 5000 + "1", "a" + "-" * 5000 + "1", "a-" * 5000 + "1", "password" + " " * 5000 + "x", "a1-" * 5000):
+        secret_scan.spans_of(text)
+    assert time.perf_counter() - start < 1
+
+
+def test_what_is_known_hides_no_key():
+    key = "kJ8vQ2nX7bT4mZ1cR9wL5pD3"
+    for known in ("example", "123e4567-e89b-12d3-a456-426614174000", "changeme", "0123456789"):
+        assert secret_scan.entropy_spans(known * 3) == []
+        text = f"{known}{key} {key}_{known}"
+        assert [key in text[a:b] for a, b in secret_scan.entropy_spans(text)] == [True, True]
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {
+    "digits": "0123456789",
+    "hex": "0123456789abcdef",
+    "upper hex": "0123456789ABCDEF",
+    "letters and digits": LETTERS + LETTERS.upper() + "0123456789",
+    "upper letters and digits": LETTERS.upper() + "0123456789",
+    "lower letters and digits": LETTERS + "0123456789",
+    "base64": LETTERS + LETTERS.upper() + "0123456789+/",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_random_keys_are_found(name):
+    draw = random.Random(7)
+    for n in (20, 24, 32, 40, 64):
+        for lead in ("key ", "sig="):
+            keys = ["".join(draw.choices(ALPHABETS[name], k=n)) for _ in range(500)]
+            found = sum(bool(secret_scan.entropy_spans(f"{lead}{k} end")) for k in keys)
+            assert found >= 0.9 * len(keys), (n, lead, found)
+
+
+def brute_secrets(text):
+    """Base spans by plain patterns, entropy spans window by window with counts made anew."""
+    word = "(password|passwd|secret|token|api_?key)"
+    found = []
+    assign = "[\"']?\\x20*[:=]\\x20*[\"']?"
+    for m in re.finditer(f"(?i:{word}){assign}([A-Za-z0-9+/_.=-]+)", text, re.ASCII):
+        found += [("assign", *m.span())] * (len(m[2]) >= 8)
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    known = [m.span() for m in secret_scan.CUT.finditer(text)]
+    limits = [(r"[0-9]+", 2.6), (r"[0-9a-fA-F]+", 3.1), (r"[0-9a-zA-Z]+", 3.6), (r".+", 3.8)]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        hot = []
+        for a in range(m.start(), m.end() - 19):
+            part = text[a : a + 20]
+            bits = -sum(c / 20 * math.log2(c / 20) for c in Counter(part).values())
+            least = next(v for p, v in limits if re.fullmatch(p, part))
+            if bits > least - 1e-9 and not any(a < y and x < a + 20 for x, y in known):
+                hot.append(a)
+        begun = [a for i, a in enumerate(hot) if not i or a > hot[i - 1] + 20]
+        for a in begun:
+            b = max(x for x in hot if _reached(hot, a, x)) + 20
+            if not any(p.fullmatch(text[a:b]) for p in secret_scan.ALLOWED):
+                found.append(("entropy", a, b))
+    order = ("assign", "access", "hex", "entropy")
+    return sorted(found, key=lambda s: (s[1], order.index(s[0]), s[2]))
+
+
+def _reached(hot, a, x):
+    """Whether windows that touch lead from ``a`` to ``x``."""
+    own = [h for h in hot if a <= h <= x]
+    return x >= a and all(later - earlier <= 20 for earlier, later in zip(own, own[1:]))
+
+
+def test_secret_query_against_brute_force(spark):
+    expected, sf = [], "/root/testdata/sf0.01"
+    for d in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        spans = brute_secrets(d.text or "")
+        shown = [f"{k}:{a}:{b}" for k, a, b in spans]
+        base = ",".join(x for x in shown if not x.startswith("entropy"))
+        counts = [sum(x.startswith(k) for x in shown) for k in ("assign", "access", "hex")]
+        expected.append((d.doc_id, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(shown)))
+    assert sorted(map(tuple, registered.op7_secret_scan(spark, sf).collect())) == sorted(expected)
+    assert any("entropy" in e[-1] for e in expected) and any(e[1] for e in expected)
 
 
 def test_secrets_odd(spark, odd, none):
