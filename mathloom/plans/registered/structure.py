@@ -129,10 +129,10 @@ def _boxes_sql(body: str) -> str:
 
 
 _RANKED = (
-    "forms AS MATERIALIZED (SELECT token, "
+    "token_forms AS MATERIALIZED (SELECT token, "
     f"{norm_token_sql('token')} AS norm_token FROM (SELECT DISTINCT token FROM all_boxes WHERE visible)), "
     f"named AS MATERIALIZED (SELECT b.*, norm_token, (row_number() OVER (PARTITION BY {_K}, side ORDER BY seq) - 1)::double / "
-    f"count(*) OVER (PARTITION BY {_K}, side) AS ord FROM all_boxes b JOIN forms USING (token) WHERE visible), "
+    f"count(*) OVER (PARTITION BY {_K}, side) AS ord FROM all_boxes b JOIN token_forms USING (token) WHERE visible), "
     f"ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {_K}, side, norm_token ORDER BY seq) - 1 AS k "
     "FROM named)"
 )
@@ -208,6 +208,13 @@ def _residual_rounds(rounds: int = 3) -> str:
     return ", ".join(parts) + f", settled AS ({union})"
 
 
+# The whole chain from boxes to a score per group, for texts that have CTEs of their own.
+STRUCTURE_CTES = (
+    f"{_RANKED}, {_MATCHED}, {_residual_rounds()}, inliers AS (SELECT * FROM settled WHERE fits), {_COUNTS}, "
+    f"{_scored('inliers')}, placed AS ({_CORPUS})"
+)
+
+
 def _two_tiers(columns: str = "") -> str:
     """Of each spelling the shared number of tokens is paired in order; the surplus is paired by form."""
     pairs = lambda rows, same: (
@@ -264,10 +271,7 @@ ORACLES = {
         f"FROM ranked GROUP BY ALL), pool AS (SELECT {_K} FROM (SELECT *, unnest(range(c::bigint)) AS i FROM bag)), "
         f"{_scored('pool')} SELECT {_SCORE_COLUMNS} FROM scored"
     ),
-    "m05_structure_score": _boxes_sql(
-        f"WITH {_RANKED}, {_MATCHED}, {_residual_rounds()}, inliers AS (SELECT * FROM settled WHERE fits), {_COUNTS}, "
-        f"{_scored('inliers')} {_CORPUS}"
-    ),
+    "m05_structure_score": _boxes_sql(f"WITH {STRUCTURE_CTES} SELECT * FROM placed"),
     "u03_stack_sides": with_tables(
         ["predictions"],
         "SELECT model, id, gt AS text, 'gt' AS side FROM predictions UNION ALL SELECT model, id, pred, 'pred' FROM predictions",

@@ -185,17 +185,6 @@ _WIDE = ", ".join(
 )
 
 
-def _evaluate_sql() -> str:
-    chain = boxed.ORACLES["m05_structure_score"]
-    # both texts open with the same CTEs; the second one's own start after its box table
-    tail = chain[chain.index("named AS MATERIALIZED"):]
-    cte, final = tail[: tail.rindex("SELECT model, dataset, round(avg(f1)")], tail[tail.rindex("SELECT model, dataset, round(avg(f1)"):]
-    return with_tables(
-        ["predictions", "all_boxes"],
-        f"WITH {_FORMS}{_SCORES}, {cte.rstrip()}, placed AS ({final}) SELECT * FROM scores JOIN placed USING ({_B2})",
-    )
-
-
 ORACLES = {
     "a01_corpus_bleu": _sql(f"{_bleu(_B3, q.tokens)} SELECT * FROM bleu"),
     "a01_corpus_bleu_13a": _sql(f"{_bleu(_B3, _tokens_13a)} SELECT * FROM bleu"),
@@ -218,7 +207,10 @@ ORACLES = {
         "FROM part GROUP BY 1"
     ),
     "a09_evaluate_text": _sql(f"{_SCORES} SELECT * FROM scores"),
-    "a09_evaluate": _evaluate_sql(),
+    "a09_evaluate": with_tables(
+        ["predictions", "all_boxes"],
+        f"WITH {_FORMS}{_SCORES}, {boxed.STRUCTURE_CTES} SELECT * FROM scores JOIN placed USING ({_B2})",
+    ),
     "a12_model_report": _sql(f"{_SCORES} " + _REPORT.format(values=_DELTAS)),
     "a12_model_report_wide": _sql(
         f"{_SCORES}, report AS ({_REPORT.format(values=_DELTAS)}) SELECT dataset, {_WIDE} FROM report GROUP BY dataset"

@@ -44,6 +44,12 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_binds(duck, name):
+    """Before any Spark run: every text names only what is there."""
+    duck.execute(f"EXPLAIN {ORACLES[name]}").fetchall()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
