@@ -58,7 +58,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         bucket, known = None, {}
         for batch in batches:
             done = []
-            for block, b, places, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for block, b, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if b != bucket:
                     bucket, known = b, {}
                 listed = unpack_bytes(words).split(b"\n")
@@ -67,19 +67,20 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                     known[w] = e.ids
                 ids = [known[w] for w in listed]
                 flat = np.fromiter((i for x in ids for i in x), np.uint32)
-                done.append((block, len(listed), len(flat), places, pack_codes(np.fromiter(map(len, ids), np.uint32, len(ids))), pack_codes(flat)))
+                lengths = np.fromiter(map(len, ids), np.uint32, len(ids))
+                done.append((block, b, len(listed), len(flat), pack_codes(lengths), pack_codes(flat)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3))],
-                names=["of", "n", "n_ids", "places", "lengths", "ids"],
+                [pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), *[pa.int32()] * 2, pa.int64(), *[pa.binary()] * 2))],
+                names=["of", "bucket", "n", "n_ids", "lengths", "ids"],
             )
 
     # sorted by bucket, so that a task remembers the words of one bucket at a time
     encoded = (
         parts(coded)
-        .select("block", "bucket", "places", "words")
+        .select("block", "bucket", "words")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(encode, "of long, n int, n_ids long, places binary, lengths binary, ids binary")
+        .mapInArrow(encode, "of long, bucket int, n int, n_ids long, lengths binary, ids binary")
     )
     out = T.StructType(
         [
@@ -93,8 +94,10 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         pieces = pieces_of(path)
         total = sum(word_rows["n"].to_pylist())
         starts, lengths, flat, at = np.zeros(total, np.int64), np.zeros(total, np.int64), [], 0
-        for n, n_ids, places, sizes, ids in zip(*(word_rows[c].to_pylist() for c in ("n", "n_ids", "places", "lengths", "ids"))):
-            places, sizes = unpack_codes(places, n), unpack_codes(sizes, n).astype(np.int64)
+        # a part's lengths and ids come back in the order in which the block lists its words
+        listed = {p["bucket"]: p["places"] for p in coded_rows["parts"][0].as_py()}
+        for bucket, n, n_ids, sizes, ids in zip(*(word_rows[c].to_pylist() for c in ("bucket", "n", "n_ids", "lengths", "ids"))):
+            places, sizes = unpack_codes(listed[bucket], n), unpack_codes(sizes, n).astype(np.int64)
             lengths[places], starts[places] = sizes, at + np.cumsum(sizes) - sizes
             flat.append(unpack_codes(ids, n_ids))
             at += n_ids
@@ -119,7 +122,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         return pa.table([keys, ids, pa.array(decoded, pa.string())], names=[key, "ids", "decoded"])
 
     return (
-        coded.select("block", "keys", "sizes", "codes")
+        coded.select("block", "keys", "sizes", "codes", "parts")
         .groupBy("block")
         .cogroup(encoded.groupBy("of"))
         .applyInArrow(assemble, out)

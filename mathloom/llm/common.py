@@ -100,7 +100,7 @@ def coded_blocks(
 
     One row per block: ``block``, ``keys``, ``held`` flags and ``sizes`` (words) of its documents,
     ``codes`` (all words, in order) and ``parts``: the block's distinct words by hash bucket, each
-    with its place and its count in documents that are not ``held``. Null texts are empty; ``end``
+    with its place and, if ``held`` is given, its count in documents that are not. Null texts are empty; ``end``
     adds a closing word to each document. A word that is frequent in a block meets the corpus once
     per block and not once per occurrence. The table is stored bucketed by block.
     """
@@ -134,7 +134,7 @@ def coded_blocks(
                     "n": len(own),
                     "words": pack_bytes(listed),
                     "places": pack_codes(own),
-                    "counts": pack_codes(counts[own]),
+                    "counts": pack_codes(counts[own]) if held else None,
                 }
             )
         return out
@@ -148,8 +148,14 @@ def coded_blocks(
         def row() -> pa.RecordBatch:
             lengths = np.array([len(c) for c in codes], np.int32)
             flat = np.concatenate(codes)
+            # frequent words get small codes, which pack in fewer bytes
+            order = np.argsort(-np.bincount(flat, minlength=len(places)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            flat, words = rank[flat], list(places)
+            words = [words[i] for i in order.tolist()]
             held_now = np.array(flags, bool)
-            counts = np.bincount(flat[np.repeat(~held_now, lengths)], minlength=len(places))
+            counts = np.bincount(flat[np.repeat(~held_now, lengths)], minlength=len(words)) if held else np.zeros(0, int)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + number], pa.int64()),
@@ -157,7 +163,7 @@ def coded_blocks(
                     list_of(pa.array(held_now)),
                     list_of(pa.array(lengths)),
                     pa.array([pack_codes(flat)], pa.binary()),
-                    pa.array([parts_of(list(places), counts)], part_type),
+                    pa.array([parts_of(words, counts)], part_type),
                 ],
                 names=schema.names,
             )
