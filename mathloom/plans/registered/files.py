@@ -59,6 +59,38 @@ def read_results(spark, sf):
     return readers.read_results(spark, path)
 
 
+# Keys whose rows share one document.
+DOCUMENT_KEYS = 8192
+
+
+def _written_documents(spark, rows, name):
+    """One whole document per file: ``rows`` has ``document`` and the number of its file."""
+    path = new_folder(spark, name)
+    rows.select("file_no", F.col("document").alias("value")).write.partitionBy("file_no").text(path)
+    return path
+
+
+def _file_no(key):
+    return F.floor(F.col(key) / DOCUMENT_KEYS).alias("file_no")
+
+
+def read_results_array(spark, sf):
+    """The results as JSON arrays over many lines."""
+    record = F.to_json(F.struct(F.col("key").alias("id"), "gt", "pred"))
+    rows = predictions(spark, sf).select(_file_no("key"), record.alias("record")).groupBy("file_no").agg(F.collect_list("record").alias("r"))
+    arrays = rows.select("file_no", F.concat(F.lit("[\n  "), F.array_join("r", ",\n  "), F.lit("\n]")).alias("document"))
+    return readers.read_results(spark, _written_documents(spark, arrays, "results-arrays"))
+
+
+def read_subset_document_whole(spark, sf):
+    """Documents with a list of rows for each subset."""
+    row = F.struct(F.format_string("%s/%s.png", "status", "id").alias("image"), "latex_formula")
+    named = formulas(spark, sf).select(_file_no("key"), F.format_string("Set %s(%s)", "priority", "status").alias("name"), row.alias("row"))
+    lists = named.groupBy("file_no", "name").agg(F.collect_list("row").alias("rows"))
+    whole = lists.groupBy("file_no").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "rows")))).alias("document"))
+    return readers.read_subset_document(spark, _written_documents(spark, whole, "subset-documents"))
+
+
 def _in_order(df, key):
     """Files whose names sort in the order of the key."""
     ranges = df.sparkSession.sparkContext.defaultParallelism
@@ -80,11 +112,21 @@ def read_keyed_captions(spark, sf):
 
 
 def list_files(spark, sf):
-    """One folder per part type; the listing names them."""
+    """One folder per part type and brand; name, length and digest of every file in them."""
     path = new_folder(spark, "parts")
-    table(spark, sf, "part").select("p_type", "p_name").write.partitionBy("p_type").text(path)
-    files = readers.list_files(spark, path, glob="part-*").filter(F.col("length") > 0)
-    return files.select(F.regexp_extract("path", "p_type=([^/]+)", 1).alias("p_type")).distinct()
+    line = F.concat_ws("\t", F.format_string("%010d", "p_partkey"), "p_name").alias("value")
+    rows = table(spark, sf, "part").select("p_type", "p_brand", line)
+    # one file per folder, its lines in order of the key
+    dealt = rows.repartition("p_type", "p_brand").sortWithinPartitions("p_type", "p_brand", "value")
+    dealt.write.partitionBy("p_type", "p_brand").text(path)
+    files = readers.list_files(spark, path, with_content=True, glob="part-*")
+    folder = F.regexp_extract("path", "p_type=([^/]+)/p_brand=([^/]+)/part-[^/]+$", 1)
+    brand = F.regexp_extract("path", "p_type=([^/]+)/p_brand=([^/]+)/part-[^/]+$", 2)
+    named = F.col("path").endswith(F.col("name")).cast("int")
+    return files.filter(F.col("length") > 0).select(
+        folder.alias("p_type"), F.replace(brand, F.lit("%23"), F.lit("#")).alias("p_brand"), named.alias("named"),
+        "length", F.sha2("content", 256).alias("digest"),
+    )
 
 
 def read_subset_document(spark, sf):
@@ -96,7 +138,7 @@ def read_subset_document(spark, sf):
     return readers.read_subset_document(spark, path, whole_file=False)
 
 
-def _registry(spark, sf):
+def _registry_entries(spark, sf):
     entry = F.struct(
         F.concat_ws("/", F.lit("hub"), "source").alias("hf_hub_url"),
         F.when(F.col("lang") == "en", F.lit("sharegpt")).alias("formatting"),
@@ -105,14 +147,27 @@ def _registry(spark, sf):
         F.create_map(F.lit("prompt"), F.col("source")).alias("columns"),
     )
     name = F.concat(F.lit("set_"), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select(_file_no("doc_id"), name.alias("name"), entry.alias("entry"))
+
+
+def _registry(spark, sf):
     path = new_folder(spark, "registry")
-    document = F.to_json(F.create_map(name, entry))
-    table(spark, sf, "documents").select(document.alias("value")).write.text(path)
+    _registry_entries(spark, sf).select(F.to_json(F.create_map("name", "entry")).alias("value")).write.text(path)
     return path
 
 
+def read_registry_whole(spark, sf):
+    """Registry documents with many entries each."""
+    entries = _registry_entries(spark, sf).groupBy("file_no").agg(F.collect_list(F.struct("name", "entry")).alias("e"))
+    whole = entries.select("file_no", F.to_json(F.map_from_entries("e")).alias("document"))
+    return _shown_registry(readers.read_registry(spark, _written_documents(spark, whole, "registry-documents")))
+
+
 def read_registry(spark, sf):
-    rows = readers.read_registry(spark, _registry(spark, sf), whole_file=False)
+    return _shown_registry(readers.read_registry(spark, _registry(spark, sf), whole_file=False))
+
+
+def _shown_registry(rows):
     return rows.select(
         "name", "hf_hub_url", "formatting", "subset", F.col("ranking").cast("int").alias("ranking"),
         F.col("columns")["prompt"].alias("prompt_column"),
@@ -168,11 +223,14 @@ QUERIES = {
     "s01_read_split": read_split,
     "s02_read_jsonl": read_jsonl,
     "s03_read_results": read_results,
+    "s03_read_results_array": read_results_array,
     "s04_read_line_labels": read_line_labels,
     "s05_read_keyed_captions": read_keyed_captions,
     "s06_list_files": list_files,
     "s07_read_subset_document": read_subset_document,
+    "s07_read_subset_document_whole": read_subset_document_whole,
     "s08_read_registry": read_registry,
+    "s08_read_registry_whole": read_registry_whole,
     "k01_write_splits": write_splits,
     "k02_write_jsonl": write_jsonl,
     "k03_append_quarantine": append_quarantine,
@@ -213,7 +271,11 @@ ORACLES = {
         "SELECT event_id AS line_no, user_id::varchar AS key, event_type || ' ' || "
         "regexp_replace(props, '\\s+', ' ', 'g') AS caption FROM events"
     ),
-    "s06_list_files": "SELECT DISTINCT p_type FROM part",
+    "s06_list_files": (
+        "WITH files AS (SELECT p_type, p_brand, string_agg(printf('%010d', p_partkey) || chr(9) || p_name, chr(10) ORDER BY p_partkey) "
+        "|| chr(10) AS content FROM part GROUP BY ALL) "
+        "SELECT p_type, p_brand, 1 AS named, strlen(content) AS length, sha256(content) AS digest FROM files"
+    ),
     "s07_read_subset_document": _sql(
         "SELECT 'Set ' || priority || '(' || status || ')' AS subset_name, status AS subset, "
         "status || '/' || id || '.png' AS image, latex_formula FROM formulas"
@@ -237,3 +299,10 @@ ORACLES = {
     "f06_row_errors": _sql(f"SELECT id, 'error' AS reason FROM formulas WHERE priority = '{curation.LOW}'"),
     "x01_curate_incremental": _stream_sql(),
 }
+
+for _whole, _lines_of in (
+    ("s03_read_results_array", "s03_read_results"),
+    ("s07_read_subset_document_whole", "s07_read_subset_document"),
+    ("s08_read_registry_whole", "s08_read_registry"),
+):
+    ORACLES[_whole] = ORACLES[_lines_of]

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import NOT_SPACE, SPACE, strip
 from . import schemas
+from .json_documents import array_records, list_entries, map_entries
 
 
 def read_split(
@@ -40,11 +41,15 @@ def read_jsonl(
 def read_results(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTIONS) -> DataFrame:
     """A prediction file: JSON lines if the path says ``jsonl``, else JSON arrays, one per file.
 
-    Integer ids are read as strings.
+    Integer ids are read as strings. An array is read in as many tasks as the file has splits.
     """
     if "jsonl" in path:
         return read_jsonl(spark, path, schema, strict=True)
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return array_records(spark, path).select(_parsed("text", schema).alias("row")).select("row.*")
+
+
+def _parsed(text: str, schema: T.DataType) -> Column:
+    return F.from_json(text, schema, {"mode": "FAILFAST"})
 
 
 def _line_numbers(lines: DataFrame, by_file: bool) -> DataFrame:
@@ -106,19 +111,17 @@ def list_files(spark: SparkSession, path: str, with_content: bool = False, glob:
     return files.select("path", name.alias("name"), "length", *extra)
 
 
-def _documents(spark: SparkSession, path: str, schema: T.DataType, whole_file: bool) -> DataFrame:
-    text = spark.read.text(path, wholetext=whole_file)
-    return text.select(F.explode(F.from_json("value", schema, {"mode": "FAILFAST"})).alias("name", "entry"))
-
-
 def read_subset_document(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Nested ``{subset: [rows]}`` documents as rows, with the set id from the parentheses.
 
-    ``whole_file`` reads one document per file; otherwise every line is a document, which lets one
-    file be read by many tasks.
+    ``whole_file`` reads one document per file, in as many tasks as it has splits; otherwise every
+    line is a document.
     """
-    subsets = _documents(spark, path, schemas.SUBSET_DOCUMENT, whole_file)
-    rows = subsets.select(F.col("name").alias("subset_name"), F.explode("entry").alias("row"))
+    if whole_file:
+        rows = list_entries(spark, path, schemas.SUBSET_ROW).select(F.col("name").alias("subset_name"), F.col("entry").alias("row"))
+    else:
+        lists = spark.read.text(path).select(F.explode(_parsed("value", schemas.SUBSET_DOCUMENT)).alias("subset_name", "rows"))
+        rows = lists.select("subset_name", F.explode("rows").alias("row"))
     return rows.select("subset_name", set_id(F.col("subset_name")).alias("subset"), "row.*")
 
 
@@ -129,8 +132,9 @@ def set_id(name: Column) -> Column:
 
 
 def read_registry(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    """Registry documents ``{name: entry}`` as one row per entry."""
-    entries = _documents(spark, path, schemas.REGISTRY, whole_file)
+    """Registry documents ``{name: entry}`` as one row per entry; ``whole_file`` as above."""
+    documents = map_entries(spark, path) if whole_file else spark.read.text(path).withColumnRenamed("value", "text")
+    entries = documents.select(F.explode(_parsed("text", schemas.REGISTRY)).alias("name", "entry"))
     return entries.select("name", "entry.*")
 
 
