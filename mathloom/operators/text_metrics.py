@@ -59,12 +59,16 @@ def bleu_counts(df: DataFrame, max_n: int, tokens: Callable[[Column], Column]) -
     )
 
 
+def sum_names(max_n: int) -> list[str]:
+    """The counts of :func:`bleu_counts` that add up over rows."""
+    return [*(f"_{kind}{n}" for kind in ("match", "total") for n in range(1, max_n + 1)), "_pred_len", "_gt_len"]
+
+
 def _bleu_sums(max_n: int) -> list[Column]:
-    names = [f"_{kind}{n}" for kind in ("match", "total") for n in range(1, max_n + 1)]
-    return [F.sum(name).alias(name) for name in [*names, "_pred_len", "_gt_len"]]
+    return [F.sum(name).alias(name) for name in sum_names(max_n)]
 
 
-def _bleu(max_n: int) -> Column:
+def bleu_of(max_n: int) -> Column:
     """The published formula over summed counts: no smoothing, and a zero precision gives 0."""
     orders = range(1, max_n + 1)
     logs = reduce(lambda a, b: a + b, [F.log(F.col(f"_match{n}") / F.col(f"_total{n}")) for n in orders])
@@ -83,7 +87,7 @@ def corpus_bleu(
 ) -> DataFrame:
     """Corpus BLEU per group. ``tokens`` cuts a text; ``latex.tokens_13a`` is the other usual choice."""
     counted = bleu_counts(df.select(*by, "gt", "pred"), max_n, tokens)
-    return counted.groupBy(*by).agg(*_bleu_sums(max_n)).select(*by, _bleu(max_n).alias("bleu"))
+    return counted.groupBy(*by).agg(*_bleu_sums(max_n)).select(*by, bleu_of(max_n).alias("bleu"))
 
 
 def mean_edit(df: DataFrame, by: list[str]) -> DataFrame:
@@ -121,7 +125,7 @@ def evaluate_text(
         F.round(F.avg(kept), DIGITS).alias("anls"),
         F.round(F.sum(same) / F.count(same), DIGITS).alias("exp"),
     )
-    return sums.select(*by, _bleu(max_n).alias("bleu"), "edit", "anls", "exp")
+    return sums.select(*by, bleu_of(max_n).alias("bleu"), "edit", "anls", "exp")
 
 
 def evaluate(predictions: DataFrame, structure: DataFrame, by: list[str], unwrap: bool = False) -> DataFrame:

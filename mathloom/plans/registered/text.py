@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import latex
+from ...operators import metric_states as states
 from ...operators import structure
 from ...operators import text_metrics as m
+from ...session import new_folder
 from ..derived import boxes, image_names, predictions, table, with_tables
 from . import sqltext as q
 from . import structure as boxed
@@ -90,6 +92,37 @@ def evaluate(spark, sf):
     return m.evaluate(predictions(spark, sf), scores, by, unwrap=True)
 
 
+def _stored_states(spark, sf):
+    """Predictions scored in two runs, by halves of the ids; states by model, data set and subset."""
+    path = new_folder(spark, "states")
+    rows = _forms(spark, sf)
+    half = F.crc32("id") % 2
+    for number in range(2):
+        states.write_states(states.text_states(rows.filter(half == number), BY), path, f"run-{number}")
+    return path
+
+
+def evaluate_states(spark, sf):
+    """The scores by model and data set, from stored states alone."""
+    by = ["model", "dataset"]
+    return states.scores(states.merge(states.read_states(spark, _stored_states(spark, sf)), by), by)
+
+
+def report_states(spark, sf):
+    """Every model against the baseline, from stored states alone."""
+    return m.model_report(evaluate_states(spark, sf), "base", METRICS, ["dataset"])
+
+
+def evaluate_states_structure(spark, sf):
+    """Text and structure scores of both kinds of states, stored and merged."""
+    by, path = ["model", "dataset"], new_folder(spark, "states")
+    matches = structure.residual_inliers(structure.align_by_occurrence(structure.visible_boxes(boxes(spark, sf)), boxed.KEYS), boxed.KEYS)
+    samples = structure.score_samples(matches, structure.pair_samples(boxes(spark, sf), boxed.KEYS), boxed.KEYS)
+    text = states.text_states(_forms(spark, sf), by)
+    states.write_states(states.with_structure(text, states.structure_states(samples, by), by), path, "run-0")
+    return states.scores(states.merge(states.read_states(spark, path), by), by)
+
+
 def model_report(spark, sf):
     metrics = m.evaluate_text(_forms(spark, sf), ["model", "dataset"])
     return m.model_report(metrics, "base", METRICS, ["dataset"])
@@ -110,6 +143,9 @@ QUERIES = {
     "a06_artifact_rate": artifact_rate,
     "a09_evaluate_text": evaluate_text,
     "a09_evaluate": evaluate,
+    "a09_evaluate_states": evaluate_states,
+    "a09_evaluate_states_structure": evaluate_states_structure,
+    "a12_report_states": report_states,
     "a12_model_report": model_report,
     "a12_model_report_wide": model_report_wide,
     "j08_lookup_results": lookup_results,
@@ -215,6 +251,8 @@ ORACLES = {
     "a12_model_report_wide": _sql(
         f"{_SCORES}, report AS ({_REPORT.format(values=_DELTAS)}) SELECT dataset, {_WIDE} FROM report GROUP BY dataset"
     ),
+    "a09_evaluate_states": _sql(f"{_SCORES} SELECT * FROM scores"),
+    "a12_report_states": _sql(f"{_SCORES} " + _REPORT.format(values=_DELTAS)),
     "j08_lookup_results": with_tables(
         ["predictions"],
         "WITH wrong AS (SELECT id FROM predictions WHERE gt <> pred "
@@ -223,3 +261,4 @@ ORACLES = {
     ),
     "m06_image_exact_match": _sql(f" SELECT model, id, ({_IMAGE})::int AS image_match FROM forms"),
 }
+ORACLES["a09_evaluate_states_structure"] = ORACLES["a09_evaluate"]
