@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bags, latex
+from ..functions.distance import edit_distance
 from ..plans.ranks import broadcast_if_small, null_safe_join
 
 DIGITS = 6
@@ -28,20 +29,24 @@ def normalized(df: DataFrame, unwrap: bool = False) -> DataFrame:
 # ---- Row scores ------------------------------------------------------------------------------
 
 
-def normalized_distance(gt: Column, pred: Column) -> Column:
-    """Levenshtein distance over the longer length, in code points; 0 for two empty texts."""
+def normalized_distance(gt: Column, pred: Column, most: Column | None = None) -> Column:
+    """Levenshtein distance over the longer length, in code points; 0 for two empty texts.
+
+    ``most`` is the greatest distance of interest: farther texts only get a greater one than that.
+    """
     longer = F.greatest(F.length(gt), F.length(pred))
-    return F.when(gt == pred, F.lit(0.0)).otherwise(F.levenshtein(gt, pred) / longer)
+    return F.when(gt == pred, F.lit(0.0)).otherwise(edit_distance(gt, pred, most) / longer)
 
 
 def anls(gt: Column, pred: Column, threshold: float = 0.5) -> Column:
     """``1 - d`` where the normalised distance ``d`` is below the threshold, else 0; case-sensitive.
 
-    Texts whose lengths alone put them past the threshold are not compared.
+    Texts whose lengths alone put them past the threshold are not compared, and long ones only as
+    far as the threshold.
     """
     longer = F.greatest(F.length(gt), F.length(pred))
     gap = F.try_divide(F.abs(F.length(gt) - F.length(pred)), longer)
-    distance = normalized_distance(gt, pred)
+    distance = normalized_distance(gt, pred, F.floor(threshold * longer).cast("int") + 1)
     return F.when(gap >= threshold, F.lit(0.0)).when(distance < threshold, 1 - distance).otherwise(F.lit(0.0))
 
 
