@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import normalize_token
-from ..plans.ranks import BLOCK, block_of, null_safe_join, numbered, per_block
+from ..plans.quantiles import exact_quantiles
+from ..plans.ranks import BLOCK, BLOCK_BITS, block_of, broadcast_if_small, null_safe_join, numbered, per_block
 from ..session import cut_lineage
 
 KEYS = ["sample_id"]
@@ -213,7 +214,7 @@ def residual_inliers(
     still = cut_lineage(matches.withColumn(BLOCK, block_of(F.col("gt_seq"), bits)))
     settled = []
     for number in range(rounds):
-        stats = _fit_by_means(still, keys) if number == 0 else _fit_by_quartiles(still, keys)
+        stats = _fit_by_means(still, keys) if number == 0 else _fit_by_quartiles(still, keys, bits)
         fitted = per_block(stats, "_last_seq", bits)
         joined = still.join(fitted.hint("merge"), [*_fine_first(keys), BLOCK])
         few = F.col("_matches") <= MIN_FIT
@@ -254,27 +255,36 @@ def _fit_by_means(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _fit_by_quartiles(points: DataFrame, keys: list[str]) -> DataFrame:
+QUARTERS = [0.25, 0.5, 0.75]
+
+
+def _fit_by_quartiles(points: DataFrame, keys: list[str], bits: int | None) -> DataFrame:
     """Shift: median difference. Scale: ratio of the interquartile ranges.
 
-    Percentiles are merged counts of distinct coordinates, so a hot sample is reduced before the
-    shuffle.
+    A sample within one block has at most that many coordinates, which one aggregate buffer holds;
+    the quantiles of longer samples are found by bins, without a buffer.
     """
-    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    stats = points.groupBy(*_fine_first(keys)).agg(
-        F.count(F.lit(1)).alias("_matches"),
-        F.max("gt_seq").alias("_last_seq"),
-        *[F.percentile(f"{s}_{a}_c", quarters).alias(f"_{s}_{a}") for s in ("gt", "pred") for a in ("x", "y")],
-        *[
-            F.percentile(F.col(f"pred_{a}_c") - F.col(f"gt_{a}_c"), F.lit(0.5)).alias(f"_shift_{a}")
-            for a in ("x", "y")
-        ],
-    )
+    fine = _fine_first(keys)
+    columns = {f"_{s}_{a}": F.col(f"{s}_{a}_c") for s in ("gt", "pred") for a in ("x", "y")}
+    columns |= {f"_shift_{a}": F.col(f"pred_{a}_c") - F.col(f"gt_{a}_c") for a in ("x", "y")}
+    counts = [F.count(F.lit(1)).alias("_matches"), F.max("gt_seq").alias("_last_seq")]
+    size = 1 << (BLOCK_BITS if bits is None else bits)
+    # as in ``numbered``: each of them has more places than a block, which bounds the list
+    long_samples = cut_lineage(points.filter(F.col("gt_seq") >= size).select(*fine).distinct())
+    if long_samples.isEmpty():
+        stats = points.groupBy(*fine).agg(*counts, *[F.percentile(c, F.array(*map(F.lit, QUARTERS))).alias(n) for n, c in columns.items()])
+    else:
+        listed = broadcast_if_small(long_samples)
+        short = points.join(listed, fine, "left_anti").groupBy(*fine)
+        stats = short.agg(*counts, *[F.percentile(c, F.array(*map(F.lit, QUARTERS))).alias(n) for n, c in columns.items()])
+        long_points = points.join(listed, fine, "left_semi")
+        found = exact_quantiles(long_points, fine, columns, QUARTERS)
+        stats = stats.unionByName(long_points.groupBy(*fine).agg(*counts).join(found, fine))
     spread = lambda s: sum(F.get(f"_{s}_{a}", 2) - F.get(f"_{s}_{a}", 0) for a in ("x", "y"))
     return stats.select(
         *keys, "_matches", "_last_seq", _scale(spread("pred"), spread("gt")).alias("_scale"),
         *[F.get(f"_gt_{a}", 1).alias(f"_mid_{a}") for a in ("x", "y")],
-        "_shift_x", "_shift_y",
+        *[F.get(f"_shift_{a}", 1).alias(f"_shift_{a}") for a in ("x", "y")],
     )
 
 
