@@ -342,8 +342,10 @@ def structure_score(
     boxes: DataFrame, by: list[str], keys: list[str] = KEYS, residual: bool = True, by_cost: bool = False
 ) -> DataFrame:
     """From a box table to aligned scores per group; ``keys`` must include ``by``."""
+    from .alignment import align_by_cost
+
     seen = visible_boxes(boxes)
-    matches = align_mutual_best(seen, keys) if by_cost else align_by_occurrence(seen, keys)
+    matches = align_by_cost(seen, keys) if by_cost else align_by_occurrence(seen, keys)
     if residual:
         matches = residual_inliers(matches, keys)
     return score_corpus(score_samples(matches, pair_samples(boxes, keys), keys), by)

@@ -74,6 +74,7 @@ FORMULA_COLUMNS = {
 PREDICTION = f"""CASE
   WHEN model = 'base' AND key % 3 = 0 THEN replace(latex_formula, '+', '-')
   WHEN model = 'base' AND key % 3 = 1 THEN replace(latex_formula, ' }} ', '}} ')
+  WHEN model = 'tuned' AND key % 9 = 4 THEN {quoted('x ^ 2 + ')} || latex_formula || {quoted(' \\leq x')}
   WHEN model = 'tuned' AND key % 6 = 0 THEN replace(latex_formula, {quoted(chr(92) + 'leq')}, {quoted(chr(92) + 'le')})
   ELSE latex_formula END"""
 

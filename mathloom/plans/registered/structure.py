@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...operators import alignment
 from ...operators import structure as s
 from ..derived import boxes, predictions, with_tables
 from .latex import norm_token_sql
@@ -59,6 +60,11 @@ def align_mutual_best(spark, sf):
     return s.align_mutual_best(_seen(spark, sf), KEYS).select(*_PAIR)
 
 
+def align_by_cost(spark, sf):
+    """No SQL: the alignment is a dynamic program; tests hold it against brute force."""
+    return alignment.align_by_cost(_seen(spark, sf), KEYS).select(*_PAIR)
+
+
 def residual_inliers(spark, sf):
     matches = s.align_by_occurrence(_seen(spark, sf), KEYS)
     return s.residual_inliers(matches, KEYS).select(*_PAIR, F.col("inlier").cast("int").alias("inlier"))
@@ -109,6 +115,7 @@ QUERIES = {
     "m01_pair_cost": pair_cost,
     "m02a_align_by_occurrence": align_by_occurrence,
     "m02b_align_mutual_best": align_mutual_best,
+    "m02b_align_by_cost": align_by_cost,
     "m03_residual_inliers": residual_inliers,
     "a07_score_samples": score_samples,
     "a08_score_corpus": score_corpus,

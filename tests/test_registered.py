@@ -36,8 +36,12 @@ def _rows(columns, rows):
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
+# Held against brute force in their own tests.
+NO_SQL = {"m02b_align_by_cost"}
+
+
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | NO_SQL
 
 
 def test_entry_runs(spark):
@@ -50,7 +54,7 @@ def test_sql_binds(duck, name):
     duck.execute(f"EXPLAIN {ORACLES[name]}").fetchall()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
     cursor = duck.execute(ORACLES[name])
