@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import not_blank
+from ..plans.ranks import dense_ranks, null_safe_join
 from .curate import message
 
 # Customary column names and role names of the layouts.
@@ -103,6 +104,21 @@ def canonical_pairs(df: DataFrame, entry: Entry) -> DataFrame:
     )
 
 
+def pair_by_rank(good: DataFrame, poor: DataFrame, on: list[str], id_col: str) -> DataFrame:
+    """Every good row's id beside a poor one's of the same ``on``: ``(*on, chosen_id, rejected_id)``.
+
+    The good row of rank r takes the poor row of rank r modulo the number of poor ones, so poor rows
+    are used evenly; good rows without a poor one in their group have no pair. Ids must be unique
+    within a group and side; null groups pair like others.
+    """
+    ranked = dense_ranks(good.select(*on, F.col(id_col).alias("chosen_id")), on, ["chosen_id"], "_rank")
+    against = dense_ranks(poor.select(*on, F.col(id_col).alias("rejected_id")), on, ["rejected_id"], "_k", total="_size")
+    sizes = against.groupBy(*on).agg(F.max("_size").alias("_size"))
+    dealt = null_safe_join(ranked, sizes, on).withColumn("_k", F.col("_rank") % F.col("_size"))
+    met = null_safe_join(dealt.drop("_size"), against.drop("_size"), [*on, "_k"])
+    return met.select(*on, "chosen_id", "rejected_id")
+
+
 def canonical_preference(df: DataFrame, entry: Entry) -> DataFrame:
     """Rows with a thumbs-up flag: ``messages`` and a boolean ``label``."""
     columns = _columns(entry)

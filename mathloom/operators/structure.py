@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import normalize_token
 from ..plans.quantiles import exact_quantiles
-from ..plans.ranks import BLOCK, BLOCK_BITS, block_of, broadcast_if_small, null_safe_join, numbered, per_block
+from ..plans.ranks import BLOCK, BLOCK_BITS, block_of, broadcast_if_small, dense_ranks, null_safe_join, numbered, per_block
 from ..session import cut_lineage
 
 KEYS = ["sample_id"]
@@ -88,6 +88,16 @@ def token_vocab(boxes: DataFrame) -> DataFrame:
     return counts.select("token", normalize_token(F.col("token")).alias("norm_token"), "gt_count", "pred_count")
 
 
+def token_ids(boxes: DataFrame) -> DataFrame:
+    """The vocabulary of both sides in one id space: ids from 0 without a gap, in token order.
+
+    ``token_id`` numbers the spellings, ``norm_id`` the normalised forms.
+    """
+    vocab = dense_ranks(token_vocab(boxes).withColumn("norm_token", F.coalesce("norm_token", F.lit(""))), [], ["token"], "token_id")
+    forms = dense_ranks(vocab.select("norm_token").distinct(), [], ["norm_token"], "norm_id")
+    return vocab.join(forms, "norm_token").select("token", "token_id", "norm_token", "norm_id", "gt_count", "pred_count")
+
+
 # ---- Samples ---------------------------------------------------------------------------------
 
 

@@ -176,6 +176,21 @@ def image_exact_match(df: DataFrame) -> DataFrame:
     return df.withColumn("image_match", F.coalesce(reduce(lambda a, b: a & b, same), F.lit(False)))
 
 
+def file_digests(files: DataFrame, key: Column) -> DataFrame:
+    """``(key, length, digest)`` of listed files with their bytes; each file is read once, where it lies."""
+    return files.select(key.alias("key"), "length", F.sha2("content", 256).alias("digest"))
+
+
+def image_files_match(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """``(key, image_match)`` for every gt file: the pred file of that key exists and has the same bytes.
+
+    Both sides come from :func:`file_digests`; keys are unique per side.
+    """
+    named = pred.select("key", F.col("length").alias("_length"), F.col("digest").alias("_digest"))
+    same = (F.col("length") == F.col("_length")) & (F.col("digest") == F.col("_digest"))
+    return gt.join(named, "key", "left").select("key", F.coalesce(same, F.lit(False)).alias("image_match"))
+
+
 def lookup_results(ids: DataFrame, results: DataFrame) -> DataFrame:
     """The results of the given ids. Few ids are broadcast, after a count; many are shuffled."""
     return results.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi")

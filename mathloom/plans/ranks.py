@@ -69,6 +69,32 @@ def numbered(
     return out.drop(BLOCK, "_before", "_whole")
 
 
+def dense_ranks(df: DataFrame, keys: list[str], order: list[str], rank: str, total: str | None = None) -> DataFrame:
+    """Add the 0-based ``rank`` of each row by ``order`` within ``keys`` (none: in the whole table), and the ``total``.
+
+    Rows are dealt out by ranges of keys and order, so a hot key is cut into as many tasks as it
+    fills; a row's rank is its place in its task and what earlier tasks hold of its key. Only that
+    table, with a row for each task and key in it, is summed up. ``order`` must be unique within
+    ``keys``; null keys are a group.
+    """
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    marks = {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
+    placed = cut_lineage(ranged.withColumns(marks))
+    counts = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    carried = counts.select(
+        *keys,
+        "_part",
+        (F.sum("_n").over(group.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(group).alias("_whole"),
+    )
+    met = null_safe_join(placed, broadcast_if_small(carried), [*keys, "_part"])
+    out = met.withColumn(rank, F.col("_at") + F.col("_shift"))
+    if total:
+        out = out.withColumn(total, F.col("_whole"))
+    return out.drop("_part", "_at", "_shift", "_whole")
+
+
 def per_block(stats: DataFrame, last_position: str, bits: int | None = None) -> DataFrame:
     """One copy of a group's statistics per block of the group, to be joined on keys and block.
 

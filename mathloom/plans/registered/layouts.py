@@ -72,13 +72,16 @@ def _labelled(spark, sf):
 
 
 def canonical_pairs(spark, sf):
-    """Documents of the same source and language, a good one beside the poor one before it."""
+    """Every good document beside a poor one of the same source and language."""
     rows = _labelled(spark, sf)
-    ranked = rows.groupBy("source", "lang", "quality").agg(F.max_by("text", "doc_id").alias("text"))
-    good = ranked.filter("quality = 1").select("source", "lang", F.col("text").alias("better"))
-    poor = ranked.filter("quality = 0").select("source", "lang", F.col("text").alias("worse"))
+    side = lambda quality: rows.filter(F.col("quality") == quality)
+    pairs = r.pair_by_rank(side(1), side(0), ["source", "lang"], "doc_id")
+    text = lambda side, name: table(spark, sf, "documents").select(
+        F.col("doc_id").alias(f"{side}_id"), F.col("text").alias(name)
+    )
+    named = pairs.join(text("chosen", "better"), "chosen_id").join(text("rejected", "worse"), "rejected_id")
     entry = {"ranking": True, "columns": {"prompt": "source", "chosen": "better", "rejected": "worse"}}
-    return _flat(r.canonical(good.join(poor, ["source", "lang"]), entry), ["source", "lang", "chosen", "rejected"], 1)
+    return _flat(r.canonical(named, entry), ["source", "lang", "chosen_id", "rejected_id", "chosen", "rejected"], 1)
 
 
 def canonical_preference(spark, sf):
@@ -145,10 +148,12 @@ ORACLES = {
         "CASE WHEN intro IS NOT NULL THEN 'assistant' END AS m2_role, CASE WHEN intro IS NOT NULL THEN answer END AS m2_content FROM j"
     ),
     "r03_canonical_pairs": (
-        "WITH best AS (SELECT source, lang, quality, text FROM documents JOIN labels USING (doc_id) "
-        "QUALIFY row_number() OVER (PARTITION BY source, lang, quality ORDER BY doc_id DESC) = 1) "
-        "SELECT g.source, g.lang, g.text AS chosen, p.text AS rejected, 1 AS n_messages, 'user' AS m0_role, g.source AS m0_content "
-        "FROM best g JOIN best p ON g.source = p.source AND g.lang = p.lang WHERE g.quality = 1 AND p.quality = 0"
+        "WITH ranked AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY source, lang, quality) AS n "
+        "FROM documents JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY source, lang, quality ORDER BY doc_id)) "
+        "SELECT g.source, g.lang, g.doc_id AS chosen_id, p.doc_id AS rejected_id, g.text AS chosen, p.text AS rejected, "
+        "1 AS n_messages, 'user' AS m0_role, g.source AS m0_content "
+        "FROM ranked g JOIN ranked p ON g.source IS NOT DISTINCT FROM p.source AND g.lang IS NOT DISTINCT FROM p.lang "
+        "AND g.k % p.n = p.k WHERE g.quality = 1 AND p.quality = 0"
     ),
     "r04_canonical_preference": (
         "SELECT doc_id, (quality = 1)::int AS label, 2 AS n_messages, 'user' AS m0_role, source AS m0_content, "

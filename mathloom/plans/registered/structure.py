@@ -91,6 +91,10 @@ def token_vocab(spark, sf):
     return s.token_vocab(_seen(spark, sf))
 
 
+def token_ids(spark, sf):
+    return s.token_ids(_seen(spark, sf))
+
+
 def token_bag_f1(spark, sf):
     return _scores(s.token_bag_f1(boxes(spark, sf), KEYS))
 
@@ -120,6 +124,7 @@ QUERIES = {
     "a07_score_samples": score_samples,
     "a08_score_corpus": score_corpus,
     "a11_token_vocab": token_vocab,
+    "a11_token_ids": token_ids,
     "m04_token_bag_f1": token_bag_f1,
     "m05_structure_score": structure_score,
     "u03_stack_sides": stack_sides,
@@ -273,6 +278,12 @@ ORACLES = {
         f"SELECT token, {norm_token_sql('token')} AS norm_token, sum((side = 'gt')::int)::bigint AS gt_count, "
         "sum((side = 'pred')::int)::bigint AS pred_count FROM all_boxes WHERE visible GROUP BY token"
     ),
+    "a11_token_ids": _boxes_sql(
+        f"WITH vocab AS (SELECT token, {norm_token_sql('token')} AS norm_token, sum((side = 'gt')::int)::bigint AS gt_count, "
+        "sum((side = 'pred')::int)::bigint AS pred_count FROM all_boxes WHERE visible GROUP BY token) "
+        "SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id, norm_token, "
+        "dense_rank() OVER (ORDER BY norm_token) - 1 AS norm_id, gt_count, pred_count FROM vocab"
+    ),
     "m04_token_bag_f1": _boxes_sql(
         f"WITH {_RANKED}, {_COUNTS}, bag AS (SELECT {_K}, norm_token, least(sum((side = 'gt')::int), sum((side = 'pred')::int)) AS c "
         f"FROM ranked GROUP BY ALL), pool AS (SELECT {_K} FROM (SELECT *, unnest(range(c::bigint)) AS i FROM bag)), "

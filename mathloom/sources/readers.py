@@ -99,7 +99,10 @@ def read_keyed_captions(spark: SparkSession, path: str, by_file: bool = False) -
 
 
 def list_files(spark: SparkSession, path: str, with_content: bool = False, glob: str = "*") -> DataFrame:
-    """Files below a folder: ``(path, name, length)`` and the bytes only on request."""
+    """Files below a folder: ``(path, name, length)`` and the bytes only on request.
+
+    Empty files are not listed.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

@@ -101,3 +101,50 @@ def test_a_hot_id_is_split_in_a_merge(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_dense_ranks_with_a_hot_key(spark):
+    from mathloom.plans.ranks import dense_ranks
+
+    rows = [("hot", i) for i in range(3000)] + [(None, i) for i in range(20)] + [(f"k{i % 7}", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(6)
+    found = {(r.k, r.i): (r.n, r.size) for r in dense_ranks(df, ["k"], ["i"], "n", total="size").collect()}
+    expected = {}
+    for key in {k for k, _ in rows}:
+        own = sorted(i for k, i in rows if k == key)
+        expected |= {(key, i): (n, len(own)) for n, i in enumerate(own)}
+    assert found == expected
+    whole = dense_ranks(df.select(F.concat_ws("-", "k", "i").alias("t")), [], ["t"], "n").orderBy("t").collect()
+    assert [r.n for r in whole] == list(range(len(rows)))
+    assert dense_ranks(df.filter("false"), ["k"], ["i"], "n").count() == 0
+
+
+def test_pairs_by_rank(spark):
+    from collections import Counter
+
+    from mathloom.operators.registry import pair_by_rank
+
+    good = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 100), (None, 101), ("c", 102)], "s string, id int")
+    poor = spark.createDataFrame([("a", i) for i in range(1000, 1007)] + [("b", 2000), ("b", 2001), (None, 3000)], "s string, id int")
+    found = pair_by_rank(good, poor, ["s"], "id").collect()
+    assert sorted(r.chosen_id for r in found) == [*range(50), 100, 101]
+    used = Counter(r.rejected_id for r in found if r.s == "a")
+    assert set(used) == set(range(1000, 1007)) and max(used.values()) - min(used.values()) <= 1
+
+
+def test_files_that_differ_in_a_byte(spark, tmp_path):
+    from mathloom.operators import text_metrics as m
+    from mathloom.sources import readers
+
+    content = {"same": b"\x89PNG\x00\xff", "byte": b"\x89PNG\x00\xff", "longer": b"a", "gone": b"b", "empty": b""}
+    other = content | {"byte": b"\x89PNG\x00\xfe", "longer": b"ab", "new": b"c"}
+    del other["gone"]
+    digests = []
+    for side, files in (("gt", content), ("pred", other)):
+        (tmp_path / side).mkdir()
+        for name, data in files.items():
+            (tmp_path / side / f"{name}.png").write_bytes(data)
+        listed = readers.list_files(spark, str(tmp_path / side), with_content=True)
+        digests.append(m.file_digests(listed, F.col("name")))
+    found = {r.key.removesuffix(".png"): r.image_match for r in m.image_files_match(*digests).collect()}
+    assert found == {"same": True, "byte": False, "longer": False, "gone": False}  # an empty file is no image
