@@ -1,10 +1,15 @@
 """Conversations as training windows under a token budget, with loss masks.
 
-Prefix sums of turn tokens place each turn on its conversation's axis; turns whose start falls in
-the same stretch of ``budget - history`` tokens form a window, so windows are turn-aligned and no
-turn is cut. A window opens with the conversation's system turn and the last turns before it that
-fit in ``history`` tokens; these are repeats, and their assistant texts are outside the loss mask,
-so that each target is learnt once. A turn longer than the budget is a window of its own.
+Prefix sums of turn tokens place each turn on its conversation's axis, which is cut into cells as
+long as the room for new turns: the budget less the history and less the system turn. The turns that
+begin in a cell and end within that room after its first one are a window; of a cell at most the last
+turn does not, and it is a window of its own. So windows are turn-aligned spans, no turn is cut and
+no window waits for the one before. A window opens with the conversation's system turn and the last
+turns before it that fit in ``history`` tokens, however many windows back they lie; these are
+repeats, and their assistant texts are outside the loss mask, so that each target is learnt once.
+Only a turn that is itself longer than the room stands alone, without system turn and history, and
+only such a window can be above the budget. A system turn that takes more than half of what the
+history leaves is a turn like others and not repeated.
 
 Template: ``<|im_start|>`` role, newline, text, ``<|im_end|>`` newline. In roles and texts every
 ``<|`` becomes ``<||``, and in roles a newline becomes ``<|n``, so no control string remains; both
@@ -43,18 +48,22 @@ def unescape_role(c: Column) -> Column:
 
 
 def _placed(turns: DataFrame) -> DataFrame:
-    """Adds the tokens before each turn, summed by stretches so that no task takes a whole conversation."""
+    """Adds the tokens before each turn, summed by stretches so that no task takes a whole conversation,
+    and the tokens of the system turn that opens the conversation (0: none)."""
     stretch = (F.floor(F.col("turn") / STRETCH)).alias("_s")
     rows = turns.withColumn("_s", stretch)
     order = ["turn", "role", "text"]
     inside = Window.partitionBy("conv", "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     rows = rows.withColumn("_pos", F.row_number().over(Window.partitionBy("conv", "_s").orderBy(*order)))
-    sums = rows.groupBy("conv", "_s").agg(F.sum("tokens").alias("_sum"))
-    before = Window.partitionBy("conv").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    opens = F.when((F.col("_pos") == 1) & (F.col("role") == "system"), F.col("tokens"))
+    sums = rows.groupBy("conv", "_s").agg(F.sum("tokens").alias("_sum"), F.max(opens).alias("_opens"))
+    by_stretch = Window.partitionBy("conv").orderBy("_s")
+    before = F.coalesce(F.sum("_sum").over(by_stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    system = F.coalesce(F.first("_opens").over(by_stretch), F.lit(0))
+    sums = sums.select("conv", "_s", before.alias("_before"), system.alias("system"))
     met = [rows[c].eqNullSafe(sums[c]) for c in ("conv", "_s")]
-    joined = rows.join(sums, met).select(rows["*"], sums["_before"])
+    joined = rows.join(sums, met).select(rows["*"], sums["_before"], sums["system"])
     return joined.withColumn("begin", F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
@@ -76,7 +85,6 @@ def windows(
     """
     if not 0 <= history < budget:
         raise ValueError("history must be less than the budget")
-    stride = budget - history
     rows = turns.select(
         turns[conv].alias("conv"),
         turns[turn].alias("turn"),
@@ -84,29 +92,43 @@ def windows(
         F.coalesce(turns[text], F.lit("")).alias("text"),
     )
     rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("long") + OVERHEAD)
-    placed = _placed(rows).withColumn("window", F.floor(F.col("begin") / stride))
+    retains = (F.col("system") > 0) & (2 * F.col("system") <= budget - history)
+    placed = _placed(rows).withColumn("retains", retains)
+    placed = placed.withColumn("room", budget - history - F.when(F.col("retains"), F.col("system")).otherwise(F.lit(0)))
+    placed = placed.withColumn("cell", F.floor(F.col("begin") / F.col("room")))
+    # a cell holds no more turns than its room holds template tokens
+    in_cell = Window.partitionBy("conv", "cell")
+    placed = placed.withColumn("first", F.min("begin").over(in_cell))
+    crosses = F.col("begin") + F.col("tokens") - F.col("first") > F.col("room")
+    placed = placed.withColumn("window", 2 * F.col("cell") + crosses.cast("int"))
     place = F.struct("turn", "_s", "_pos")
-
-    # Of every window where it begins and, of the one before, where this next one begins.
-    starts = placed.groupBy("conv", "window").agg(F.min("begin").alias("start"))
-    following = Window.partitionBy("conv").orderBy("window")
-    starts = starts.withColumn("next", F.lead("window").over(following)).withColumn("next_start", F.lead("start").over(following))
-    own = [placed[c].eqNullSafe(starts[c]) for c in ("conv", "window")]
-    near = placed.join(starts, own).select(placed["*"], "next", "next_start")
-    fresh = near.select("conv", "window", F.lit(2).alias("part"), place.alias("place"), "role", "text")
-    # a turn that ends before the next window and starts within the history is repeated there
-    repeats = near.filter((F.col("next_start") - F.col("begin") <= history) & (F.col("begin") > 0)).select(
-        "conv", F.col("next").alias("window"), F.lit(1).alias("part"), place.alias("place"), "role", "text"
-    )
-    # the system turn, if the conversation opens with one, is retained in every later window
-    system = placed.filter("begin = 0 and role = 'system'").select(
-        F.col("conv").alias("_c"), place.alias("place"), "role", "text"
-    )
-    later = starts.filter("start > 0").select("conv", "window")
+    text_of = [F.col("role"), F.col("text")]
+    fresh = placed.select("conv", "window", F.lit(2).alias("part"), place.alias("place"), *text_of)
+
+    # each window by its first turn; one that stands alone has no repeats, the conversation's first neither
+    begins = (crosses | (F.col("begin") == F.col("first"))) & (F.col("begin") > 0) & (F.col("tokens") <= F.col("room"))
+    starts = placed.filter(begins).select("conv", "window", F.col("begin").alias("start"), "retains")
+    is_system = F.col("retains") & (F.col("begin") == 0)
+    pieces = fresh
+    if history:
+        # a turn is repeated where a window starts after its end and within the history: in two cells at most
+        end = F.col("begin") + F.col("tokens")
+        near = F.sequence(F.floor(end / history), F.floor(F.col("begin") / history) + 1)
+        before = placed.filter(~is_system & (F.col("tokens") <= history)).select(
+            F.col("conv").alias("_c"), F.explode(near).alias("_near"), "begin", end.alias("end"), place.alias("place"), *text_of
+        )
+        at = starts.withColumn("_cell", F.floor(F.col("start") / history))
+        fits = (F.col("start") >= F.col("end")) & (F.col("start") - F.col("begin") <= history)
+        met = at["conv"].eqNullSafe(before["_c"]) & (at["_cell"] == before["_near"]) & fits
+        repeats = at.join(before, met).select("conv", "window", F.lit(1).alias("part"), "place", *text_of)
+        pieces = pieces.unionByName(repeats)
+    # the system turn is retained in every later window
+    system = placed.filter(is_system).select(F.col("conv").alias("_c"), place.alias("place"), *text_of)
+    later = starts.filter("retains").select("conv", "window")
     retained = later.join(system, later["conv"].eqNullSafe(system["_c"])).select(
-        "conv", "window", F.lit(0).alias("part"), "place", "role", "text"
+        "conv", "window", F.lit(0).alias("part"), "place", *text_of
     )
-    pieces = fresh.unionByName(repeats).unionByName(retained)
+    pieces = pieces.unionByName(retained)
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     pieces = pieces.select(
         "conv",

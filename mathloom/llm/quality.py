@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import WORD
+from .common import WORD, unused
 
 BUCKETS = 10_000  # of hashed features, as in importance resampling by hashed n-grams
 # Pseudo-counts a bucket, spread like the raw corpus: little trusted text says little.
@@ -121,35 +121,37 @@ def _ratios(docs: DataFrame, text: str, trusted: Column) -> list[float]:
     return [log((t + prior * p) / (n_target + prior)) - log(p) for t, p in zip(target, shares)]
 
 
-def judge(docs: DataFrame, trusted: Column, text: str = "text", least: float = LEAST_RATIO) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_quality``: a struct of the rules' counts and verdicts.
+def judge(docs: DataFrame, trusted: Column, text: str = "text", least: float = LEAST_RATIO, out: str = "_quality") -> DataFrame:
+    """All rows and columns of ``docs`` with ``out``: a struct of the rules' counts and verdicts.
 
     ``trusted`` marks target documents (null: not one). Fields: ``n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, llr`` (mean log ratio, 0 without words), ``base_failed`` and
     ``kept``. Null and empty texts have no words and fail the base rules. Without trusted
-    documents both multinomials are taken as equal. A column ``_quality`` is replaced; repeated
-    rows stay and count as often as they occur; no row is moved.
+    documents both multinomials are taken as equal. A column named as ``out`` is replaced, all
+    others stay whatever their names; repeated rows stay and count as often as they occur; no row
+    is moved.
     """
     trusted = F.coalesce(trusted, F.lit(False))
     spark = docs.sparkSession
-    ratios = spark.createDataFrame([(0, _ratios(docs, text, trusted))], "_one int, _llr array<double>")
-    source = docs.drop("_quality").withColumn("_one", F.lit(0))
-    met = source.join(F.broadcast(ratios), "_one").drop("_one")  # one row of BUCKETS doubles
+    one, llr, rules = unused(docs, "_one", "_llr", "_rules")
+    ratios = spark.createDataFrame([(0, _ratios(docs, text, trusted))], f"{one} int, {llr} array<double>")
+    source = docs.drop(out).withColumn(one, F.lit(0))
+    met = source.join(F.broadcast(ratios), one).drop(one)  # one row of BUCKETS doubles
 
     def judged(h: Column) -> Column:
         def with_pairs(g: Column) -> Column:
-            add = lambda s, b: s + F.get(F.col("_llr"), F.pmod(b, F.lit(BUCKETS)).cast("int"))
+            add = lambda s, b: s + F.get(F.col(llr), F.pmod(b, F.lit(BUCKETS)).cast("int"))
             total = F.aggregate(h, F.lit(0.0), add) + F.aggregate(g, F.lit(0.0), add)
             mean = total / F.greatest(2 * F.size(h) - 1, F.lit(1))
             return F.struct(*base_rules(h, g, F.col(text)), mean.alias("llr"))
 
         return let(_zipped(h, h, 1), with_pairs)
 
-    found = met.withColumn("_rules", let(let(words_of(F.col(text)), hashed), judged)).drop("_llr")
-    few, many = F.col("_rules.n_words"), F.col("_rules.n_repeat_words")
+    found = met.withColumn(rules, let(let(words_of(F.col(text)), hashed), judged)).drop(llr)
+    few, many = F.col(f"{rules}.n_words"), F.col(f"{rules}.n_repeat_words")
     bad = (few < LEAST_WORDS) | (100 * many > MOST_REPEATED * few)
-    verdicts = F.struct("_rules.*", bad.alias("base_failed"), (~bad & (F.col("_rules.llr") >= least)).alias("kept"))
-    return found.withColumn("_quality", verdicts).drop("_rules")
+    verdicts = F.struct(f"{rules}.*", bad.alias("base_failed"), (~bad & (F.col(f"{rules}.llr") >= least)).alias("kept"))
+    return found.withColumn(out, verdicts).drop(rules)
 
 
 def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:

@@ -207,15 +207,19 @@ WITH t AS (
     length(replace(role, '<|', '<||')) + 2 * (length(role) - length(replace(role, chr(10), '')))
       + length(replace(text, '<|', '<||')) + {len(chat.START) + 1 + len(chat.END)} AS shown FROM t
 ), p AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) - tokens AS begins FROM n
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY k) - tokens AS begins,
+    first(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS system FROM n
+), q AS (
+  SELECT *, system > 0 AND 2 * system <= {chat.BUDGET - chat.HISTORY} AS retains,
+    {chat.BUDGET - chat.HISTORY} - CASE WHEN system > 0 AND 2 * system <= {chat.BUDGET - chat.HISTORY} THEN system ELSE 0 END AS room
+  FROM p
 ), w AS (
-  SELECT *, begins // {chat.BUDGET - chat.HISTORY} AS win FROM p
+  SELECT *, min(begins) OVER (PARTITION BY conv_id, begins // room) AS opening FROM q
 ), s AS (
-  SELECT conv_id, win, min(begins) AS first, lag(win) OVER (PARTITION BY conv_id ORDER BY win) AS prior
-  FROM w GROUP BY conv_id, win
+  SELECT * FROM w WHERE begins > 0 AND tokens <= room AND (begins = opening OR begins + tokens - opening > room)
 ), repeated AS (
-  SELECT s.conv_id, sum(w.shown) AS shown FROM s JOIN w ON w.conv_id = s.conv_id AND s.first > 0 AND (
-    (w.begins = 0 AND w.role = 'system') OR (w.win = s.prior AND w.begins > 0 AND s.first - w.begins <= {chat.HISTORY}))
+  SELECT s.conv_id, sum(w.shown) AS shown FROM s JOIN w ON w.conv_id = s.conv_id AND CASE WHEN w.retains AND w.begins = 0
+    THEN true ELSE w.tokens <= {chat.HISTORY} AND w.begins + w.tokens <= s.begins AND s.begins - w.begins <= {chat.HISTORY} END
   GROUP BY s.conv_id
 ), c AS (
   SELECT conv_id, count(*) AS n_turns, sum(shown) AS shown,

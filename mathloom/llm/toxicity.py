@@ -1,21 +1,23 @@
 """Toxicity by a weighted finite-state grammar over the tokens of a clause.
 
-Four small transducers read token classes: ``TARGET`` (someone is addressed or named), ``NEGATION``
-(within three tokens), ``REPORT`` (reported speech) and the insults and threats themselves. Their
-composition is one table ``(state, class) -> (state, factor)``. A clause scores the sum of its
-insults' and threats' weights, each times the factor of the state it is met in. A word that is met
-without a target counts too, with factor 1; a target before it raises that. A document's score
-is a logistic function of its clause scores. The insult lexicon (words and word beginnings, with
-weights), and the logistic function, are learnt from labelled rows.
+Small weighted transducers read token classes: who is meant (``ADDRESSING``), negation within three
+tokens (``NEGATING``) and reported speech (``REPORTING``). Their composition is one machine whose
+arcs weigh the insults and threats they read and whose final weights say what the clause as a whole
+is: a target and an insult or threat, in either order, make a pattern; a threat without a target is
+none; an insult without one keeps part of its weight. A clause scores the sum of its words' weights
+times arc and final weights. A document's score is a logistic function of its greatest and summed
+clause scores, and of the sum by length. The insult lexicon (words and word beginnings, with
+weights) and the logistic function are learnt from labelled rows; where labels call insults without
+a target toxic, as they stand, the slopes make up for the part they lose.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -34,45 +36,77 @@ CLOSED = {
     REPORT: "said says wrote called quoted claimed dit écrit selon sagte schrieb laut dijo escribió según",
 }
 THREAT_WEIGHT = 4.0
-WITH_TARGET, WITH_NEGATION, WITH_REPORT = 1.2, 0.6, 0.7
+WITH_TARGET, BARE_INSULT, WITH_NEGATION, WITH_REPORT = 1.2, 0.5, 0.3, 0.5
 PREFIXES = range(4, 8)  # characters of a word beginning
 CLAUSE_END = re.compile(r"[.!?;:](?:\W*)$")
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def compose() -> list[list[tuple[int, float]]]:
-    """The product of the context transducers; a state is (target, tokens since negation, report)."""
-    states = list(itertools.product(range(2), range(4), range(2)))
-    place = {s: i for i, s in enumerate(states)}
-    table = []
-    for target, negated, reported in states:
+@dataclass(frozen=True)
+class Transducer:
+    """A machine over token classes from state 0: ``arcs[state][class]`` is (state, weight of what is
+    read), ``finals[state]`` the weights of a clause's insults and of its threats that ends there."""
+
+    arcs: tuple[tuple[tuple[int, float], ...], ...]
+    finals: tuple[tuple[float, float], ...]
+
+
+def _machine(states: int, arc: Callable[[int, int], tuple[int, float]], final: Callable[[int], tuple[float, float]]) -> Transducer:
+    return Transducer(
+        tuple(tuple(arc(q, kind) for kind in range(6)) for q in range(states)), tuple(final(q) for q in range(states))
+    )
+
+
+# No target yet, or one: it makes patterns of all insults and threats of its clause.
+ADDRESSING = _machine(
+    2,
+    lambda q, kind: (int(q or kind == TARGET), 1.0),
+    lambda q: (WITH_TARGET, WITH_TARGET) if q else (BARE_INSULT, 0.0),
+)
+# Tokens that a negation still reaches.
+NEGATING = _machine(
+    4,
+    lambda q, kind: (3 if kind == NEGATION else max(0, q - 1), WITH_NEGATION if q and kind in (INSULT, THREAT) else 1.0),
+    lambda q: (1.0, 1.0),
+)
+# Whose words these are: reporting may stand before or after them.
+REPORTING = _machine(
+    2,
+    lambda q, kind: (int(q or kind == REPORT), 1.0),
+    lambda q: (WITH_REPORT, WITH_REPORT) if q else (1.0, 1.0),
+)
+
+
+def compose(*machines: Transducer) -> Transducer:
+    """The machine that runs all of them at once: states that can be reached, weights multiplied."""
+    places, waiting = {(0,) * len(machines): 0}, [(0,) * len(machines)]
+    arcs, finals = [], []
+    for state in waiting:
         row = []
         for kind in range(6):
-            factor = 0.0
-            if kind in (INSULT, THREAT):
-                factor = (WITH_TARGET if target else 1.0) * (WITH_NEGATION if negated else 1.0) * (WITH_REPORT if reported else 1.0)
-            after = (
-                int(target or kind == TARGET),
-                3 if kind == NEGATION else max(0, negated - 1),
-                int(reported or kind == REPORT),
-            )
-            row.append((place[after], factor))
-        table.append(row)
-    return table
-
-
-GRAMMAR = compose()
+            steps = [m.arcs[q][kind] for m, q in zip(machines, state)]
+            after = tuple(q for q, _ in steps)
+            if after not in places:
+                places[after] = len(places)
+                waiting.append(after)
+            row.append((places[after], prod(w for _, w in steps)))
+        arcs.append(tuple(row))
+        finals.append(tuple(prod(m.finals[q][i] for m, q in zip(machines, state)) for i in (0, 1)))
+    return Transducer(tuple(arcs), tuple(finals))
+
+
+GRAMMAR = compose(ADDRESSING, NEGATING, REPORTING)
 _CLASS_OF = {w: kind for kind, words in CLOSED.items() for w in words.split()}
 
 
 @dataclass(frozen=True)
 class Model:
-    """Documents with each lexicon entry by class, and the logistic weights; bounded by ``max_terms``."""
+    """Documents with each lexicon entry by class, and the logistic weights; bounded by the labelled rows."""
 
     terms: dict[str, tuple[int, int]]
     positive: int
     negative: int
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
 
 def _features(word: str) -> list[str]:
@@ -124,38 +158,53 @@ class _Reader:
         read = [known[t] for t in tokens]
         if not any(weight for _, weight, _ in read):
             return []
-        out, state, score = [], 0, 0.0
+        out, state, sums = [], 0, [0.0, 0.0]
+
+        def close() -> None:
+            score = sum(x * y for x, y in zip(sums, GRAMMAR.finals[state]))
+            if score:
+                out.append(score)
+
         for kind, weight, ends in read:
-            state, factor = GRAMMAR[state][kind]
-            score += factor * weight
+            state, factor = GRAMMAR.arcs[state][kind]
+            if weight:
+                sums[kind == THREAT] += factor * weight
             if ends:
-                if score:
-                    out.append(score)
-                state, score = 0, 0.0
-        return [*out, score] if score else out
+                close()
+                state, sums = 0, [0.0, 0.0]
+        close()
+        return out
 
 
-def _document(clauses: list[float]) -> tuple[float, float, float]:
-    return 1.0, max(clauses, default=0.0), float(np.log1p(sum(clauses)))
+def _document(clauses: list[float], tokens: int) -> tuple[float, ...]:
+    """A one, the greatest clause score, their sum, and the sum in a hundred tokens."""
+    total = sum(clauses)
+    return 1.0, max(clauses, default=0.0), float(np.log1p(total)), float(np.log1p(100 * total / max(tokens, 1)))
 
 
-def _probability(weights: tuple[float, float, float], clauses: list[float]) -> float:
-    z = float(np.dot(weights, _document(clauses)))
+def _probability(weights: tuple[float, ...], features: tuple[float, ...]) -> float:
+    z = float(np.dot(weights, features))
     return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Newton steps with a small ridge, slopes kept from turning negative."""
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3, 0.05, 0.05])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        grad = x.T @ (p - y) + ridge @ w
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge + 1e-9 * np.eye(3), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return tuple(np.r_[w[0], np.maximum(w[1:], 0)].tolist())
+def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Newton steps with a small ridge; a slope that turns negative is left out and the rest fitted again."""
+    used = list(range(x.shape[1]))
+    while True:
+        w, z = np.zeros(len(used)), x[:, used]
+        ridge = np.diag([1e-3, *[0.05] * (len(used) - 1)])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + ridge + 1e-9 * np.eye(len(used)), z.T @ (p - y) + ridge @ w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        kept = [i for i, v in zip(used, w) if not i or v >= 0]
+        if kept == used:
+            out = np.zeros(x.shape[1])
+            out[used] = w
+            return tuple(out.tolist())
+        used = kept
 
 
 def fit(
@@ -165,7 +214,6 @@ def fit(
     text: str = "text",
     label: str = "toxic",
     max_rows: int = 20_000,
-    max_terms: int = 20_000,
 ) -> Model:
     """Learn from the rows of ``labels``, at most about ``max_rows`` of them, chosen by a hash of the key.
 
@@ -175,13 +223,14 @@ def fit(
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
+    docs = docs.select(docs[key].alias("_id"), docs[text].alias("_text"))  # other columns may have any names
     total = known.count()
     if total > max_rows:
         known = known.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < int(max_rows * (1 << 20) / total))
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(docs[text], F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("_text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     sample = (
-        docs.join(F.broadcast(known), docs[key] == F.col("_key"))  # max_rows rows at most
-        .select("_label", docs[text].alias("_text"), F.sha2(plain.cast("binary"), 256).alias("_copy"))
+        docs.join(F.broadcast(known), F.col("_id") == F.col("_key"))  # max_rows rows at most
+        .select("_label", "_text", F.sha2(plain.cast("binary"), 256).alias("_copy"))
         .dropDuplicates(["_copy", "_label"])
         .select("_label", "_text")
     )
@@ -210,30 +259,28 @@ def fit(
         .groupBy("term")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .filter("term is null or (pos >= 3 and pos >= 4 * neg)")
-        .orderBy(F.col("term").isNotNull(), F.col("pos").desc(), "neg", "term")
-        .limit(max_terms + 1)
         .collect()
-    )
+    )  # entries of three rows or more of a sample of max_rows
     totals = next((r for r in counted if r["term"] is None), None)
     pos, neg = (totals["pos"], totals["neg"]) if totals else (0, 0)
     terms = {r["term"]: (r["pos"], r["neg"]) for r in counted if r["term"] is not None}
-    model = Model(terms if pos and neg else {}, pos, neg, (0.0, 0.0, 0.0))
+    model = Model(terms if pos and neg else {}, pos, neg, (0.0,) * 4)
     if not (pos and neg):
         share = np.log((pos + 0.5) / (neg + 0.5)) if pos or neg else -2.0
-        return Model({}, pos, neg, (float(share), 0.0, 0.0))
+        return Model({}, pos, neg, (float(share), 0.0, 0.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(shared.value)
         for batch in batches:
-            labels_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [_document(reader.matched((t or "").split(), y)) for y, t in zip(labels_, texts)]
-            columns = [pa.array(labels_, pa.int32()), *(pa.array([f[i] for f in found], pa.float64()) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays(columns, names=["y", "most", "sum"])
+            labels_, texts = batch.column(0).to_pylist(), [(t or "").split() for t in batch.column(1).to_pylist()]
+            found = [_document(reader.matched(t, y), len(t)) for y, t in zip(labels_, texts)]
+            columns = [pa.array(labels_, pa.int32()), *(pa.array([f[i] for f in found], pa.float64()) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["y", "most", "sum", "dense"])
 
-    rows = sample.mapInArrow(left_out, "y int, most double, sum double").collect()  # max_rows rows of three numbers
+    rows = sample.mapInArrow(left_out, "y int, most double, sum double, dense double").collect()  # max_rows rows of four numbers
     rows.sort()  # the same sums on every run
-    x = np.array([[1.0, r["most"], r["sum"]] for r in rows])
+    x = np.array([[1.0, *r[1:]] for r in rows])
     return Model(terms, pos, neg, _fit_logistic(x, np.array([r["y"] for r in rows], float)))
 
 
@@ -255,8 +302,9 @@ def annotate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(shared.value)
         for batch in batches:
-            found = [reader.matched((t.as_py() or "").split()) for t in batch.column(at)]
-            scores = [_probability(shared.value.weights, f) for f in found]
+            tokens = [(t.as_py() or "").split() for t in batch.column(at)]
+            found = [reader.matched(t) for t in tokens]
+            scores = [_probability(shared.value.weights, _document(f, len(t))) for f, t in zip(found, tokens)]
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

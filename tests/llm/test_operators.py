@@ -394,6 +394,48 @@ def test_chat_round_trip(spark):
     assert chat.windows(df.filter("false")).count() == 0
 
 
+def test_chat_windows_keep_the_budget(spark):
+    draw = random.Random(11)
+    turns = []
+    for conv in range(40):
+        longest = draw.choice([5, 40, 90, 300])
+        if draw.random() < 0.6:
+            turns.append((conv, 0, "system", "s " * draw.randint(0, draw.choice([8, 60, 150, 400]))))
+        turns += [
+            (conv, i, "user" if i % 2 else "assistant", f"{conv}-{i} " + "w " * draw.randint(0, longest))
+            for i in range(1, draw.randint(2, 80))
+        ]
+    turns.append((40, 1, "user", "long " * 9000))
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    for budget, history in ((256, 64), (100, 60), (120, 0), (64, 63)):
+        size = lambda piece: len(WORD.findall(piece.split("\n", 1)[1])) + chat.OVERHEAD
+        seen = {c: [] for c in range(41)}
+        own = {c: sorted((t[1], t[2], t[3]) for t in turns if t[0] == c) for c in seen}
+        for r in chat.windows(df, budget=budget, history=history).orderBy("conv_id", "window").collect():
+            pieces = r.formatted.split(chat.END)[:-1]
+            sizes = [size(p) for p in pieces]
+            texts = [p.removeprefix(chat.START).split("\n", 1) for p in pieces]
+            assert sum(sizes) <= budget or len(pieces) == 1
+            done, repeats, new = seen[r.conv_id], texts[: r.n_repeated], texts[r.n_repeated :]
+            assert [tuple(x) for x in new] == [t[1:] for t in own[r.conv_id][len(done) : len(done) + len(new)]]
+            first = own[r.conv_id][0]
+            system = len(WORD.findall(first[2])) + chat.OVERHEAD if first[1] == "system" else 0
+            retains = 0 < 2 * system <= budget - history
+            room = budget - history - system * retains
+            alone = len(new) == 1 and sizes[-1] > room
+            # the system turn, then all of the last turns that fit in the history
+            last, spent = [], 0
+            for t in reversed(done[1:] if retains else done):
+                spent += len(WORD.findall(t[1])) + chat.OVERHEAD
+                if spent > history:
+                    break
+                last.insert(0, list(t))
+            expected = [] if alone or not done else [list(done[0])] * retains + last
+            assert repeats == expected
+            done += [tuple(x) for x in new]
+        assert all([t[1:] for t in own[c]] == seen[c] for c in seen)
+
+
 def test_bpe_equals_the_library(spark, docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -410,13 +452,49 @@ def test_bpe_equals_the_library(spark, docs, odd, none):
 
 
 def test_toxicity_grammar():
-    model = toxicity.Model({"idiot": (50, 0)}, 100, 1000, (-4.0, 1.0, 0.5))
+    model = toxicity.Model({"idiot": (50, 0)}, 100, 1000, (-4.0, 1.0, 0.5, 0.5))
     reader = toxicity._Reader(model)
     plain, target, negated, said = (
         reader.matched(t.split()) for t in ("an idiot.", "you idiot.", "not an idiot.", "he wrote an IDIOT!!")
     )
     assert target[0] > plain[0] > negated[0] and said and reader.matched("all is well.".split()) == []
     assert len(reader.matched("idiot. fine. idiot!".split())) == 2
+    # a target makes the pattern in either order; a threat needs one
+    assert reader.matched("idiot you".split()) == reader.matched("you idiot".split()) == target
+    assert reader.matched("we kill the process.".split()) == reader.matched("kill. you.".split()) == []
+    assert reader.matched("you kill".split()) == reader.matched("kill you".split()) == [toxicity.THREAT_WEIGHT * toxicity.WITH_TARGET]
+
+
+def brute_clauses(model, tokens):
+    """Clause scores from what stands in each clause, without a machine."""
+    reader, out, clause = toxicity._Reader(model), [], []
+    for token in [*tokens, None]:
+        if token is not None:
+            clause.append(reader.read(token))
+        if clause and (token is None or clause[-1][2]):
+            kinds = [k for k, _, _ in clause]
+            target, report = toxicity.TARGET in kinds, toxicity.REPORT in kinds
+            score = 0.0
+            for i, (kind, weight, _) in enumerate(clause):
+                if kind not in (toxicity.INSULT, toxicity.THREAT):
+                    continue
+                negated = toxicity.NEGATION in kinds[max(0, i - 3) : i]
+                whole = toxicity.WITH_TARGET if target else toxicity.BARE_INSULT if kind == toxicity.INSULT else 0.0
+                score += weight * whole * (toxicity.WITH_NEGATION if negated else 1) * (toxicity.WITH_REPORT if report else 1)
+            if score:
+                out.append(score)
+            clause = []
+    return out
+
+
+def test_toxicity_machine_against_brute_force():
+    draw = random.Random(3)
+    model = toxicity.Model({"idiot": (50, 0), "scum": (30, 1), "mora*": (20, 0)}, 100, 1000, (-4.0, 1.0, 0.5, 0.5))
+    words = "idiot scum morass kill hurt you them not never said wrote a b c d. e! f; idiot. kill? you: x".split()
+    reader = toxicity._Reader(model)
+    for _ in range(2000):
+        tokens = draw.choices(words, k=draw.randint(0, 25))
+        assert np.allclose(reader.matched(tokens), brute_clauses(model, tokens))
 
 
 def test_toxicity_held_out(spark, odd, none):
@@ -458,9 +536,22 @@ def test_pipeline_odd(spark, tmp_path):
             assert stage(spark, docs, SF).count() <= docs.count()
 
 
+def test_private_names_stay(spark):
+    names = ["_toxicity", "_clauses", "_key", "_good", "_quality", "_spans", "_one", "_llr", "_rules", "_label", "_text", "_id"]
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    own = documents.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    plain = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, expected = stage(spark, own, SF), stage(spark, plain, SF)
+        assert out.columns == own.columns
+        rows = out.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in expected.collect())
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert os.path.exists(corpus_pipeline.__file__)
