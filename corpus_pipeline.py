@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mathloom.llm import ngram_join, packing, quality, secret_scan, toxicity
-from mathloom.llm.common import table
+from mathloom.llm.common import table, unused
 from mathloom.session import cut_lineage
 
 TOXIC = 0.7
@@ -23,16 +23,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that score 0.7 or more for toxicity go; learnt from the labels of the kept folds."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.folded())
     model = toxicity.fit(docs, labels)
-    scored = toxicity.annotate(docs, model, score="_toxicity", clauses="_clauses")
-    return scored.filter(F.col("_toxicity") < TOXIC).drop("_toxicity", "_clauses")
+    score, clauses = unused(docs, "_toxicity", "_clauses")
+    scored = toxicity.annotate(docs, model, score=score, clauses=clauses)
+    return scored.filter(F.col(score) < TOXIC).drop(score, clauses)
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or read unlike trusted text go."""
-    good = quality.trusted_keys(table(spark, sf_dir, "labels"))
-    marked = docs.join(good.hint("merge"), docs["doc_id"] == good["_key"], "left").withColumn("_good", F.col("_key").isNotNull())
-    judged = quality.judge(marked.drop("_key"), F.col("_good"))
-    return judged.filter("_quality.kept").select(*docs.columns)
+    key, good, verdict = unused(docs, "_key", "_good", "_quality")
+    trusted = quality.trusted_keys(table(spark, sf_dir, "labels")).toDF(key)
+    marked = docs.join(trusted.hint("merge"), docs["doc_id"] == trusted[key], "left").withColumn(good, F.col(key).isNotNull())
+    judged = quality.judge(marked.drop(key), F.col(good), out=verdict)
+    return judged.filter(f"{verdict}.kept").select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become ``[SECRET]``; ``n_chars`` follows the text. No document goes."""
-    clean = secret_scan.scan(docs, spans="_spans", clean="text")
-    changed = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    (spans,) = unused(docs, "_spans")
+    clean = secret_scan.scan(docs, spans=spans, clean="text")
+    changed = F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", changed).select(*docs.columns)
 
 
