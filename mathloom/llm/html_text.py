@@ -1,7 +1,7 @@
 """Main text of web pages: a recurrent labeller over the leaf blocks of a page.
 
 A page becomes the sequence of its text blocks in page order. Each block is a vector: its path of
-tags, classes and ids, hashed; its words, hashed; its length, links and place. A bidirectional
+tags, classes and ids, hashed; all its words, hashed; its length, links and place. A bidirectional
 LSTM, written in numpy, reads the whole sequence, so each block is judged in the light of all
 others. It is trained on a bounded sample of pages whose own semantic tags give the labels, on
 copies of them with those tags hidden and with foreign menus, comments, notices, forms and the like
@@ -15,6 +15,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ MAX_PAGES = 160  # training pages taken from the table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|title|textarea|select)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?/a-z][^>]*>|[^<]+|<",
+    r"|<svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*/>"  # closes itself
+    r"|<(script|style|noscript|template|iframe|svg|title|textarea|select)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
+    # no tag reaches past the next "<" outside quotes, so unclosed ones cost no more than their length
+    r"|<(/?)([a-z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>"
+    r"|<[!?/a-z][^<>]*>|[^<]+|<",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -52,17 +55,43 @@ BESIDE_NAMES = set(
 )
 
 
+class Path:
+    """The names around a block as a link to those of the element around it, with what is asked of them.
+
+    ``bits`` and ``bare`` are the hashed places of the names, with and without the semantic containers
+    of main text; an element costs its own names only, however deep it lies.
+    """
+
+    __slots__ = ("parent", "names", "bits", "bare", "main", "beside", "depth")
+
+    def __init__(self, parent: Path | None, names: tuple[str, ...]):
+        self.parent, self.names = parent, names
+        bits, bare, main, beside, depth = (parent.bits, parent.bare, parent.main, parent.beside, parent.depth) if parent else (0, 0, False, False, 0)
+        for name in names:
+            place = 1 << _PATHS[name]
+            bits |= place
+            if name in MAIN:
+                main = True
+            else:
+                bare |= place
+            beside = beside or name in BESIDE or (name[0] == "." and name[1:] in BESIDE_NAMES)
+        self.bits, self.bare, self.main, self.beside, self.depth = bits, bare, main, beside, depth + len(names)
+
+
 class Block:
-    __slots__ = ("text", "path", "links")
+    """A leaf block; ``bare`` hides the semantic containers from the labeller."""
+
+    __slots__ = ("text", "path", "links", "bare")
 
-    def __init__(self, text: str, path: tuple[str, ...], links: int):
-        self.text, self.path, self.links = text, path, links
+    def __init__(self, text: str, path: Path | None, links: int, bare: bool = False):
+        self.text, self.path, self.links, self.bare = text, path, links, bare
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, references decoded and white space squeezed."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    open_tags: Counter = Counter()
     parts: list[str] = []
     links = 0
 
@@ -70,10 +99,14 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple(n for _, names in stack for n in names), links))
+            out.append(Block(text, stack[-1][1] if stack else None, links))
         parts.clear()
         links = 0
 
+    def close(at: int) -> None:
+        while len(stack) > at:
+            open_tags[stack.pop()[0]] -= 1
+
     for m in TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -93,43 +126,40 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack and stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if open_tags[tag]:
+                while stack[-1][0] != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
         elif tag not in VOID and not m[4].rstrip().endswith("/"):
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_tags["p"]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            if tag == "li" and any(t == "li" for t, _ in stack):
+            if tag == "li" and open_tags["li"]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ("ul", "ol"):
                         break
                     if stack[i][0] == "li":
-                        del stack[i:]
+                        close(i)
                         break
             names = (tag,)
             if m[4]:
                 for found in NAMED.finditer(m[4].lower()):
                     names += tuple("." + w for w in WORD_IN_NAME.findall(next(g for g in found.groups() if g is not None)))
-            stack.append((tag, names))
+            stack.append((tag, Path(stack[-1][1] if stack else None, names)))
+            open_tags[tag] += 1
     flush()
     return out
 
 
 def own_labels(blocks: list[Block]) -> list[int] | None:
     """Labels by a page's semantic tags; none where the page has no main element."""
-    if not any(MAIN.intersection(b.path) for b in blocks):
+    if not any(b.path and b.path.main for b in blocks):
         return None
-    labels = []
-    for b in blocks:
-        beside = BESIDE.intersection(b.path) or any(n[0] == "." and n[1:] in BESIDE_NAMES for n in b.path)
-        labels.append(int(bool(MAIN.intersection(b.path)) and not beside))
-    return labels
+    return [int(bool(b.path and b.path.main and not b.path.beside)) for b in blocks]
 
 
 class _Places(dict):
@@ -149,30 +179,34 @@ _PATHS, _WORDS = _Places(PATH), _Places(WORDS)
 MARKS = re.compile(r"[.,;:!?]")
 
 
+_BIT = 1 << np.arange(PATH, dtype=np.uint64)
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row a block: hashed path, hashed words (of long blocks evenly spread ones), numbers."""
+    """One row a block: hashed path, hashed words, numbers; of all its words and its whole text."""
     n = len(blocks)
-    path, rows, cols, numbers = np.zeros((n, PATH)), [], [], []
+    masks = np.array([0 if b.path is None else b.path.bare if b.bare else b.path.bits for b in blocks], np.uint64)
+    path = ((masks[:, None] & _BIT) > 0).astype(float)
+    rows, cols, numbers = [], [], []
     for i, b in enumerate(blocks):
-        path[i, [_PATHS[name] for name in b.path]] = 1
         words = b.text.split(" ")
-        places = [_WORDS[w] for w in words[:: max(1, len(words) // 32)]]
-        rows += [i] * len(places)
-        cols += places
+        rows.append(len(words))
+        cols += map(_WORDS.__getitem__, words)
         size = len(b.text)
         numbers.append(
             (
                 math.log1p(size) / 6,
                 math.log1p(len(words)) / 5,
                 min(1.0, b.links / size),
-                len(MARKS.findall(b.text, 0, 200)) / 20,
+                min(1.0, 8 * len(MARKS.findall(b.text)) / size),
                 b.text[-1] in ".!?\"",
                 i / n,
-                len(b.path) / 8,
+                min(4.0, (b.path.depth if b.path else 0) / 8),
                 1.0,
             )
         )
-    bag = np.bincount(np.array(rows) * WORDS + np.array(cols), minlength=n * WORDS).reshape(n, WORDS)
+    row = np.repeat(np.arange(n), rows)
+    bag = np.bincount(row * WORDS + np.array(cols), minlength=n * WORDS).reshape(n, WORDS)
     bag = bag / np.maximum(1.0, np.sqrt((bag**2).sum(1, keepdims=True)))
     return np.hstack([path, bag, np.array(numbers, float)])
 
@@ -204,7 +238,7 @@ class Labeller:
         turned = np.where(step < lengths[:, None], lengths[:, None] - 1 - step, step)
         return x, lengths, turned
 
-    def _run(self, x: np.ndarray, way: str):
+    def _run(self, x: np.ndarray, way: str, learns: bool = False):
         h = HIDDEN
         inputs = x @ self.p[f"x{way}"] + self.p[f"b{way}"]
         n, steps = x.shape[:2]
@@ -220,7 +254,8 @@ class Labeller:
             squashed = np.tanh(cell)
             out = o * squashed
             states[:, t] = out
-            kept.append((i, f, o, new, before, squashed, last))
+            if learns:
+                kept.append((i, f, o, new, before, squashed, last))
         return states, kept
 
     def _back(self, x: np.ndarray, way: str, kept: list, d_states: np.ndarray) -> dict[str, np.ndarray]:
@@ -270,8 +305,8 @@ class Labeller:
                     y[row, : lengths[row]] = labels[i]
                 mask = np.arange(x.shape[1]) < lengths[:, None]
                 x_back = np.take_along_axis(x, turned[:, :, None], 1)
-                forth, kept_f = self._run(x, "f")
-                back, kept_b = self._run(x_back, "b")
+                forth, kept_f = self._run(x, "f", learns=True)
+                back, kept_b = self._run(x_back, "b", learns=True)
                 both = np.concatenate([forth, np.take_along_axis(back, turned[:, :, None], 1)], 2)
                 z = both @ self.p["o"] + self.p["c"]
                 dz = np.where(mask, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0) / mask.sum()
@@ -299,7 +334,7 @@ def _foreign(r: random.Random, pool: list[str]) -> list[Block]:
         text = text if name.startswith(("comment", "reply", "discussion")) else " ".join(text.split(" ")[: r.randint(1, 14)])
         link = len(text) if tag in ("ul", "nav") or r.random() < 0.3 else 0
         path = outer + (tag, "." + name) + (("li", "a") if link else r.choice([(), ("p",), ("span",)]))
-        out.append(Block(text, path, link))
+        out.append(Block(text, Path(None, path), link))
     return out
 
 
@@ -315,16 +350,19 @@ def training_set(pages: list[str], seed: int = 11) -> tuple[list[np.ndarray], li
     examples = list(known)
     for _ in range(80):  # made-up pages
         path = ("html", "body") + r.choice([("article",), ("main",), ("div", ".content"), ("div", ".post", ".entry"), ("div",)])
-        blocks = [Block(" ".join(r.choice(pool).split(" ")[:8]), path + ("h1",), 0)]
-        blocks += [Block(r.choice(pool), path + (r.choice(["p", "p", "p", "li", "h2", "blockquote"]),), 0) for _ in range(r.randint(1, 12))]
+        blocks = [Block(" ".join(r.choice(pool).split(" ")[:8]), Path(None, path + ("h1",)), 0)]
+        blocks += [
+            Block(r.choice(pool), Path(None, path + (r.choice(["p", "p", "p", "li", "h2", "blockquote"]),)), 0)
+            for _ in range(r.randint(1, 12))
+        ]
         examples.append((blocks, [1] * len(blocks)))
     sequences, labels = [], []
     for blocks, y in examples:
         for changed in (False, True):
             now, truth = list(blocks), list(y)
             if changed:
-                hidden = MAIN if r.random() < 0.5 else set()
-                now = [Block(b.text, tuple(n for n in b.path if n not in hidden), b.links) for b in now]
+                hidden = r.random() < 0.5
+                now = [Block(b.text, b.path, b.links, hidden) for b in now]
                 inside = [i for i, v in enumerate(truth) if v]
                 for _ in range(r.randint(1, 3)):
                     extra = _foreign(r, pool)
@@ -341,7 +379,9 @@ def train(pages: DataFrame, page: str = "html", max_pages: int = MAX_PAGES) -> L
     rows = pages.select(pages[page].alias("page")).filter("page is not null")
     total = rows.count()
     share = min(1.0, 1.5 * max_pages / total) if total else 1.0
-    chosen = rows.filter(F.pmod(F.xxhash64("page"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    deal = F.pmod(F.xxhash64("page"), F.lit(1 << 30))
+    # the same pages however the table is dealt out
+    chosen = rows.filter(deal < int(share * (1 << 30))).distinct().orderBy(deal, "page")
     sample = [r["page"] for r in chosen.limit(max_pages).collect()]
     return Labeller().fit(*training_set(sorted(sample)))
 

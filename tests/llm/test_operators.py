@@ -216,6 +216,41 @@ def test_html(spark):
     assert wrong == 0
 
 
+def test_html_tags_that_close_themselves():
+    text = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert text("<p>A <svg class='i'/> second <svg width=\"1\"><path d='M0'/><text>no</text></svg>one.</p>") == ["A second one."]
+    assert text("<select-menu a=1>kept</select-menu> <select><option>no</select> too") == ["kept", "too"]
+    assert text("a <b title='x > y'>c</b> <!-- d --> 1 < 2 <textarea>no</textarea>") == ["a c 1 < 2"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "<li>x", "<b>x", "<p>x</span>", "<a \"", "<!-", "</", "<svg ", "<a '\">"])
+def test_html_bad_pages_take_time_by_length(piece):
+    page = piece * (400_000 // len(piece))
+    start = time.perf_counter()
+    html_text.vectors(html_text.blocks_of(page) or html_text.blocks_of("x"))
+    assert time.perf_counter() - start < 6
+
+
+def test_html_same_text_in_any_partitions(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html")
+    models = [html_text.train(pages.repartition(n)).p for n in (1, 9)]
+    assert all(np.array_equal(models[0][k], models[1][k]) for k in models[0])
+
+
+def test_html_pages_not_trained_on(spark):
+    """A model of one half of the pages labels the other half."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = html_text.train(pages.filter("page_id % 2 = 0"), max_pages=60)
+    wrong = total = 0
+    for r in pages.filter("page_id % 2 = 1").collect():
+        blocks = html_text.blocks_of(r.html)
+        truth = html_text.own_labels(blocks)
+        if truth is not None:
+            z = model.logits([html_text.vectors(blocks)])[0]
+            wrong, total = wrong + sum((v > 0) != bool(y) for v, y in zip(z, truth)), total + len(truth)
+    assert total > 1000 and wrong <= 0.002 * total
+
+
 @pytest.mark.parametrize("few", [0, 32])
 def test_ngram_join(spark, docs, few, monkeypatch):
     monkeypatch.setattr(ngram_join, "FEW", few)
