@@ -1,20 +1,26 @@
-"""Language-model scores by prediction by partial matching over the bytes of words.
+"""Language-model scores by prediction by partial matching over words and the bytes of words.
 
 A text is its lower-cased words, each followed by an end-of-word symbol, and one end of text. The
-context of a byte is first all of its word so far (up to ``DEPTH`` bytes: a trie anchored at the
-word start), then the last two bytes, one, none, and at last all symbols alike. The first byte of
-a word is first coded from the last two bytes of the word before. A symbol that a context has not
-seen costs an escape; symbols that a longer context has seen are excluded from
-the shorter one. Escapes of the anchored contexts are estimated per class of context from the
-training words themselves, by leaving out one event at a time. Shorter contexts learn only where
-the anchored context met something new, so they describe new words.
-
-But for its first byte, a word's code length depends on the word alone, so each distinct word is
-scored once. The corpus
-is gathered as a table of distinct words with training counts and range-partitioned: every task
-holds a stretch of the sorted words and with it whole sub-tries. The nodes that cross borders are
-prefixes of the words at the borders: they are counted over all tasks and handed back, at most
-``2 * DEPTH`` nodes a border. The two-byte contexts have at most 2**16 * 257 counts.
+longest context of a word is the word before it, of a text's first word the end of a text. A word
+which that context has not seen costs an escape, and is spelled. The context of a byte is first all
+of its word so far (up to ``DEPTH`` bytes: a trie anchored at the word start), then the last two
+bytes, one, none, and at last all symbols alike; the first byte of a word is coded from the last two
+bytes of the word before. A symbol that a context of bytes has not seen costs an escape; symbols that
+a longer one has seen are excluded from the shorter one. Escapes are estimated per class of context
+from the training words themselves, by leaving out one event at a time. Contexts of two bytes learn
+only where the anchored context met something new, so they describe new words; the bytes of a word
+beyond ``DEPTH`` are spelled from them and from nothing longer.
+
+But for its first byte, a word's spelling depends on the word alone, so each distinct word is spelled
+once. The corpus is gathered as a table of distinct words with training counts and range-partitioned:
+every task holds a stretch of the sorted words and with it whole sub-tries. The nodes that cross
+borders are prefixes of the words at the borders: they are counted over all tasks and handed back, at
+most ``2 * DEPTH`` nodes a border. The two-byte contexts have at most 2**16 * 257 counts.
+
+Word contexts are counted by pairs of word numbers. A block of documents names each of its pairs
+once; pairs are dealt to buckets by a hash of both words, so that a frequent word's successors lie in
+all buckets, and only counts go back. How often a word is a context is its own count, since every
+word has a successor, so no context is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -25,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .common import buckets_of, coded_blocks, kept, list_of, pack_bytes, pack_codes, parts, unpack_bytes, unpack_codes, word_bucket
 
 DEPTH = 32  # bytes of the longest anchored context
@@ -165,6 +173,16 @@ class _FirstBytes:
         return out - math.log10(max(1, SYMBOLS - len(gone)))
 
 
+_opened: list = [None, None]
+
+
+def _first_bytes(shared) -> _FirstBytes:
+    """The table of a broadcast variable, built once per worker process."""
+    if _opened[0] is not shared.value:
+        _opened[:] = shared.value, _FirstBytes(*shared.value)
+    return _opened[1]
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]):
     words, counts = [], []
     for batch in batches:
@@ -329,6 +347,108 @@ def _scored(words: list[bytes], counts: np.ndarray, model: _Model) -> np.ndarray
     return out
 
 
+NO_CLASS = 255
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """Class of a word context by the log of its events; none without events."""
+    return np.where(n > 0, np.log2(np.maximum(n, 1)).astype(np.int64), NO_CLASS)
+
+
+class _Tokens:
+    """A block's words by their places, and its tokens with the place of the one before each."""
+
+    def __init__(self, block: pa.Table, found: pa.Table):
+        size = sum(found["n"].to_pylist())
+        self.count, self.spelled = np.zeros(size, np.int64), np.zeros(size)
+        self.joint, self.number = np.zeros(size, np.int64), np.zeros(size, np.uint64)
+        for m, *packed in zip(*(found[x].to_pylist() for x in ("n", "places", "c", "lp", "joint", "numbers"))):
+            places = unpack_codes(packed[0], m)
+            self.count[places] = np.frombuffer(unpack_bytes(packed[1]), "<i8")
+            self.spelled[places] = np.frombuffer(packed[2], "<f4")
+            self.joint[places] = unpack_codes(packed[3], m)
+            self.number[places] = unpack_codes(packed[4], m)
+        self.sizes = block["sizes"][0].values.to_numpy().astype(np.int64)
+        self.codes = unpack_codes(block["codes"][0].as_py(), int(self.sizes.sum()))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])  # no document is without its end
+        self.before = np.empty(len(self.codes), np.int64)
+        self.before[1:] = self.codes[:-1]
+        self.before[self.starts] = self.codes[-1]  # an end of text
+
+    def pairs(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of word numbers by bucket, the bucket of each, a token that has it, and its place for every token."""
+        keys = (self.number[self.before] << np.uint64(32)) | self.number[self.codes]
+        listed, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        mixed = (listed ^ (listed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return listed[order], bucket[order], first[order], rank[place]
+
+
+def _pairs_of(buckets: int):
+    """A block's pairs by bucket, with their count in its training documents and the class of their context."""
+
+    def look(block: pa.Table, found: pa.Table) -> pa.Table:
+        tokens = _Tokens(block, found)
+        listed, bucket, first, place = tokens.pairs(buckets)
+        learn = np.repeat(~block["held"][0].values.to_numpy(zero_copy_only=False), tokens.sizes)
+        counts = np.bincount(place[learn], minlength=len(listed))
+        # the class the context has without one of its events
+        classes = _size_class(tokens.count[tokens.before[first]] - 1).astype(np.uint8)
+        starts = np.flatnonzero(np.r_[True, np.diff(bucket) > 0])
+        rows = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
+            left, right = listed[a:b] >> np.uint64(32), listed[a:b] & np.uint64(0xFFFFFFFF)
+            # sorted by the word before, whose numbers differ little
+            packed = [pack_codes(np.diff(left, prepend=np.uint64(0))), pack_codes(right), pack_codes(counts[a:b]), pack_bytes(classes[a:b].tobytes())]
+            rows.append((block["block"][0].as_py(), int(bucket[a]), b - a, *packed))
+        types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["of", "bucket", "n", "left", "right", "counts", "classes"])
+
+    return look
+
+
+def _count_pairs(group: pa.Table) -> pa.Table:
+    """Corpus counts of one bucket's pairs for each block, and how many pairs occur once, by class."""
+    sizes = group["n"].to_pylist()
+    columns = [group[c].to_pylist() for c in ("left", "right", "counts", "classes")]
+    keys = [
+        (np.cumsum(unpack_codes(a, n), dtype=np.uint64) << np.uint64(32)) | unpack_codes(b, n)
+        for n, a, b in zip(sizes, columns[0], columns[1])
+    ]
+    counts = np.concatenate([unpack_codes(x, n) for n, x in zip(sizes, columns[2])])
+    classes = np.concatenate([np.frombuffer(unpack_bytes(x), np.uint8) for x in columns[3]])
+    _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    sums = np.bincount(place, counts, len(first)).astype(np.int64)
+    once = np.bincount(classes[first][sums == 1], minlength=NO_CLASS + 1)
+    ends = np.r_[0, np.cumsum(sizes)]
+    blocks = [*group["of"].to_pylist(), None]
+    return pa.table(
+        [
+            pa.array(blocks, pa.int64()),
+            pa.array([group["bucket"][0].as_py()] * len(blocks), pa.int32()),
+            pa.array([*sizes, 0], pa.int32()),
+            pa.array([*(pack_codes(sums[place[a:b]]) for a, b in zip(ends, ends[1:])), None], pa.binary()),
+            pa.array([[]] * len(sizes) + [once.tolist()], pa.list_(pa.int64())),
+        ],
+        names=["of", "bucket", "n", "totals", "once"],
+    )
+
+
+def _word_escapes(vocabulary: DataFrame, counted: DataFrame) -> np.ndarray:
+    """For each class of word contexts how likely the next word is new to it."""
+    size = F.length(F.bin(F.col("c") - 1)) - 1
+    events = vocabulary.filter("c > 1").groupBy(size.alias("k")).agg(F.sum("c").alias("n")).collect()  # a row for each class
+    novel = counted.filter("of is null").select(F.posexplode("once").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    seen, new = np.zeros(NO_CLASS + 1), np.zeros(NO_CLASS + 1)
+    for rows, out in ((events, seen), (novel, new)):
+        for r in rows:
+            out[r["k"]] = r["n"]
+    return np.clip((new + 0.5) / (seen + 1.0), 1e-9, 1 - 1e-9)
+
+
 def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: token counts, a smoothed unigram score and the model's score, both log10.
 
@@ -407,24 +527,40 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
     scored = vocabulary.mapInArrow(score_words, "in_bucket int, word binary, c long, lp double")
 
     def place(rows: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("word")  # words are numbered alike on every run
         words = found["word"].to_pylist()
         at = {w: i for i, w in enumerate(words)}
-        c, lp = found["c"].to_numpy(), found["lp"].to_numpy()
+        c, lp = found["c"].to_numpy(), found["lp"].to_numpy().astype("<f4")
+        if len(words) * buckets >= 1 << 32:
+            raise ValueError("more words than numbers: raise spark.sql.shuffle.partitions")
+        bucket = found["in_bucket"][0].as_py() if len(words) else 0
         joint = np.array([_joint(w) for w in words], np.int64)
         done = []
         for block, n, listed, places in zip(*(rows[x].to_pylist() for x in ("block", "n", "words", "places"))):
             own = np.array([at[w] for w in unpack_bytes(listed).split(b"\n")], np.int64)
-            done.append((block, n, places, pack_bytes(c[own].astype("<i8").tobytes()), lp[own].tobytes(), pack_codes(joint[own])))
-        types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+            packed = (pack_bytes(c[own].astype("<i8").tobytes()), lp[own].tobytes(), pack_codes(joint[own]), pack_codes(own * buckets + bucket))
+            done.append((block, n, places, *packed))
+        types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
         columns = [pa.array(x, t) for x, t in zip(zip(*done), types)] if done else [pa.array([], t) for t in types]
-        return pa.table(columns, names=["of", "n", "places", "c", "lp", "joint"])
+        return pa.table(columns, names=["of", "n", "places", "c", "lp", "joint", "numbers"])
 
-    placed = (
+    # met twice by the blocks
+    placed = cut_lineage(
         entries.select("bucket", "block", "n", "words", "places")
         .groupBy("bucket")
         .cogroup(scored.groupBy("in_bucket"))
-        .applyInArrow(place, "of long, n int, places binary, c binary, lp binary, joint binary")
+        .applyInArrow(place, "of long, n int, places binary, c binary, lp binary, joint binary, numbers binary")
+    )
+    blocks = coded.select("block", "keys", "held", "sizes", "codes")
+    pairs = (
+        blocks.groupBy("block")
+        .cogroup(placed.groupBy("of"))
+        .applyInArrow(_pairs_of(buckets), "of long, bucket int, n int, left binary, right binary, counts binary, classes binary")
+    )
+    counted_pairs = cut_lineage(
+        pairs.groupBy("bucket").applyInArrow(_count_pairs, "of long, bucket int, n int, totals binary, once array<long>")
     )
+    escape = _word_escapes(vocabulary, counted_pairs)
     out = T.StructType(
         [
             T.StructField(key, docs.schema[key].dataType),
@@ -438,22 +574,23 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
     )
 
     def per_document(block: pa.Table, found: pa.Table) -> pa.Table:
-        size = sum(found["n"].to_pylist())
-        c, lp, joint = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
-        for m, *packed in zip(*(found[x].to_pylist() for x in ("n", "places", "c", "lp", "joint"))):
-            places = unpack_codes(packed[0], m)
-            c[places] = np.frombuffer(unpack_bytes(packed[1]), "<i8")
-            joint[places] = unpack_codes(packed[3], m)
-            lp[places] = np.frombuffer(packed[2], np.float64)
-        sizes = block["sizes"][0].values.to_numpy().astype(np.int64)
-        codes = unpack_codes(block["codes"][0].as_py(), int(sizes.sum()))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])  # no document is without its end
-        keys, which = np.unique(_transitions(codes, sizes, joint), return_inverse=True)
-        opening = _FirstBytes(*first.value)
-        first_log = np.array([opening.log10(k) for k in keys.tolist()])[which]
+        is_pair = pc.is_valid(found["totals"])
+        tokens, totals = _Tokens(block, found.filter(pc.invert(is_pair))), found.filter(is_pair).sort_by("bucket")
+        codes, sizes, starts = tokens.codes, tokens.sizes, tokens.starts
+        keys, which = np.unique(_transitions(codes, sizes, tokens.joint), return_inverse=True)
+        opening = _first_bytes(first)
+        spelled = tokens.spelled[codes] + np.array([opening.log10(k) for k in keys.tolist()])[which]
+        # a word its context has seen, an escape from the context, or no context
+        _, _, _, place = tokens.pairs(buckets)
+        together = np.concatenate([unpack_codes(x, n) for x, n in zip(totals["totals"].to_pylist(), totals["n"].to_pylist())])[place]
+        of_context = tokens.count[tokens.before]
+        new = escape[_size_class(of_context)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = np.log10((1 - new) * together / of_context)
+        logs = np.where(together > 0, seen, np.where(of_context > 0, np.log10(new) + spelled, spelled))
+        c = tokens.count[codes]
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        sums = [np.add.reduceat(x[codes], starts) for x in ((c > 0).astype(np.int64), base)]
-        sums.append(np.add.reduceat(lp[codes] + first_log, starts))
+        sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64), base, logs)]
         arrays = [
             block["keys"][0].values,
             block["held"][0].values,
@@ -465,5 +602,7 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
         ]
         return pa.table(arrays, names=out.names)
 
-    blocks = coded.select("block", "keys", "held", "sizes", "codes")
-    return blocks.groupBy("block").cogroup(placed.groupBy("of")).applyInArrow(per_document, out)
+    found = placed.unionByName(
+        counted_pairs.filter("of is not null").select("of", "bucket", "n", "totals"), allowMissingColumns=True
+    )
+    return blocks.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(per_document, out)

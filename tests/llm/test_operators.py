@@ -156,6 +156,81 @@ def test_lm_score_is_a_distribution():
     assert math.isclose(sum(10 ** first.log10((97 << 9) | s) for s in range(257)), 1)
 
 
+def brute_lm(rows):
+    """Scores with plain dictionaries over all tokens; only the spelling of a word is the module's own."""
+    end = lm_score.END_TEXT
+    texts = [((t or "").encode().lower().split() + [end], held) for t, held in rows]
+    counts, pairs, starts, once = Counter(), Counter(), Counter(), Counter()
+    for words, held in texts:
+        for before, w in zip([end, *words], words):
+            counts[w] += not held
+            pairs[before, w] += not held
+            starts[((lm_score._joint(before) >> 9) << 9) | (lm_score._joint(w) & 511)] += not held
+    listed = sorted(counts)
+    batch = lm_score.pa.RecordBatch.from_arrays(
+        [lm_score.pa.array(listed, "binary"), lm_score.pa.array([counts[w] for w in listed], "int64")], names=["w", "c"]
+    )
+    found = []
+    for b in lm_score._statistics([batch]):
+        for kind, part, *lists in zip(*(b.column(i).to_pylist() for i in range(5))):
+            found += [{"kind": kind, "context": c, "symbol": s, "count": k, "parts": 1} for c, s, k in zip(*lists)]
+    spelled = dict(zip(listed, lm_score._scored(listed, np.array([counts[w] for w in listed]), lm_score._Model(found))))
+    root = {r["symbol"]: r["count"] for r in found if r["kind"] == "border" and not r["context"]}
+    opening = lm_score._FirstBytes([(k, n) for k, n in starts.items() if n], root)
+    events = Counter()
+    for w, n in counts.items():
+        if n > 1:
+            events[(n - 1).bit_length()] += n
+    for (before, w), n in pairs.items():
+        if n == 1 and counts[before] > 1:
+            once[(counts[before] - 1).bit_length()] += 1
+    out = []
+    for words, _ in texts:
+        total = 0.0
+        for before, w in zip([end, *words], words):
+            low = spelled[w] + opening.log10(((lm_score._joint(before) >> 9) << 9) | (lm_score._joint(w) & 511))
+            k = counts[before].bit_length()
+            new = min(max((once[k] + 0.5) / (events[k] + 1.0), 1e-9), 1 - 1e-9)
+            if pairs[before, w]:
+                total += math.log10((1 - new) * pairs[before, w] / counts[before])
+            else:
+                total += low + (math.log10(new) if counts[before] else 0.0)
+        out.append(total)
+    return out
+
+
+def test_lm_score_against_brute_force(spark, docs):
+    rows = [(i, d.text, i % 7 == 0) for i, d in enumerate(docs[:90])] + [(900, "the the the the end", False), (901, docs[1].text, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(3)
+    found = {r.doc_id: r.score for r in lm_score.score(df, "h").collect()}
+    expected = dict(zip([r[0] for r in rows], brute_lm([r[1:] for r in rows])))
+    assert found.keys() == expected.keys()
+    assert all(math.isclose(found[i], expected[i], rel_tol=1e-6) for i in found)
+
+
+def test_lm_score_odd(spark, odd, none):
+    rows = odd.withColumn("h", F.col("doc_id") == 5)
+    found = lm_score.score(rows, "h").collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(r.doc_id) for r in odd.collect())
+    by_id = {r.doc_id: r for r in found}
+    assert by_id[1].n_tokens == by_id[2].n_tokens == by_id[3].n_tokens == 1
+    assert all(math.isfinite(r.score) and r.score < 0 for r in found) and by_id[5].held_out
+    assert by_id[6].score == by_id[7].score
+    assert lm_score.score(none.withColumn("h", F.lit(False)), "h").count() == 0
+    # nothing to learn from: every symbol is equally likely
+    for held in (True, None):
+        some = odd.filter("doc_id < 6").withColumn("h", F.lit(held).cast("boolean"))
+        assert lm_score.score(some, "h").count() == 6
+    long_word = spark.createDataFrame([(1, "x" * 100_000, False), (2, "x" * 50 + " y", True)], "doc_id long, text string, h boolean")
+    assert all(math.isfinite(r.score) for r in lm_score.score(long_word, "h").collect())
+
+
+def test_lm_score_beats_the_unigrams(spark):
+    held = registered.op2_lm_score(spark, "/root/testdata/sf0.01").filter("held_out")
+    model, base = held.agg(F.sum("score"), F.sum("base_score")).first()
+    assert base < 0 and model > 0.9 * base
+
+
 def test_lm_score_does_not_depend_on_partitions(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").withColumn("h", F.col("doc_id") % 10 == 0)
     one = {r.doc_id: r.score for r in lm_score.score(df, "h").collect()}
