@@ -4,17 +4,19 @@ Vectors are scaled to length one, where cosine c is the Euclidean distance sqrt(
 Within a label, a vector's home is the cell of its nearest pivot. If y has home q and x, with home
 p, lies within r of it, then d(x, q) <= r + d(y, q) <= r + d(y, p) <= 2 r + d(x, p) (triangle
 inequality, twice); so x is copied to the cells of all pivots that are at most 2 r farther than
-its nearest, and no pair is lost. A cell then joins without any other: its home vectors, in
-blocks, against all its members.
+its nearest, and no pair is lost. A cell then joins without any other: blocks of its home vectors
+against blocks of its members, so a task holds two blocks, however dense the cell is.
 
-Equal vectors of a label are one node from the start. Within a cell only counts and a spanning
-forest of the links are kept, so a dense cell gives no more rows than it has members.
+Pivots of a label lie apart from each other. Those inside one dense cluster would each be near all
+of it, and every vector would be copied to each of them; kept apart, only few can be near a vector.
+
+Equal vectors of a label are one node from the start. Of two blocks only counts and a spanning
+forest of the links are kept, so they give no more rows than they have vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ranks import broadcast_if_small
 from ..session import cut_lineage
 from .graph import components
 
 PER_CELL = 2_000  # vectors a cell should hold on average
 MOST_PIVOTS = 4_096  # of all labels: bounds what is broadcast to a few MB, not what is joined
-HOME_BLOCK = 2_048  # home vectors of a cell that one task compares
+HOME_BLOCK = 8_192  # home vectors, and members, of a cell that one task compares
 
 
 def _link_cells(least: float):
-    """Per cell and block of home vectors: how many links each has, and links that span them."""
+    """Of a block of home vectors and one of members: how many links each home vector has, and links
+    that span them. A row may be on both sides."""
 
     def run(cell: pa.Table) -> pa.Table:
         node, weight = cell["node"].to_numpy(), cell["weight"].to_numpy()
-        home = cell["home"].to_numpy(zero_copy_only=False)
+        home, other_side = (cell[c].to_numpy(zero_copy_only=False) for c in ("home", "member"))
         unit = np.array(cell["unit"].combine_chunks().flatten()).reshape(len(node), -1)
-        ours, links = np.flatnonzero(home), np.zeros(len(node), np.int64)
+        ours, theirs, links = np.flatnonzero(home), np.flatnonzero(other_side), np.zeros(len(node), np.int64)
         parent = np.arange(len(node))
 
         def find(i: int) -> int:
@@ -48,10 +52,11 @@ def _link_cells(least: float):
 
         for a in range(0, len(ours), 512):
             rows = ours[a : a + 512]
-            for b in range(0, len(node), 8192):
-                near = unit[rows] @ unit[b : b + 8192].T >= least
+            for b in range(0, len(theirs), 8192):
+                columns = theirs[b : b + 8192]
+                near = unit[rows] @ unit[columns].T >= least
                 x, y = np.nonzero(near)
-                x, y = rows[x], y + b
+                x, y = rows[x], columns[y]
                 other = x != y
                 links += np.bincount(x[other], weight[y[other]], len(node)).astype(np.int64)
                 # links between members that already share a root say nothing new
@@ -91,27 +96,34 @@ def near_duplicates(
     sound = source.filter(F.col("label").isNotNull() & (F.size("v") > 0)).withColumn("norm", F.sqrt(squares))
     # a null component makes the norm null, one that is not finite makes it NaN or infinite
     sound = sound.filter("norm > 0 and norm < double('Infinity')")
-    named = sound.select("key", "label", "v", "norm", F.xxhash64("label", "v").alias("node"))
-    member = cut_lineage(named.select("key", "node"))
-    single = named.groupBy("node", "label", "v").agg(F.count(F.lit(1)).alias("weight"), F.first("norm").alias("norm"))
+    hashes = [F.xxhash64("label", "v").alias("h"), F.xxhash64(F.lit("again"), "v", "label").alias("g")]
+    named = sound.select("key", "label", "v", "norm", *hashes)
+    single = named.groupBy("h", "g", "label", "v").agg(F.count(F.lit(1)).alias("weight"), F.first("norm").alias("norm"))
     unit = F.transform("v", lambda x: x / F.col("norm"))
-    single = cut_lineage(single.select("node", "label", "weight", F.size("v").alias("dim"), unit.alias("unit")))
+    # numbered as they are stored: unlike a hash, a number names one vector however many there are
+    single = cut_lineage(
+        single.select("h", "g", F.monotonically_increasing_id().alias("node"), "label", "weight", F.size("v").alias("dim"), unit.alias("unit"))
+    )
+    member = cut_lineage(named.select("key", "h", "g").join(single.select("h", "g", "node"), ["h", "g"]).select("key", "node"))
+    single = single.drop("g")
 
-    sizes = {(r["label"], r["dim"]): r["count"] for r in single.groupBy("label", "dim").count().orderBy("label").limit(MOST_PIVOTS).collect()}
+    counts = single.groupBy("label", "dim").count().orderBy(F.col("count").desc(), "label", "dim").limit(MOST_PIVOTS)
+    sizes = {(r["label"], r["dim"]): r["count"] for r in counts.collect()}
     total = sum(sizes.values())
     share = max(PER_CELL, -(-total // MOST_PIVOTS))
-    # pivots: the vectors of a label with the smallest hashes
+    # pivots: the vectors of a label with the smallest hashes that lie apart
     asked = {k: max(1, n // share) for k, n in sizes.items()}
-    spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    picked = [(spread < int((1 << 30) * min(1.0, 4 * asked[k] / n + 64 / n))) & (F.col("label") == k[0]) & (F.col("dim") == k[1]) for k, n in sizes.items()]
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) * 2 + 1e-9
+    kinds = T.StructType([*(single.schema[c] for c in ("label", "dim")), T.StructField("below", T.LongType())])
+    limits = [(*k, int((1 << 30) * min(1.0, 4 * asked[k] / n + 16 / n))) for k, n in sizes.items()]
+    listed = F.broadcast(spark.createDataFrame(limits, kinds))  # MOST_PIVOTS rows at most
+    drawn = single.join(listed, ["label", "dim"]).filter(F.pmod("h", F.lit(1 << 30)) < F.col("below"))
     pivots: dict = {}
-    if picked:
-        for r in single.filter(reduce(lambda a, b: a | b, picked)).select("label", "dim", "unit", "node").orderBy(F.xxhash64("node")).collect():
-            own = pivots.setdefault((r["label"], r["dim"]), [])
-            if len(own) < asked[(r["label"], r["dim"])]:
-                own.append(r["unit"])
+    for r in drawn.select("label", "dim", "unit").orderBy("h", "unit").collect():
+        own, point = pivots.setdefault((r["label"], r["dim"]), []), np.array(r["unit"])
+        if len(own) < asked[(r["label"], r["dim"])] and (not own or ((np.array(own) - point) ** 2).sum(1).min() >= reach**2):
+            own.append(point)
     shared = spark.sparkContext.broadcast({k: np.array(v) for k, v in pivots.items()})
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) * 2 + 1e-9
     cells = T.StructType(
         [
             T.StructField("label", vectors.schema[label].dataType),
@@ -149,14 +161,23 @@ def near_duplicates(
             )
 
     placed = cut_lineage(single.select("node", "label", "weight", "dim", "unit").mapInArrow(place, cells))
-    # a cell with many home vectors is worked on in blocks, each of which meets all its members
-    blocks = placed.filter("home").groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / HOME_BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # one row a pivot, MOST_PIVOTS and the labels bound them
-    dealt = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("node"), F.col("blocks")) == F.col("block")))
+    # a large cell is worked on in blocks of both sides: a row goes to the members' block of its hash for
+    # every block of home vectors and, at home, to its block there for every block of members
+    cell = ["label", "dim", "cell"]
+    count = lambda rows: F.ceil(F.count(rows) / HOME_BLOCK).cast("int")
+    blocks = placed.groupBy(*cell).agg(count(F.when(F.col("home"), 1)).alias("homes"), count(F.lit(1)).alias("members"))
+    met = placed.join(broadcast_if_small(blocks.filter("homes > 0")), cell)
+    deal = F.xxhash64("node")
+    at_home, at_member = F.pmod(deal, F.col("homes")), F.pmod(deal, F.col("members"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: F.struct(i.cast("long").alias("i"), at_member.alias("j")))
+    as_home = F.transform(F.sequence(F.lit(0), F.col("members") - 1), lambda j: F.struct(at_home.alias("i"), j.cast("long").alias("j")))
+    pairs = F.when(F.col("home"), F.array_union(as_member, as_home)).otherwise(as_member)
+    dealt = met.withColumn("_b", F.explode(pairs)).withColumns(
+        {"i": F.col("_b.i"), "j": F.col("_b.j"), "member": F.col("_b.j") == at_member, "home": F.col("home") & (F.col("_b.i") == at_home)}
+    )
     found = cut_lineage(
-        dealt.select("label", "dim", "cell", "block", "home", "node", "weight", "unit")
-        .groupBy("label", "dim", "cell", "block")
+        dealt.select(*cell, "i", "j", "home", "member", "node", "weight", "unit")
+        .groupBy(*cell, "i", "j")
         .applyInArrow(_link_cells(least), "node long, links long, to long")
     )
     count = found.filter("to is null").groupBy("node").agg(F.sum("links").alias("links"))

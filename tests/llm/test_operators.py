@@ -124,6 +124,42 @@ def test_embedding_cells_lose_no_pair(spark, monkeypatch):
     assert found == {i: int(near[i].sum()) - 1 for i in range(300)}
 
 
+def test_embedding_cluster_is_cut_into_bounded_tasks(spark, monkeypatch):
+    """A third of the vectors in one dense cluster: no task holds more than two blocks, nothing is lost."""
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "HOME_BLOCK", 64)
+    link = embedding_dedup._link_cells
+
+    def counting(least):
+        run = link(least)
+
+        def counted(cell):
+            assert cell.num_rows <= 3 * 64, cell.num_rows
+            return run(cell)
+
+        return counted
+
+    monkeypatch.setattr(embedding_dedup, "_link_cells", counting)
+    r = np.random.default_rng(4)
+    dense = np.r_[1.0, np.zeros(7)] + r.normal(scale=0.06, size=(300, 8))
+    points = np.vstack([dense, r.normal(size=(600, 8))]).astype(np.float32)
+    rows = [(i, p.tolist(), i % 2 if i >= 300 else 1) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1, keepdims=True)
+    labels = np.array([x[2] for x in rows])
+    near = (unit @ unit.T >= 0.98) & (labels[:, None] == labels)
+    found = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(df).collect()}
+    assert found == {i: int(near[i].sum()) - 1 for i in range(len(points))}
+
+
+def test_embedding_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MOST_PIVOTS", 5)
+    rows = [(i, [1.0, float(i % 3 == 0)], i // 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_duplicates(df).collect()}
+    assert found == {i: (0, i) if i % 3 == 0 else (1, i - i % 3 + 1) for i in range(90)}
+
+
 def test_lm_score_base_and_sum(spark, docs):
     found = {r.doc_id: r for r in registered.op2_lm_score(spark, SF).collect()}
     import zlib
