@@ -73,7 +73,8 @@ def pack(
     """
     tokens = count_words(docs[text]) if length is None else length
     rows = docs.select(docs[key].alias("key"), F.greatest(F.coalesce(tokens, F.lit(1)), F.lit(1)).cast("long").alias("n"))
-    rows = cut_lineage(rows.withColumn("bin", bin_of(F.col("n"))))
+    # each row gets a number as it is stored, so that repeated and null keys spread over the shards
+    rows = cut_lineage(rows.withColumn("bin", bin_of(F.col("n"))).withColumn("row", F.monotonically_increasing_id()))
     histogram = (
         rows.groupBy("bin").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
     ).orderBy("bin").collect()  # a few thousand bins at most
@@ -94,9 +95,9 @@ def pack(
             out = F.when(F.col("bin") <= p[1], F.lit(p[i])).otherwise(out)
         return out
 
-    placed = rows.select("key", "n", chosen(0).alias("bucket"), chosen(2).cast("long").alias("padded"), chosen(3).alias("_rows"), chosen(4).alias("_shards"))
-    placed = placed.withColumn("_shard", F.pmod(F.xxhash64("key", "n"), F.col("_shards")).cast("int"))
-    order = Window.partitionBy("bucket", "_shard").orderBy("key", "n")
+    placed = rows.select("key", "n", "row", chosen(0).alias("bucket"), chosen(2).cast("long").alias("padded"), chosen(3).alias("_rows"), chosen(4).alias("_shards"))
+    placed = placed.withColumn("_shard", F.pmod(F.xxhash64("row"), F.col("_shards")).cast("int"))
+    order = Window.partitionBy("bucket", "_shard").orderBy("key", "n", "row")
     placed = placed.withColumn("_i", F.row_number().over(order) - 1)
     batch = F.concat_ws("-", "bucket", "_shard", F.floor(F.col("_i") / F.col("_rows")))
     place = (F.col("_i") % F.col("_rows")).cast("int")

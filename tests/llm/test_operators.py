@@ -290,6 +290,15 @@ def test_packing(spark, odd, none):
         assert sorted(r.place for r in b) == list(range(len(b)))
 
 
+def test_packing_spreads_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    rows = [(None if i % 3 else 7, "one two three") for i in range(600)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), budget=64).collect()
+    shards = Counter((r.bucket, r.batch.split("-")[1]) for r in found)
+    assert len(found) == 600 and len(shards) >= 10 and max(shards.values()) <= 100
+    assert all(n * 4 <= 64 for n in Counter(r.batch for r in found).values())
+
+
 def test_packing_boundaries_are_optimal():
     import itertools
 
