@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if current is None:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        warnings.warn(f"spark.checkpoint.dir is not set: intermediate tables go to {warehouse}", stacklevel=2)
         spark.sparkContext.setCheckpointDir(f"{warehouse.rstrip('/')}/_scratch")
         current = spark.sparkContext.getCheckpointDir()
     return current
