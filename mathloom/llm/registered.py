@@ -214,7 +214,8 @@ WITH t AS (
     {chat.BUDGET - chat.HISTORY} - CASE WHEN system > 0 AND 2 * system <= {chat.BUDGET - chat.HISTORY} THEN system ELSE 0 END AS room
   FROM p
 ), w AS (
-  SELECT *, min(begins) OVER (PARTITION BY conv_id, begins // room) AS opening FROM q
+  SELECT *, min(begins) OVER (PARTITION BY conv_id, turn // {chat.STRETCH}, inside // room) AS opening FROM (
+    SELECT *, begins - min(begins) OVER (PARTITION BY conv_id, turn // {chat.STRETCH}) AS inside FROM q)
 ), s AS (
   SELECT * FROM w WHERE begins > 0 AND tokens <= room AND (begins = opening OR begins + tokens - opening > room)
 ), repeated AS (

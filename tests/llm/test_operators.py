@@ -549,7 +549,9 @@ def test_chat_round_trip(spark):
     assert chat.windows(df.filter("false")).count() == 0
 
 
-def test_chat_windows_keep_the_budget(spark):
+@pytest.mark.parametrize("stretch", [4, 4096])
+def test_chat_windows_keep_the_budget(spark, stretch, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", stretch)
     draw = random.Random(11)
     turns = []
     for conv in range(40):
