@@ -273,8 +273,10 @@ def fit(
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(shared.value)
         for batch in batches:
-            labels_, texts = batch.column(0).to_pylist(), [(t or "").split() for t in batch.column(1).to_pylist()]
-            found = [_document(reader.matched(t, y), len(t)) for y, t in zip(labels_, texts)]
+            labels_, found = batch.column(0).to_pylist(), []
+            for y, t in zip(labels_, batch.column(1)):
+                tokens = (t.as_py() or "").split()
+                found.append(_document(reader.matched(tokens, y), len(tokens)))
             columns = [pa.array(labels_, pa.int32()), *(pa.array([f[i] for f in found], pa.float64()) for i in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays(columns, names=["y", "most", "sum", "dense"])
 
@@ -302,9 +304,11 @@ def annotate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(shared.value)
         for batch in batches:
-            tokens = [(t.as_py() or "").split() for t in batch.column(at)]
-            found = [reader.matched(t) for t in tokens]
-            scores = [_probability(shared.value.weights, _document(f, len(t))) for f, t in zip(found, tokens)]
+            found, scores = [], []
+            for t in batch.column(at):  # one text's tokens at a time
+                tokens = (t.as_py() or "").split()
+                found.append(reader.matched(tokens))
+                scores.append(_probability(shared.value.weights, _document(found[-1], len(tokens))))
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
