@@ -9,7 +9,7 @@ from ...operators import text_metrics as m
 from ...session import new_folder
 from ...sources import readers, schemas, writers
 from ...streaming.incremental import curate_incremental
-from ..derived import formulas, predictions, spread, table, with_tables
+from ..derived import formulas, predictions, table, with_tables
 from . import curation
 from . import sqltext as q
 
@@ -224,7 +224,8 @@ def write_records_json(spark, sf):
 def curate_stream(spark, sf):
     """An incremental run over formula lines, then a second run that finds nothing new."""
     source, good, refused, state = (new_folder(spark, n) for n in ("source", "good", "refused", "state"))
-    spread(_lines(spark, sf, "rendered"), "value").write.text(source)
+    # one file a core: each batch takes three files
+    _lines(spark, sf, "rendered").coalesce(spark.sparkContext.defaultParallelism).write.text(source)
     for _ in range(2):
         curate_incremental(spark, source, good, refused, state, rendered="rendered", files_per_batch=3).awaitTermination()
     kept = spark.read.schema("id string, latex string, run_id string").parquet(good)
