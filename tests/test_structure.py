@@ -114,3 +114,46 @@ def test_a_page_without_size_costs_100(spark):
     rows = [_box("s", "gt", 0, "a", 0), _box("s", "pred", 0, "a", 0)]
     df = s.token_order(spark.createDataFrame([r[:5] + (0, 0) for r in rows], SCHEMA))
     assert s.pair_cost(s.pair_candidates(df)).first().cost == 100.0
+
+
+def _moves(df):
+    """Shuffles of the plan before any is run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange" in line for line in plan.split("== Initial Plan ==")[0].splitlines())
+
+
+@pytest.mark.parametrize("align", [s.align_by_occurrence, s.align_mutual_best, s.pair_candidates, s.token_bag_f1])
+def test_boxes_are_moved_once(boxes, align):
+    """Sides, ranks, fits and sums of a sample meet where its rows lie: each shuffle moved the whole table."""
+    _, df = boxes
+    assert _moves(align(s.visible_boxes(df))) == 1
+
+
+def test_fits_follow_without_another_move(boxes):
+    _, df = boxes
+    seen = s.visible_boxes(df)
+    assert _moves(s.residual_inliers(s.align_by_occurrence(seen))) == 1
+    assert _moves(s.pair_cost(s.pair_candidates(s.token_order(seen)))) == 1
+
+
+@pytest.mark.parametrize("bits", [2, None])
+def test_rows_without_a_sample_have_no_partner(spark, bits):
+    rows = [_box(name, side, i, "a", 20 * i) for name in (None, "s") for side in ("gt", "pred") for i in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for align in (s.align_by_occurrence, s.align_mutual_best):
+        matches = align(df, bits=bits)
+        assert sorted((r.sample_id, r.gt_seq, r.pred_seq) for r in matches.collect()) == [("s", i, i) for i in range(6)]
+        assert s.residual_inliers(matches, bits=bits).filter("inlier").count() == 6
+
+
+@pytest.mark.parametrize("bits", [2, None])
+def test_sums_of_a_bag_do_not_depend_on_length(boxes, monkeypatch, bits):
+    from mathloom.plans import ranks
+
+    rows, df = boxes
+    if bits:
+        monkeypatch.setattr(ranks, "BLOCK_BITS", bits)
+    wanted = _largest(rows)
+    counts = {r.sample_id: r.n_gt for r in s.pair_samples(df).collect()}
+    got = {r.sample_id: r.recall for r in s.token_bag_f1(df).collect()}
+    assert got == {k: pytest.approx(wanted[k] / n, abs=6e-4) for k, n in counts.items()}
