@@ -105,3 +105,13 @@ def test_scores_by_cost(spark):
     keys = ["model", "sample_id"]
     rows = s.structure_score(boxes, ["model"], keys, residual=False, by_cost=True).collect()
     assert rows == s.structure_score(boxes, ["model"], keys, residual=False).collect()
+
+
+def test_boxes_are_moved_once_for_each_way_to_pair(spark):
+    """Once for tokens without a choice and once for the others; no table is written between."""
+    schema = "sample_id string, side string, seq int, token string, bbox array<int>, page_w int, page_h int"
+    rows = [("s", side, i, "a", [i, 0, i + 1, 1], 100, 10) for side in ("gt", "pred") for i in range(4)]
+    matches = al.align_by_cost(spark.createDataFrame(rows, schema))
+    plan = matches._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line for line in plan.split("== Initial Plan ==")[0].splitlines()) == 2
+    assert sorted((r.gt_seq, r.pred_seq) for r in matches.collect()) == [(i, i) for i in range(4)]
