@@ -73,3 +73,14 @@ def test_a_missing_image_is_no_match(spark):
         "gt_width int, gt_height int, gt_digest string, pred_width int, pred_height int, pred_digest string",
     )
     assert [r.image_match for r in m.image_exact_match(df).collect()] == [True, False, False]
+
+
+def test_a_report_computes_its_metrics_once(spark):
+    """They are met twice, and were scored again for the baseline."""
+    from mathloom.operators import text_metrics as m
+
+    rows = [("base", "d", "a b", "a b"), ("tuned", "d", "a b", "a c")]
+    metrics = m.exact_rate(spark.createDataFrame(rows, "model string, dataset string, gt string, pred string"), ["model", "dataset"])
+    report = m.model_report(metrics, "base", ["exp"], ["dataset"])
+    assert "Aggregate" not in report._jdf.queryExecution().executedPlan().toString()
+    assert {r.model: r.exp_delta for r in report.collect()} == {"base": 0.0, "tuned": -1.0}
