@@ -9,7 +9,7 @@ from ...operators import text_metrics as m
 from ...session import new_folder
 from ...sources import readers, schemas, writers
 from ...streaming.incremental import curate_incremental
-from ..derived import formulas, predictions, table, with_tables
+from ..derived import ROWS_PER_TASK, formulas, predictions, table, with_tables
 from . import curation
 from . import sqltext as q
 
@@ -70,6 +70,12 @@ def _written_documents(spark, rows, name):
     return path
 
 
+def _by_file(rows, n_rows):
+    """Rows of a file in one task, and few files in each: a task holds the documents that it sorts and writes."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_TASK))
+    return rows.repartition(tasks, "file_no")
+
+
 def _file_no(key):
     return F.floor(F.col(key) / DOCUMENT_KEYS).alias("file_no")
 
@@ -77,7 +83,8 @@ def _file_no(key):
 def read_results_array(spark, sf):
     """The results as JSON arrays over many lines."""
     record = F.to_json(F.struct(F.col("key").alias("id"), "gt", "pred"))
-    rows = predictions(spark, sf).select(_file_no("key"), record.alias("record")).groupBy("file_no").agg(F.collect_list("record").alias("r"))
+    records = predictions(spark, sf).select(_file_no("key"), record.alias("record"))
+    rows = _by_file(records, table(spark, sf, "orders").count()).groupBy("file_no").agg(F.collect_list("record").alias("r"))
     arrays = rows.select("file_no", F.concat(F.lit("[\n  "), F.array_join("r", ",\n  "), F.lit("\n]")).alias("document"))
     return readers.read_results(spark, _written_documents(spark, arrays, "results-arrays"))
 
@@ -86,7 +93,7 @@ def read_subset_document_whole(spark, sf):
     """Documents with a list of rows for each subset."""
     row = F.struct(F.format_string("%s/%s.png", "status", "id").alias("image"), "latex_formula")
     named = formulas(spark, sf).select(_file_no("key"), F.format_string("Set %s(%s)", "priority", "status").alias("name"), row.alias("row"))
-    lists = named.groupBy("file_no", "name").agg(F.collect_list("row").alias("rows"))
+    lists = _by_file(named, table(spark, sf, "orders").count()).groupBy("file_no", "name").agg(F.collect_list("row").alias("rows"))
     whole = lists.groupBy("file_no").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "rows")))).alias("document"))
     return readers.read_subset_document(spark, _written_documents(spark, whole, "subset-documents"))
 
