@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mathloom.llm import ngram_join, packing, quality, secret_scan, toxicity
 from mathloom.llm.common import table, unused
+from mathloom.plans.ranks import broadcast_if_small
 from mathloom.session import cut_lineage
 
 TOXIC = 0.7
@@ -42,10 +43,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows with one doc_id are one document and stay together; rows without one are always kept.
     """
-    found = ngram_join.jaccard_components(docs, size=5, num=80, den=100)
-    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id is null"))
+    found = ngram_join.jaccard_components(docs, size=5, num=80, den=100).filter("doc_id is not null")
+    stays = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    gone = found.groupBy("doc_id").agg(stays.alias("_stays")).filter("not _stays").select("doc_id")
+    # the ids that go are fewer than those that stay; a short list goes to the texts
+    return docs.join(broadcast_if_small(gone, ngram_join.LISTED), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

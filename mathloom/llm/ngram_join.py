@@ -10,9 +10,12 @@ its segments. What agrees is a candidate and is verified on the whole sets.
 
 Sets are named by a 64-bit digest, so equal texts are one node from the start. Within a group of
 equal signatures, members first meet one hub and not each other, and the links found merge them.
-Only groups that still hold several components go on: with pairs across components where few sets
-are outside the largest one, else by comparing blocks of sets, which gives links but no pairs.
-N-grams are compared by 64-bit hashes.
+Only groups that still hold several components go on, with pairs across components: made by a join
+where few sets are outside the largest one, else by comparing blocks of sketches. A sketch has a bit
+for the parity of the elements that fall on it; two sets differ in at least as many elements as
+their sketches in bits, so a pair whose sketches differ too much is dropped before whole sets are
+fetched. Where a block has many pairs left, blocks of whole sets are compared, which gives links but
+no pairs. N-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ranks import broadcast_if_small
 from ..session import cut_lineage
 from .graph import components
 
 BAND_RATIO = 1.5
 SPARE = 0.04  # share of segments that also have one-deletion neighbourhoods
 FEW = 32  # sets outside the largest component up to which a group forms pairs
+CROWD = 2  # pairs a row up to which a block of sketches gives its pairs
 BLOCK = 500  # sets of a block
+TILE = 2_000  # sketches of a block
+LISTED = 1_000_000  # keys up to which a list is broadcast, so that texts stay where they are
 INDEXED, PROBED = 1, 2
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -74,6 +81,31 @@ def digest(grams: np.ndarray) -> int:
     return int(mix(np.array([a], np.uint64) ^ mix(np.array([b], np.uint64) + np.uint64(len(grams)))).view(np.int64)[0])
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """The parity of the elements that fall on each of at least twice as many bits as there are elements."""
+    width = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    fallen = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((fallen & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits sketches differ, their words along the last axis; the wider ones are folded first."""
+    while x.shape[-1] != y.shape[-1]:
+        if x.shape[-1] < y.shape[-1]:
+            x, y = y, x
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+
+def _by_width(sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the sketches of one width, and their words."""
+    widths = np.array([len(x) for x in sketches], np.int64)
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        yield at, np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), -1)
+
+
 class Bands:
     """Size bands and the number of segments of each, for Jaccard at least ``num / den``."""
 
@@ -261,13 +293,15 @@ def jaccard_components(
         for batch in batches:
             found = [g for _, _, g in sets([batch], hashes)]
             ours = [i for i, g in enumerate(found) if digest(g) == batch.column(2)[i].as_py()]
+            columns = [[len(found[i]) for i in ours], [sketch(found[i]) for i in ours], [found[i].tobytes() for i in ours]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2).take(pa.array(ours, pa.int64())), pa.array([found[i].tobytes() for i in ours], pa.binary())],
-                names=["cls", "grams"],
+                [batch.column(2).take(pa.array(ours, pa.int64())), *map(pa.array, columns, (pa.int64(), pa.binary(), pa.binary()))],
+                names=["cls", "n", "sketch", "grams"],
             )
 
+    wanted = broadcast_if_small(wanted, LISTED)
     chosen = source.join(wanted, source["key"].eqNullSafe(wanted["key"])).select(source["key"], "text", "cls")
-    stored = cut_lineage(chosen.mapInArrow(arrays, "cls long, grams binary").dropDuplicates(["cls"]))
+    stored = cut_lineage(chosen.mapInArrow(arrays, "cls long, n long, sketch binary, grams binary").dropDuplicates(["cls"]))
 
     rows = grouped.select("sig", "cls", F.expr("meta >> 2").alias("n"), F.expr("meta & 3").alias("role"))
     # first, every set meets the hub that it shares most groups with
@@ -279,15 +313,23 @@ def jaccard_components(
         .groupBy("b")
         .agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     )
-    links = cut_lineage(_verified(best, stored, num, den))
+    links = cut_lineage(_verified(_allowed(best, stored, num, den), stored, num, den))
     named = components(links).select(F.col("node").alias("_c"), "component")
     rows = rows.join(named, rows["cls"] == F.col("_c"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("_c", "component")
     # of each group, all that is not of its largest component has yet to meet the others
     sizes = rows.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_k"))
-    most = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("_k", "comp")).alias("_most"), (F.sum("_k") - F.max("_k")).alias("_few"))
+    most = sizes.groupBy("sig").agg(
+        F.max_by("comp", F.struct("_k", "comp")).alias("_most"), (F.sum("_k") - F.max("_k")).alias("_few"), F.sum("_k").alias("_all")
+    )
     rows = cut_lineage(rows.join(most.filter("_few > 0"), "sig"))
-    links = links.unionByName(_in_pairs(rows.filter(F.col("_few") <= FEW), stored, num, den))
-    links = links.unionByName(_in_blocks(rows.filter(F.col("_few") > FEW), stored, num, den))
+    large = rows.filter(F.col("_few") > FEW)
+    near = cut_lineage(_in_tiles(large, stored, num, den))
+    pairs = _allowed(_in_pairs(rows.filter(F.col("_few") <= FEW), num, den), stored, num, den)
+    pairs = pairs.unionByName(near.filter("a is not null").select("a", "b")).distinct()
+    links = links.unionByName(_verified(pairs, stored, num, den))
+    crowded = near.filter("a is null").select("sig").distinct()
+    if not crowded.isEmpty():
+        links = links.unionByName(_in_blocks(large.join(crowded, "sig"), stored, num, den))
     component = components(cut_lineage(links))
 
     named = member.select("cls", "key", "n")
@@ -309,20 +351,61 @@ def _sizes_fit(a: str, b: str, num: int, den: int):
     return F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
 
 
-def _in_pairs(rows: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
-    """Links across components in groups with few sets outside the largest one: at most FEW pairs a row."""
+def _in_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components in groups with few sets outside the largest one: at most FEW pairs a row."""
     few = rows.filter(F.col("comp") != F.col("_most"))
     few = few.select("sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("role").alias("rx"))
     met = few.join(rows, "sig").filter(
         "cx <> comp and ((rx & 2) > 0 and (role & 1) > 0 or (role & 2) > 0 and (rx & 1) > 0)"
     )
     met = met.filter(_sizes_fit("nx", "n", num, den))
-    pairs = met.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
-    return _verified(pairs, stored, num, den)
+    return met.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+
+
+def _in_tiles(rows: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components in the other groups whose sketches allow a link, with their group.
+
+    All that is not of a group's largest component meets the group, in blocks of about TILE
+    sketches. A block with more than CROWD such pairs a row gives its group without a pair.
+    """
+    held = rows.join(stored.select("cls", "sketch"), "cls").withColumn("far", F.col("comp") != F.col("_most"))
+    tiles = {name: F.ceil(F.col(size) / TILE).cast("int") for name, size in (("xs", "_few"), ("ys", "_all"))}
+    held = held.withColumns(tiles).select("sig", "cls", "n", "role", "comp", "sketch", "far", "xs", "ys")
+    own = lambda of: F.pmod(F.xxhash64("cls"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = held.filter("far").withColumns({"left": F.lit(True), "x": own("xs")}).withColumn("y", each("ys"))
+    right = held.withColumns({"left": F.lit(False), "y": own("ys")}).withColumn("x", each("xs"))
+
+    def near(part: pa.Table) -> pa.Table:
+        left = part["left"].to_numpy()
+        sides = [part.filter(pa.array(flag)) for flag in (left, ~left)]
+        (cx, nx, rx, kx), (cy, ny, ry, ky) = [[t[c].to_numpy() for c in ("cls", "n", "role", "comp")] for t in sides]
+        far = sides[1]["far"].to_numpy()
+        found = [np.zeros((2, 0), np.int64)]
+        words = [list(_by_width(t["sketch"].to_pylist())) for t in sides]
+        for ix, x in words[0]:
+            for iy, y in words[1]:
+                step = max(1, 1_000_000 // (len(iy) * min(x.shape[1], y.shape[1])))
+                for a in range(0, len(ix), step):
+                    i, j = ix[a : a + step, None], iy[None]
+                    # two sets outside the largest component meet twice, and count once
+                    fits = (kx[i] != ky[j]) & (~far[j] | (cx[i] < cy[j]))
+                    fits &= den * np.minimum(nx[i], ny[j]) >= num * np.maximum(nx[i], ny[j])
+                    fits &= ((rx[i] & PROBED > 0) & (ry[j] & INDEXED > 0)) | ((ry[j] & PROBED > 0) & (rx[i] & INDEXED > 0))
+                    if fits.any():
+                        differ = apart(x[a : a + step, None], y[None])
+                        p, q = np.nonzero(fits & ((den + num) * differ <= (den - num) * (nx[i] + ny[j])))
+                        found.append(np.vstack([cx[i[p, 0]], cy[j[0, q]]]))
+                    if sum(f.shape[1] for f in found) > CROWD * part.num_rows:
+                        return pa.table({"sig": part["sig"][:1], "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
+        a, b = np.hstack(found)
+        return pa.table({"sig": pa.array(np.full(len(a), part["sig"][0].as_py(), np.int64)), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return left.unionByName(right).groupBy("sig", "x", "y").applyInArrow(near, "sig long, a long, b long")
 
 
 def _in_blocks(rows: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
-    """Links across components in the other groups, without rows for pairs.
+    """Links across components in groups with many pairs to test, without rows for pairs.
 
     Sets that such groups connect are cut into blocks of about BLOCK; each pair of blocks is one
     task that multiplies their incidence matrices and returns links that span what it finds.
@@ -377,6 +460,24 @@ def _in_blocks(rows: DataFrame, stored: DataFrame, num: int, den: int) -> DataFr
     return dealt.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
 
 
+def _allowed(pairs: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sketches allow a link, as a table; those of unlike sets end here."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, good = batch.column(2).to_numpy() + batch.column(3).to_numpy(), np.zeros(batch.num_rows, bool)
+            xs, ys = [batch.column(c).to_pylist() for c in (4, 5)]
+            for i, x in _by_width(xs):
+                for k, y in _by_width([ys[p] for p in i]):
+                    good[i[k]] = (den + num) * apart(x[k], y) <= (den - num) * sizes[i[k]]
+            mask = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    drawn = lambda c: stored.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    met = pairs.join(drawn("b"), "b").join(drawn("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+    return cut_lineage(met.mapInArrow(near, "a long, b long"))
+
+
 def _verified(pairs: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose whole sets pass the test. The far ends fetch their sets first, then the hubs."""
 

@@ -388,6 +388,54 @@ def test_ngram_join(spark, docs, few, monkeypatch):
     assert found == brute_components(texts, 4, 85, 100)
 
 
+def test_ngram_join_fetches_no_unlike_sets(spark, monkeypatch):
+    """Many unlike texts around one passage: sketches settle them, and no block of whole sets is formed."""
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "TILE", 9)
+    monkeypatch.setattr(ngram_join, "SPARE", 0.5)
+    monkeypatch.setattr(ngram_join, "_in_blocks", None)
+    tiles = []
+    in_tiles = ngram_join._in_tiles
+    monkeypatch.setattr(ngram_join, "_in_tiles", lambda rows, *rest: tiles.append(rows.count()) or in_tiles(rows, *rest))
+    r = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(14)]
+    texts = []
+    for i in range(120):
+        own = passage + [f"w{x}" for x in r.integers(0, 10**9, 6 + i % 5)]
+        texts.append((i, " ".join(own)))
+        if i % 10 == 0:  # a near copy
+            texts.append((1000 + i, " ".join(own + ["end"])))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df, size=1, num=80, den=100).collect()}
+    assert found == brute_components(texts, 1, 80, 100)
+    assert tiles[0] > 100
+
+
+def test_sketches_never_differ_in_more_bits_than_sets():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        x = np.unique(r.integers(0, 2**63, r.integers(1, 300)).astype(np.uint64))
+        y = np.unique(np.r_[x[: r.integers(0, len(x) + 1)], r.integers(0, 2**63, r.integers(1, 80)).astype(np.uint64)])
+        words = [np.frombuffer(ngram_join.sketch(s), np.uint64) for s in (x, y)]
+        assert ngram_join.apart(*words) <= len(np.setxor1d(x, y))
+        assert ngram_join.apart(words[0], words[0]) == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from mathloom.session import cut_lineage
+
+    def files():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {blocks.apply(i).name() for i in range(blocks.size())}
+
+    before = files()
+    stored = cut_lineage(spark.range(1000).repartition(3, "id").distinct())
+    until = time.time() + 10
+    while (left := {b for b in files() - before if "shuffle" in b}) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and stored.count() == 1000
+
+
 def test_ngram_join_odd(spark, odd, none):
     found = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd).collect())
     assert [x for x in found if x[0] in "123"] == [("1", 0, 1), ("2", 0, 2), ("3", 0, 3)]
