@@ -136,6 +136,38 @@ def test_fits_follow_without_another_move(boxes):
     assert _moves(s.pair_cost(s.pair_candidates(s.token_order(seen)))) == 1
 
 
+def _matches(spark, draw, samples):
+    schema = "sample_id string, norm_token string, gt_seq int, pred_seq int, gt_x_c double, gt_y_c double, pred_x_c double, pred_y_c double"
+    rows = []
+    for n in range(samples):
+        shift, stretch, strays = draw.randint(-40, 40), draw.choice([1.0, 1.5, 0.5]), draw.choice([0, 0.1, 0.4])
+        for i in range(draw.choice([1, 3, 4, 9, 40])):
+            x, y = 20.0 * i, float(draw.randint(0, 60))
+            far = draw.choice([60, 300, -90]) if draw.random() < strays else 0
+            end = None if draw.random() < 0.02 else x * stretch + shift + far
+            rows.append((f"s{n}", "a", i, i, x, y, end, y * stretch + draw.randint(0, 9)))
+    return spark.createDataFrame(rows, schema)
+
+
+def test_fits_of_many_samples_at_once(spark):
+    """As by blocks, where each round is a join; and no window holds a sample's rows once for each round."""
+    import random
+
+    matches = _matches(spark, random.Random(7), 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        judged = s.residual_inliers(matches)
+        found = sorted(map(repr, judged.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == sorted(map(repr, s.residual_inliers(matches, bits=0).collect()))
+    assert sum("inlier=False" in r for r in found) > 50 and len(found) > 1000
+    assert "Window" not in judged._jdf.queryExecution().executedPlan().toString()
+    one = s.residual_inliers(matches, rounds=1)
+    assert one.count() == matches.count() and one.filter("inlier is null").count() > 0
+    assert s.residual_inliers(matches.filter("false")).count() == 0
+
+
 @pytest.mark.parametrize("bits", [2, None])
 def test_rows_without_a_sample_have_no_partner(spark, bits):
     rows = [_box(name, side, i, "a", 20 * i) for name in (None, "s") for side in ("gt", "pred") for i in range(6)]
