@@ -115,3 +115,12 @@ def test_boxes_are_moved_once_for_each_way_to_pair(spark):
     plan = matches._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange" in line for line in plan.split("== Initial Plan ==")[0].splitlines()) == 2
     assert sorted((r.gt_seq, r.pred_seq) for r in matches.collect()) == [(i, i) for i in range(4)]
+
+
+def test_both_ways_to_pair_read_one_shuffle(spark):
+    matches = registered.align_by_cost(spark, SF_DIR)
+    matches.collect()
+    plan = matches._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0].splitlines()
+    moved = [line for line in final if "Exchange hashpartitioning(sample_id" in line]
+    assert len(moved) == 2 and sum("ReusedExchange" in line for line in moved) == 1
