@@ -84,3 +84,17 @@ def test_a_report_computes_its_metrics_once(spark):
     report = m.model_report(metrics, "base", ["exp"], ["dataset"])
     assert "Aggregate" not in report._jdf.queryExecution().executedPlan().toString()
     assert {r.model: r.exp_delta for r in report.collect()} == {"base": 0.0, "tuned": -1.0}
+
+
+def test_overlap_numbers_only_what_repeats_on_both_sides(spark, monkeypatch):
+    draw = random.Random(2)
+    pick = lambda n, words: [draw.choice(words) for _ in range(n)]
+    rows = [(pick(draw.randint(0, 8), "abcd"), pick(draw.randint(0, 8), "abcd")) for _ in range(200)]
+    rows += [(["a", "b", "c"], ["c", "c", "a"]), ([], ["a", "a"]), ([], []), (None, ["a"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    count = lambda: [r.n for r in df.select("a", "b", bags.overlap(F.col("a"), F.col("b")).alias("n")).collect()]
+    wanted = [sum((Counter(r.a) & Counter(r.b)).values()) if r.a is not None else None for r in df.collect()]
+    assert count() == wanted
+    monkeypatch.setattr(bags, "_numbered", lambda c: F.raise_error(F.lit("numbered")).cast("array<string>"))
+    df = df.filter(F.size(F.array_distinct("b")) == F.size("b"))
+    assert count() == [n for n, (a, b) in zip(wanted, rows) if len(set(b)) == len(b)]
