@@ -37,7 +37,7 @@ from .graph import components
 BAND_RATIO = 1.5
 SPARE = 0.04  # share of segments that also have one-deletion neighbourhoods
 FEW = 32  # sets outside the largest component up to which a group forms pairs
-CROWD = 2  # pairs a row up to which a block of sketches gives its pairs
+CROWD = 32  # pairs a row up to which a block of sketches gives its pairs
 BLOCK = 500  # sets of a block
 TILE = 2_000  # sketches of a block
 LISTED = 1_000_000  # keys up to which a list is broadcast, so that texts stay where they are
